@@ -9,6 +9,8 @@ several chunks because the key includes a tie-break.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,20 +72,48 @@ def running_sums(df: DataFrame, keys: list[Column], sums: dict[str, str]) -> Dat
     )
 
 
-def values_at_ranks(values: DataFrame, value: str, ranks: DataFrame) -> DataFrame:
-    """The value found at each zero-based rank of the sorted non-NULL values.
+def values_at_ranks(
+    df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per group of ``by``: the sorted non-NULL value at each zero-based rank.
 
-    ``ranks`` has a ``rank`` column and is a handful of rows. Values are counted
-    first, so a value shared by many rows is one row in the order.
+    ``ranks`` maps an output name to a function from the group's row count to a
+    rank. Values are counted first, so a value shared by many rows is one row
+    of the order, and one order over (group, value) serves groups of any size.
     """
-    counted = (
-        values.filter(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    groups_by = list(by) or ["_all"]
+    counted = df.filter(F.col(value).isNotNull())
+    if not by:
+        counted = counted.withColumn("_all", F.lit(1))
+    counted = counted.groupBy(*groups_by, F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    order = [F.col(c) for c in (*groups_by, "_value")]
+    upto = running_sums(counted, order, {"_upto": "_n"})
+    first = F.col("_upto") - F.col("_n")
+    groups = upto.groupBy(*groups_by).agg(F.min(first).alias("_start"), F.sum("_n").alias("_total"))
+
+    def pick(rank: Column) -> Column:
+        place = F.col("_start") + rank
+        return F.max(F.when((place >= first) & (place < F.col("_upto")), F.col("_value")))
+
+    picked = upto.join(groups, groups_by).groupBy(*groups_by)
+    out = picked.agg(
+        F.max("_total").alias("n"),
+        *[pick(rank(F.col("_total"))).alias(name) for name, rank in ranks.items()],
     )
-    upto = running_sums(counted, [F.col("value")], {"upto": "n"})
-    span = (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))
-    return upto.join(F.broadcast(ranks), span).select(*ranks.columns, "value")
+    return out if by else out.drop("_all")
+
+
+def lower_quantiles(
+    df: DataFrame, value: str, quantiles: dict[str, float], by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Lower nearest rank: the value at ``floor(q * (n - 1))`` of the sorted values."""
+
+    def at(q: float) -> Callable[[Column], Column]:
+        return lambda n: F.floor(F.lit(q) * (n - 1))
+
+    return values_at_ranks(df, value, {name: at(q) for name, q in quantiles.items()}, by)
 
 
 def next_event_rank(df: DataFrame, rank: str, is_event: Column, by: list[str], name: str,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,19 +54,23 @@ def read_links(spark: SparkSession, raw_path: str) -> DataFrame | None:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name and size of every file; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    """Entries of a folder with their file count and bytes; contents are not read."""
+    root = path.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = F.element_at(F.split(F.col("path"), re.escape(root) + "/", 2), 2)
+    return (
+        files.groupBy(F.split(below, "/")[0].alias("entry"))
+        .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+        .orderBy("entry")
+    )
 
 
 def inventory_check(inventory: DataFrame, expected=schemas.EXPECTED_FILES) -> DataFrame:
-    """Each expected file with whether it is there."""
+    """Each expected entry with whether it is there."""
     spark = inventory.sparkSession
-    wanted = spark.createDataFrame([(f,) for f in expected], "file_name string")
-    found = inventory.select("file_name", F.lit(True).alias("found")).distinct()
-    return wanted.join(found, "file_name", "left").withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+    wanted = spark.createDataFrame([(f,) for f in expected], "entry string")
+    found = inventory.select("entry", F.lit(True).alias("found"))
+    return wanted.join(found, "entry", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def read_jsonl_maps(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +135,9 @@ def read_seed_readings(spark: SparkSession, folder: str) -> DataFrame:
     is_header = F.lit(True)
     for name in schemas.CORE_COLUMNS:
         is_header = is_header & F.array_contains(tokens, name)
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(folder)
+    )
     headers = (
         lines.filter(is_header)
         .select(F.trim("value").alias("header"), F.col("_metadata.file_path").alias("file"))
