@@ -73,6 +73,14 @@ VIEWS: dict[str, str] = {
                 + CASE WHEN event_type = 'error' THEN 0.35 ELSE 0.0 END, 4) AS score,
           CASE WHEN event_id % 10 = 0 THEN 'synthetic' ELSE 'real' END AS _source_type
         FROM events""",
+    # Three models' scores of the same rows, from sharp to blunt.
+    "model_scores": """
+        SELECT event_id, ts, 'isolation_forest' AS model, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y,
+          round(0.6 * {u:7:event_id} + CASE WHEN event_type = 'error' THEN 0.4 ELSE 0.0 END, 4) AS score FROM events
+        UNION ALL SELECT event_id, ts, 'random_forest', CASE WHEN event_type = 'error' THEN 1 ELSE 0 END,
+          round(0.8 * {u:8:event_id} + CASE WHEN event_type = 'error' THEN 0.2 ELSE 0.0 END, 4) FROM events
+        UNION ALL SELECT event_id, ts, 'xgboost', CASE WHEN event_type = 'error' THEN 1 ELSE 0 END,
+          round(0.7 * {u:9:event_id} + CASE WHEN event_type = 'error' THEN 0.3 ELSE 0.0 END, 4) FROM events""",
     "incident_request": """
         SELECT concat('N', l_orderkey) AS incident_id,
           max(l_discount) * 10 AS leak_probability, avg(l_tax) * 10 AS anomaly_score,
