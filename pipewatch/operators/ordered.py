@@ -125,12 +125,19 @@ def next_event_rank(df: DataFrame, rank: str, is_event: Column, by: list[str], n
     """
     block = F.floor(F.col(rank) / F.lit(width))
     rows = df.withColumn("_block", block).withColumn("_event", F.when(is_event, F.col(rank)))
+    # Walked backwards, so each row adds to the frame of the row after it.
     onward = (
-        Window.partitionBy(*by, "_block").orderBy(rank).rowsBetween(0, Window.unboundedFollowing)
+        Window.partitionBy(*by, "_block")
+        .orderBy(F.col(rank).desc())
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
     rows = rows.withColumn("_near", F.min("_event").over(onward))
     firsts = rows.groupBy(*by, "_block").agg(F.min("_event").alias("_first"))
-    later = Window.partitionBy(*by).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    later = (
+        Window.partitionBy(*by)
+        .orderBy(F.col("_block").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     firsts = firsts.select(*by, "_block", F.min("_first").over(later).alias("_far"))
     return (
         rows.join(firsts, [*by, "_block"], "left")

@@ -135,15 +135,18 @@ def data_sufficiency(
     ready = F.lit(True)
     for name, least in minimums.items():
         ready = ready & (F.col(name) >= least)
-    long = actual.withColumn("ready", ready).unpivot("ready", list(minimums), "requirement", "actual")
-    least = F.element_at(
-        F.create_map(*[F.lit(x) for kv in minimums.items() for x in kv]), F.col("requirement")
-    ).cast("long")
-    return long.select(
-        "requirement",
-        least.alias("minimum"),
-        "actual",
-        F.greatest(least - F.col("actual"), F.lit(0)).alias("gap"),
-        (F.col("actual") >= least).alias("ok"),
-        "ready",
+    lines = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("requirement"),
+                F.lit(least).cast("long").alias("minimum"),
+                F.col(name).alias("actual"),
+                F.greatest(F.lit(least) - F.col(name), F.lit(0)).alias("gap"),
+                (F.col(name) >= least).alias("ok"),
+            )
+            for name, least in minimums.items()
+        ]
+    )
+    return actual.select(ready.alias("ready"), F.explode(lines).alias("line")).select(
+        "line.*", "ready"
     )
