@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("medallion", "quality", "metrics")
+MODULES = ("medallion", "quality", "metrics", "monitoring")
 
 
 def _load():
