@@ -33,6 +33,12 @@ def normal(seed, *ids: Column | str) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0) * F.pi() * u2)
 
 
+def half_even(value: Column, digits: int = 4) -> Column:
+    """Rounded on the binary value, ties to even."""
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """Whole seconds from start to end, on epoch seconds of both."""
     return F.unix_timestamp(end) - F.unix_timestamp(start)

@@ -83,7 +83,8 @@ VIEWS: dict[str, str] = {
           round(0.7 * {u:9:event_id} + CASE WHEN event_type = 'error' THEN 0.3 ELSE 0.0 END, 4) FROM events""",
     "incident_request": """
         SELECT concat('N', l_orderkey) AS incident_id,
-          max(l_discount) * 10 AS leak_probability, avg(l_tax) * 10 AS anomaly_score,
+          max(l_discount) * 10 AS leak_probability,
+          CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10 AS anomaly_score,
           avg(l_quantity) / 50 AS forecast_stress_index, count(*) AS telemetry_points
         FROM lineitem GROUP BY l_orderkey""",
     "incident_telemetry": """
