@@ -66,12 +66,12 @@ def payload_rows(spark, sf):
     listed = F.concat(F.lit("["), F.concat_ws(", ", *numbers[:-1], short), F.lit("]"))
     text = F.when(i % 73 == 0, F.lit('"loose text"')).when(i % 5 == 0, listed).otherwise(whole)
     return table(spark, sf, "events").select(
-        F.col("user_id").alias("batch_id"), i.alias("row_index"), text.alias("payload")
+        F.floor(i / 20).alias("batch_id"), i.alias("row_index"), text.alias("payload")
     )
 
 
 CTES["payload_errors"] = """
-    SELECT user_id AS batch_id, event_id AS row_index, value, CASE
+    SELECT event_id // 20 AS batch_id, event_id AS row_index, value, CASE
       WHEN event_id % 73 = 0 THEN concat('Row ', event_id, ' must be an object or list')
       WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 71 = 0 THEN concat('Row ', event_id, ' must contain 11 feature values') END
       WHEN event_id % 97 = 0 THEN concat('Row ', event_id, ' missing fields: [''flow'']')
