@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("medallion", "quality", "metrics", "monitoring", "decisions", "evidence", "scenarios", "files", "models")
+MODULES = ("medallion", "quality", "metrics", "monitoring", "decisions", "evidence", "scenarios", "files", "models", "streams")
 
 
 def _load():
