@@ -246,8 +246,9 @@ def augmented_sql(multiplier: int) -> str:
         {measure('demand', 0.06, None)}
       FROM (SELECT d.id AS sample_id, s.*, CASE WHEN {_u('42:label', 'd.id')} < (SELECT least(avg(leak_label) * 1.2, 0.35) FROM seed_rows)
             THEN 1 ELSE 0 END AS new_label
-          FROM (SELECT unnest(range((SELECT count(*) * {multiplier} FROM seed_rows))) AS id) d JOIN seed_rows s
-            ON s.place = CAST(floor({_u('42', 'd.id')} * (SELECT count(*) FROM seed_rows)) AS BIGINT))"""
+          FROM (SELECT id, CAST(floor({_u('42', 'id')} * n) AS BIGINT) AS place FROM
+              (SELECT count(*) AS n, unnest(range(count(*) * {multiplier})) AS id FROM seed_rows)) d
+            JOIN seed_rows s ON s.place = d.place)"""
 
 
 def seeds(spark, sf):
