@@ -29,7 +29,7 @@ FALLBACK_CITATIONS = (
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def incident_query(incident: Column, action: Column, assets: Column) -> Column:
@@ -40,27 +40,47 @@ def incident_query(incident: Column, action: Column, assets: Column) -> Column:
     )
 
 
+def term_counts(corpus: DataFrame, doc: str, text: str) -> DataFrame:
+    """(document, length, term, tf), counted inside each row: runs of its sorted words.
+
+    A document without words gives one row with a NULL term.
+    """
+    words = corpus.select(doc, F.sort_array(tokens(F.col(text))).alias("words")).select(
+        doc, "words", F.size("words").alias("len")
+    )
+
+    def opens_run(i: Column) -> Column:
+        return (i == 0) | (F.get("words", i) != F.get("words", i - 1))
+
+    # An empty text gives one run of a NULL word, which joins nothing.
+    places = F.sequence(F.lit(0), F.greatest(F.col("len") - 1, F.lit(0)))
+    runs = words.select(doc, "len", "words", F.filter(places, opens_run).alias("starts"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("len"))
+    counted = F.zip_with(
+        "starts", ends, lambda s, e: F.struct(F.get("words", s).alias("term"), (e - s).alias("tf"))
+    )
+    # The outer form keeps Spark from building the array once more just to drop empty ones.
+    return runs.select(doc, "len", F.explode_outer(counted).alias("t")).select(
+        doc, "len", "t.term", "t.tf"
+    )
+
+
 def bm25_scores(corpus: DataFrame, queries: DataFrame, doc: str = "id", text: str = "content",
                 qid: str = "query_id", qtext: str = "query") -> DataFrame:
     """BM25 of every document that shares a term with a query: (query, document, score).
 
-    Corpus terms are cut to the terms the queries use before anything is
-    shuffled, and counted per document on the map side.
+    Only the counts of terms the queries use are shuffled, once, by document;
+    a document's scores are then summed where its counts are.
     """
     wanted = (
         queries.select(qid, F.explode(tokens(F.col(qtext))).alias("term"))
         .groupBy(qid, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    docs = corpus.select(doc, tokens(F.col(text)).alias("words"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg_len"))
-    words = docs.select(doc, F.size("words").alias("len"), F.explode("words").alias("term"))
+    length = F.size(tokens(F.col(text)))
+    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avg_len"))
     vocabulary = wanted.select("term").distinct()
-    tf = (
-        words.join(vocabulary, "term", "left_semi")
-        .groupBy(doc, "len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    tf = term_counts(corpus, doc, text).join(vocabulary, "term", "left_semi").repartition(doc)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     weighted = wanted.join(df, "term").withColumn(
