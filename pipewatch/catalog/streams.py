@@ -127,7 +127,8 @@ def i3_stream(spark, sf):
     source, target, check = (scratch_path(spark, n) for n in ("calls", "answers", "check"))
 
     def start():
-        answers = limits.limit_stream(typed_stream(spark, rows, source).drop("ts"), **LIMIT)
+        arriving = limits.calls_source(spark, rows.schema, source)
+        answers = limits.limit_stream(arriving.drop("ts"), **LIMIT)
         return (
             answers.writeStream.format("parquet")
             .option("path", target)
@@ -212,7 +213,17 @@ def i7_stream(spark, sf):
     return rounded(closed)
 
 
-@query("i15_late_events")
+@query(
+    "i15_late_events",
+    """WITH span AS (SELECT min(epoch_us(ts)) AS a, (max(epoch_us(ts)) - min(epoch_us(ts))) // 3 + 1 AS width FROM prediction_log),
+       s AS (SELECT ts, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start,
+           least((epoch_us(ts) - a) // width + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, 2) AS delivery FROM prediction_log, span),
+       marks AS (SELECT d AS delivery, (SELECT max(ts) FROM s WHERE s.delivery < d) - INTERVAL 10 MINUTE AS mark FROM range(3) t(d)),
+       c AS (SELECT window_start, count(*) AS arrived, count(*) FILTER (WHERE mark IS NULL OR
+           window_start + INTERVAL 15 MINUTE > mark) AS counted FROM s JOIN marks ON marks.delivery = s.delivery GROUP BY 1)
+       SELECT window_start, arrived, counted, arrived - counted AS late FROM c
+       WHERE counted > 0 AND window_start + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM prediction_log) - INTERVAL 10 MINUTE""",
+)
 def i15(spark, sf):
     """Events delivered a slice late miss their windows and are counted apart."""
     late = F.col("event_id") % 10 == 3

@@ -37,14 +37,10 @@ def temporal_split(
     With ``real_holdout`` only real rows are cut and synthetic rows all train;
     with fewer than five real rows the cut falls back to all rows.
     """
-    ranked = with_rank(df, [*order], "time_rank")
-    n = ranked.count()
-    if n < 5:
-        raise ValueError("a temporal split needs at least 5 rows")
     policy = "temporal_all"
     if real_holdout:
         real = F.coalesce(F.col(source), F.lit("real")) == "real"
-        real_rows = with_rank(df.filter(real), [*order], "time_rank")
+        real_rows = with_rank(df.filter(real), order, "time_rank")
         n_real = real_rows.count()
         if n_real >= 5:
             train_end, val_end = cut_points(n_real, train_frac, val_frac)
@@ -55,6 +51,10 @@ def temporal_split(
                 )
                 return held.unionByName(rest), "real_only_holdout"
         policy = "temporal_all_fallback"
+    ranked = with_rank(df, order, "time_rank")
+    n = ranked.count()
+    if n < 5:
+        raise ValueError("a temporal split needs at least 5 rows")
     train_end, val_end = cut_points(n, train_frac, val_frac)
     if not train_end < val_end < n:
         raise ValueError("the temporal split leaves validation or test empty")

@@ -8,19 +8,26 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+FALLBACK = "pipewatch.scratchDir"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of this machine; anywhere
     else executors could not reach it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get(FALLBACK, None)
+    )
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="/tmp/run-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    spark.conf.set(FALLBACK, root)
     return root
 
 

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,11 +27,17 @@ def admit(log: deque, at: int, window: int, limit: int) -> bool:
     return True
 
 
+def calls_source(spark: SparkSession, schema, folder: str, max_bytes: str = "256m") -> DataFrame:
+    """Streamed calls in micro-batches of a fixed size, which bounds what one client brings at once."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(folder)
+
+
 def limit_stream(calls: DataFrame, limit: int = MAX_REQUESTS, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Accept or reject streamed calls (client, at_micros, seq).
 
     A client's state is its accepted calls inside the window: ``limit`` numbers
-    at most. Calls of one micro-batch are taken in time order.
+    at most. Calls of one micro-batch are taken in time order, so the source
+    should bound its micro-batches, as ``calls_source`` does.
     """
     window = window_seconds * 1_000_000
 
