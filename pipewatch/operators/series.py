@@ -1,9 +1,10 @@
 """Window features per sensor that survive one sensor holding much of the data.
 
-Ordinary sensors use a plain window, one shuffle on the sensor. Sensors above
-``pipewatch.hotKeyRows`` rows are cut along time into chunks of the written
-order; each chunk gets copies of the few neighbouring rows its frames reach
-into, so no task ever sees a whole hot sensor.
+As long as every sensor fits a task, a plain window does: one shuffle on the
+sensor. Once a sensor has more than ``pipewatch.hotKeyRows`` rows, the rows are
+written in (sensor, time) order and worked on chunk by chunk; each chunk gets
+copies of the few neighbouring rows its frames reach into, so no task ever
+sees a whole hot sensor.
 """
 
 from __future__ import annotations
@@ -14,22 +15,15 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pipewatch.operators.ordered import CHUNK, POS, ordered_chunks
-from pipewatch.sources.scratch import checkpointed
 
-HOT_ROWS = 2_000_000
+HOT_ROWS = 10_000_000
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
-    """Keys with more rows than one task should sort, or None when there are none."""
+def has_hot_key(df: DataFrame, key: str) -> bool:
+    """Some key has more rows than one task should sort."""
     limit = int(df.sparkSession.conf.get("pipewatch.hotKeyRows", str(HOT_ROWS)))
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > limit).select(F.col(key).alias("_hot"))
-    return None if hot.isEmpty() else checkpointed(hot)
-
-
-def split_hot(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    same = F.col(key).eqNullSafe(F.col("_hot"))
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+    return not counts.filter(F.col("_rows") > limit).isEmpty()
 
 
 def over_series(
@@ -47,30 +41,26 @@ def over_series(
     rows ahead. ``probe`` is a cheaper frame to count the key on; it must hold
     at least the rows of ``df``.
     """
-    plain = Window.partitionBy(key).orderBy(*order)
-    hot = hot_keys(probe if probe is not None else df, key)
-    if hot is None:
-        return compute(df, plain)
+    if not has_hot_key(probe if probe is not None else df, key):
+        return compute(df, Window.partitionBy(key).orderBy(*order))
 
-    cold_rows, hot_rows = split_hot(df, key, hot)
-    chunks = ordered_chunks(hot_rows, [F.col(key), *order])
+    chunks = ordered_chunks(df, [F.col(key), *order])
     sizes = chunks.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    # File numbers may have gaps; neighbours are counted on a dense number.
-    dense = sizes.select(CHUNK, "_n", (F.row_number().over(Window.orderBy(CHUNK))).alias("_seq"))
+    # File numbers may have gaps; neighbours are counted on a dense number, one row per file.
+    dense = sizes.select(CHUNK, "_n", F.row_number().over(Window.orderBy(CHUNK)).alias("_seq"))
     placed = chunks.join(F.broadcast(dense), CHUNK)
     # Every chunk has a row, so the last k rows before a chunk lie in at most k chunks.
-    reach = F.when(
+    back = F.when(
         F.col(POS) >= F.col("_n") - lookback, F.sequence(F.lit(0), F.lit(lookback))
     ).otherwise(F.array(F.lit(0)))
-    back = F.when(
+    ahead = F.when(
         F.col(POS) < lookahead, F.sequence(F.lit(-lookahead), F.lit(0))
     ).otherwise(F.array(F.lit(0)))
-    copies = placed.withColumn("_shift", F.explode(F.array_union(reach, back)))
+    copies = placed.withColumn("_shift", F.explode(F.array_union(back, ahead)))
     copies = copies.withColumn("_home", F.col("_seq") + F.col("_shift"))
     window = Window.partitionBy("_home", key).orderBy(*order)
     done = compute(copies.drop(CHUNK, POS, "_n", "_seq"), window)
-    done = done.filter(F.col("_shift") == 0).drop("_shift", "_home")
-    return compute(cold_rows, plain).unionByName(done)
+    return done.filter(F.col("_shift") == 0).drop("_shift", "_home")
 
 
 def running_max(
@@ -79,17 +69,16 @@ def running_max(
 ) -> DataFrame:
     """Largest ``value`` seen so far per series, the current row included."""
 
-    def local(rows: DataFrame, *by: str, ordering: list[Column]) -> DataFrame:
+    def so_far(rows: DataFrame, by: list[str], ordering: list[Column]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*ordering)
         return rows.withColumn(
             name, F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
         )
 
-    hot = hot_keys(probe if probe is not None else df, key)
-    if hot is None:
-        return local(df, key, ordering=order)
-    cold_rows, hot_rows = split_hot(df, key, hot)
-    chunks = ordered_chunks(hot_rows, [F.col(key), *order])
+    if not has_hot_key(probe if probe is not None else df, key):
+        return so_far(df, [key], order)
+    chunks = ordered_chunks(df, [F.col(key), *order])
+    # One row per key and file it lies in; a key's files are few beside its rows.
     before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         chunks.groupBy(key, CHUNK)
@@ -99,11 +88,12 @@ def running_max(
             F.col(CHUNK).alias("_at"),
             F.max("_top").over(before).alias("_carry"),
         )
+        .filter(F.col("_carry").isNotNull())
     )
-    here = local(chunks, key, CHUNK, ordering=[F.col(POS)])
-    done = (
-        here.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col(CHUNK) == F.col("_at")))
+    here = so_far(chunks, [CHUNK, key], [F.col(POS)])
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(CHUNK) == F.col("_at"))
+    return (
+        here.join(carried, same, "left")
         .withColumn(name, F.greatest(name, "_carry"))
         .drop(CHUNK, POS, "_key", "_at", "_carry")
     )
-    return local(cold_rows, key, ordering=order).unionByName(done)

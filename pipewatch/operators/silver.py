@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewatch.operators.series import hot_keys, running_max
+from pipewatch.operators.series import running_max
 
 # Unit factors of the contract.
 KPA_TO_PSI = 0.1450377377

@@ -27,7 +27,7 @@ def admit(log: deque, at: int, window: int, limit: int) -> bool:
     return True
 
 
-def calls_source(spark: SparkSession, schema, folder: str, max_bytes: str = "256m") -> DataFrame:
+def calls_source(spark: SparkSession, schema, folder: str, max_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """Streamed calls in micro-batches of a fixed size, which bounds what one client brings at once."""
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(folder)
 
