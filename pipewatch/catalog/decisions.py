@@ -56,11 +56,11 @@ def status(spark, sf):
     "b20_request_validation",
     """SELECT incident_id, CASE
            WHEN leak_probability > 1 THEN 'leak_probability out of range' ELSE 'anomaly_score missing' END AS reject_reason
-       FROM (SELECT concat('N', l_orderkey) AS incident_id, sum(l_discount) * 2.5 AS leak_probability,
+       FROM (SELECT concat('N', l_orderkey) AS incident_id, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) * 0.025 AS leak_probability,
                max(CASE WHEN l_returnflag = 'R' THEN l_tax END) AS anomaly_score FROM lineitem GROUP BY l_orderkey)
        WHERE (leak_probability > 1) <> (anomaly_score IS NULL)
        UNION ALL SELECT incident_id, 'leak_probability out of range; anomaly_score missing'
-       FROM (SELECT concat('N', l_orderkey) AS incident_id, sum(l_discount) * 2.5 AS leak_probability,
+       FROM (SELECT concat('N', l_orderkey) AS incident_id, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) * 0.025 AS leak_probability,
                max(CASE WHEN l_returnflag = 'R' THEN l_tax END) AS anomaly_score FROM lineitem GROUP BY l_orderkey)
        WHERE leak_probability > 1 AND anomaly_score IS NULL""",
 )
@@ -69,7 +69,7 @@ def b20(spark, sf):
         table(spark, sf, "lineitem")
         .groupBy(F.concat(F.lit("N"), "l_orderkey").alias("incident_id"))
         .agg(
-            (F.sum("l_discount") * 2.5).alias("leak_probability"),
+            (F.sum(F.round(F.col("l_discount") * 100).cast("long")) * 0.025).alias("leak_probability"),
             F.max(F.when(F.col("l_returnflag") == "R", F.col("l_tax"))).alias("anomaly_score"),
             (F.avg("l_quantity") / 50).alias("forecast_stress_index"),
         )

@@ -45,10 +45,13 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def rounded(df, digits: int = 6):
-    """Round every double column, for stable output."""
+    """Round every double column, for stable output: scaled, rounded to a whole, scaled back."""
+    scale = F.lit(float(10**digits))
     return df.select(
         *[
-            F.round(F.col(f"`{n}`"), digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
+            (F.round(F.col(f"`{n}`") * scale) / scale).alias(n)
+            if t in ("double", "float")
+            else F.col(f"`{n}`")
             for n, t in df.dtypes
         ]
     )
