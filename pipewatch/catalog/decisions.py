@@ -292,7 +292,7 @@ _SLO_METRICS = """SELECT 'all' AS subject, 'availability' AS metric, availabilit
     UNION ALL SELECT 'all', 'p95_latency_ms', p95_latency_ms FROM report
     UNION ALL SELECT 'all', 'p99_latency_ms', p99_latency_ms FROM report
     UNION ALL SELECT 'all', 'error_rate', error_rate FROM report
-    UNION ALL SELECT 'all', 'success_rate', (SELECT count(*) FILTER (WHERE status_code BETWEEN 200 AND 399) / count(*) FROM prediction_log)
+    UNION ALL SELECT 'all', 'success_rate', (SELECT count(*) FILTER (WHERE status_code = 200) / count(*) FROM prediction_log)
     UNION ALL SELECT 'all', 'timeout_rate', (SELECT count(*) FILTER (WHERE status_code IS NULL) / count(*) FROM prediction_log)"""
 
 
@@ -310,7 +310,7 @@ def j14_slo(spark, sf):
 
 
 _LOAD_METRICS = f"""SELECT 'all' AS subject, 'success_rate' AS metric,
-      count(*) FILTER (WHERE status_code BETWEEN 200 AND 399) / count(*) AS value FROM prediction_log
+      count(*) FILTER (WHERE status_code = 200) / count(*) AS value FROM prediction_log
     UNION ALL SELECT 'all', 'latency_ms_p95', {mon._tail(0.95, 'prediction_log')}
     UNION ALL SELECT 'all', 'latency_ms_p99', {mon._tail(0.99, 'prediction_log')}"""
 

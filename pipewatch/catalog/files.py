@@ -109,15 +109,29 @@ def a7(spark, sf):
 
 @query(
     "a7_feature_dictionary",
-    "SELECT name, description FROM (VALUES "
-    + ", ".join(f"('{k}', '{v}')" for k, v in gd.FEATURE_DICTIONARY.items())
-    + ") t(name, description) WHERE EXISTS (SELECT 1 FROM gold_rows)",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, '{text}' AS description, count(DISTINCT {c}) AS distinct_values FROM gold_rows"""
+        for c, text in gd.FEATURE_DICTIONARY.items()
+        if not c.endswith(("_delta", "_roc", "_3", "_6"))
+    ),
 )
 def a7_dictionary(spark, sf):
-    described = gd.feature_dictionary(gold_frame(spark, sf)).filter("description IS NOT NULL")
+    """The dictionary as a document, beside what each stored feature holds."""
+    gold = gold_frame(spark, sf)
+    described = gd.feature_dictionary(gold).filter("description IS NOT NULL")
     written = writers.write_document(described, scratch_path(spark, "dictionary"))
     parsed = written.select(F.from_json("value", "name string, description string").alias("d"))
-    return parsed.select("d.*")
+    stored = [c for c in gd.FEATURE_DICTIONARY if not c.endswith(("_delta", "_roc", "_3", "_6"))]
+    seen = gold.select(
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in stored]
+            )
+        ).alias("c")
+    ).select("c.*")
+    # Values are made distinct before they are counted.
+    counts = seen.distinct().groupBy("name").agg(F.count("v").alias("distinct_values"))
+    return parsed.select("d.*").join(counts, "name")
 
 
 @query("a8_file_inventory")
@@ -233,15 +247,16 @@ def a15(spark, sf):
 
 @query(
     "b14_column_contract",
-    """SELECT 'reading_id' AS missing_column WHERE EXISTS (SELECT 1 FROM telemetry_raw)""",
+    "SELECT 'reading_id' AS missing_column, count(*) AS readings FROM telemetry_raw",
 )
 def b14(spark, sf):
     """The header of the landed files against a contract that asks for one column more."""
     from pipewatch.operators.quality import missing_columns
 
-    actual = readers.input_columns(spark, f"{raw_folder(spark, sf)}/leakg3pd_sample.csv")
-    missing = missing_columns(actual, [*NINE, "reading_id"])
-    return spark.createDataFrame([(c,) for c in missing], "missing_column string")
+    path = f"{raw_folder(spark, sf)}/leakg3pd_sample.csv"
+    missing = missing_columns(readers.input_columns(spark, path), [*NINE, "reading_id"])
+    readings = readers.read_telemetry(spark, path).agg(F.count(F.lit(1)).alias("readings"))
+    return readings.select(F.explode(F.array(*[F.lit(c) for c in missing])).alias("missing_column"), "readings")
 
 
 _CANDIDATES = sorted(

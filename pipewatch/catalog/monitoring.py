@@ -233,13 +233,13 @@ def d32(spark, sf):
 
 @query(
     "d36_request_summary",
-    f"""SELECT count(*) AS requests, count(*) FILTER (WHERE status_code BETWEEN 200 AND 399) AS successes,
-          round(count(*) FILTER (WHERE status_code BETWEEN 200 AND 399) / count(*), 6) AS success_rate,
+    f"""SELECT count(*) AS requests, count(*) FILTER (WHERE status_code = 200) AS successes,
+          round(count(*) FILTER (WHERE status_code = 200) / count(*), 6) AS success_rate,
           round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration_seconds,
           round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS throughput_rps,
           round(avg(latency_ms), 6) AS latency_ms_avg, count(*) FILTER (WHERE status_code IS NULL) AS timeouts,
           count(*) FILTER (WHERE status_code >= 400) AS http_errors,
-          count(*) FILTER (WHERE status_code < 200) AS network_errors,
+          count(*) FILTER (WHERE status_code < 400 AND status_code <> 200) AS network_errors,
           {_tail(0.95, "prediction_log")} AS latency_ms_p95, {_tail(0.99, "prediction_log")} AS latency_ms_p99
         FROM prediction_log""",
 )

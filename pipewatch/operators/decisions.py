@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pipewatch.functions.expr import half_even
 
+# Request fields, the approval text and the dispatch targets.
 SCORES = ("leak_probability", "anomaly_score", "forecast_stress_index")
 APPROVAL_REASON = "Material action or low-confidence scenario requires operator approval."
 TARGETS = (

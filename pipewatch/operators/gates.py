@@ -45,7 +45,7 @@ BLUE_GREEN_GATE = [
 ]
 APPROVAL_FIELDS = ("approved", "approved_by", "approved_at", "change_ticket", "scope")
 
-RULE_SCHEMA = "check string, metric string, op string, bound double, missing double"
+RULE_FIELDS = ("check", "metric", "op", "bound", "missing")
 
 
 def with_limits(rules: list[tuple], **limits: float) -> list[tuple]:
@@ -72,13 +72,8 @@ def holds(op: Column, value: Column, bound: Column) -> Column:
 
 def evaluate_gate(metrics: DataFrame, rules: list[tuple]) -> DataFrame:
     """Every rule for every subject, with the value it saw and whether it holds."""
-    spark = metrics.sparkSession
-    rule_rows = spark.createDataFrame(rules, RULE_SCHEMA)
     entries = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(rule_rows.columns, rule)])
-            for rule in rules
-        ]
+        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(RULE_FIELDS, rule)]) for rule in rules]
     )
     subjects = metrics.select("subject").distinct()
     wanted = subjects.select("subject", F.explode(entries).alias("r")).select("subject", "r.*")

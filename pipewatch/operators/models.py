@@ -68,6 +68,7 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
     )
 
 
+# Fixed value: the reason given for a skipped model.
 SINGLE_CLASS = "Train split has a single class; supervised model not trainable"
 
 
