@@ -9,7 +9,7 @@ from pipewatch.catalog.registry import CTES, query
 from pipewatch.functions.expr import ratio, rounded
 from pipewatch.operators import metrics as m
 from pipewatch.operators import splits as sp
-from pipewatch.operators.ordered import lower_quantiles, next_event_rank, running_sums, with_rank
+from pipewatch.operators.ordered import lower_quantiles, next_event_ranks, running_sums, with_rank
 from pipewatch.sources.views import table, view
 
 ORDER = ["ts", "event_id"]
@@ -163,7 +163,7 @@ def d17_error(spark, sf):
 )
 def e7(spark, sf):
     ranked = with_rank(scored(spark, sf), [F.col(c) for c in ORDER])
-    found = next_event_rank(ranked, "rank", F.col("score") >= 0.9, [], "next_rank")
+    found = next_event_ranks(ranked, "rank", {"next_rank": F.col("score") >= 0.9})
     return found.select("event_id", "rank", "next_rank")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewatch.functions.expr import ratio
-from pipewatch.operators.ordered import next_event_rank, running_sums, values_at_ranks, with_rank
+from pipewatch.operators.ordered import next_event_ranks, running_sums, values_at_ranks, with_rank
 
 # Business inputs and the threshold grid in twentieths.
 COST_MISSED_LEAK = 5000.0
@@ -145,13 +145,15 @@ def calibration_error(curve: DataFrame) -> DataFrame:
     return curve.agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("expected_calibration_error"))
 
 
-def detection_delays(ranked: DataFrame, n_rows: Column, by: list[str], predicted: Column) -> DataFrame:
-    """Per positive row, ranks to the next predicted positive, else the rows left."""
-    nexts = next_event_rank(ranked, "rank", predicted, by, "next_rank")
-    return (
-        nexts.filter(F.col("y") == 1)
-        .withColumn("delay", F.coalesce(F.col("next_rank"), n_rows) - F.col("rank"))
-        .drop("next_rank")
+def detection_delays(ranked: DataFrame, n_rows: Column, reached: dict[str, Column]) -> DataFrame:
+    """Mean steps from a positive row to the next predicted positive, one column per prediction.
+
+    A positive row that no prediction follows counts the rows left.
+    """
+    nexts = next_event_ranks(ranked, "rank", reached).withColumn("_n", n_rows)
+    positives = nexts.filter(F.col("y") == 1)
+    return positives.agg(
+        *[F.avg(F.coalesce(name, "_n") - F.col("rank")).alias(name) for name in reached]
     )
 
 
@@ -194,17 +196,10 @@ def sweep(
         cell(actual & ~reach).alias("fn"),
         cell(actual & reach).alias("tp"),
     )
-    # Only leaks and the rows that answer them take part in the delay.
-    upto = F.when(F.col("y") == 1, F.lit(len(grid))).otherwise(F.col("level"))
-    parts = ranked.filter((F.col("y") == 1) | (F.col("level") > 0)).withColumn(
-        "k", F.explode(F.sequence(F.lit(1), upto))
-    )
     total = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-    delays = (
-        detection_delays(parts, total, ["k"], F.col("level") >= F.col("k"))
-        .groupBy("k")
-        .agg(F.avg("delay").alias("delay"))
-    )
+    names = {f"delay_{k}": F.col("level") >= k for k in range(1, len(grid) + 1)}
+    one = detection_delays(ranked.select("rank", "y", "level"), total, names)
+    delays = one.select(F.posexplode(F.array(*names)).alias("k", "delay")).withColumn("k", F.col("k") + 1)
     threshold = F.element_at(F.array(*[F.lit(t) for t in grid]), F.col("k"))
     return (
         counts.join(delays, "k", "left")

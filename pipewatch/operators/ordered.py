@@ -9,6 +9,7 @@ several chunks because the key includes a tie-break.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,9 +26,10 @@ def ordered_chunks(df: DataFrame, keys: list[Column]) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "ordered")
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+    # Files are named part-00000-<run>-c000.<codec>.parquet, by task and piece.
     name = F.col("_metadata.file_name")
-    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
-    piece = F.regexp_extract(name, r"-c(\d+)", 1).cast("long")
+    part = F.substring_index(F.substring(name, 6, 12), "-", 1).cast("long")
+    piece = F.substring_index(F.substring_index(name, "-c", -1), ".", 1).cast("long")
     return (
         spark.read.schema(df.schema)
         .parquet(path)
@@ -116,31 +118,38 @@ def lower_quantiles(
     return values_at_ranks(df, value, {name: at(q) for name, q in quantiles.items()}, by)
 
 
-def next_event_rank(df: DataFrame, rank: str, is_event: Column, by: list[str], name: str,
-                    width: int = 100_000) -> DataFrame:
-    """Rank of the first event row at or after each row, NULL when none follows.
-
-    Rows are cut into equal blocks of ``width`` ranks; only the first event of
-    each block crosses block borders.
+def next_event_ranks(
+    df: DataFrame, rank: str, events: dict[str, Column], width: int | None = None
+) -> DataFrame:
+    """Per row and kind of event, the rank of the first event at or after it.
+
+    ``events`` maps an output column to the condition that makes a row such an
+    event; NULL means none follows. Rows are cut into blocks of ``width``
+    ranks, all kinds are found in one pass over a block, and only the first
+    events of blocks cross their borders. The default width grows with the
+    square root of the table, so neither a block nor the list of blocks
+    becomes large.
     """
-    block = F.floor(F.col(rank) / F.lit(width))
-    rows = df.withColumn("_block", block).withColumn("_event", F.when(is_event, F.col(rank)))
+    if width is None:
+        width = max(100_000, math.isqrt(df.count()))
+    found = {name: f"_event{i}" for i, name in enumerate(events)}
+    rows = df.withColumn("_block", F.floor(F.col(rank) / F.lit(width))).withColumns(
+        {found[name]: F.when(condition, F.col(rank)) for name, condition in events.items()}
+    )
     # Walked backwards, so each row adds to the frame of the row after it.
     onward = (
-        Window.partitionBy(*by, "_block")
+        Window.partitionBy("_block")
         .orderBy(F.col(rank).desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    rows = rows.withColumn("_near", F.min("_event").over(onward))
-    firsts = rows.groupBy(*by, "_block").agg(F.min("_event").alias("_first"))
-    later = (
-        Window.partitionBy(*by)
-        .orderBy(F.col("_block").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumns({name: F.min(c).over(onward) for name, c in found.items()})
+    firsts = rows.groupBy("_block").agg(*[F.min(c).alias(c) for c in found.values()])
+    later = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    far = firsts.select(
+        "_block", *[F.min(c).over(later).alias(f"{c}_later") for c in found.values()]
     )
-    firsts = firsts.select(*by, "_block", F.min("_first").over(later).alias("_far"))
     return (
-        rows.join(firsts, [*by, "_block"], "left")
-        .withColumn(name, F.coalesce("_near", "_far"))
-        .drop("_block", "_event", "_near", "_far")
+        near.join(far, "_block", "left")
+        .withColumns({name: F.coalesce(name, f"{c}_later") for name, c in found.items()})
+        .drop("_block", *found.values(), *[f"{c}_later" for c in found.values()])
     )

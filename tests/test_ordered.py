@@ -59,10 +59,11 @@ def test_lower_quantile_of_nothing(spark):
 def test_next_event(spark, width):
     flags = [int(x) for x in np.random.default_rng(3).integers(0, 6, 120) == 0]
     df = spark.createDataFrame([(i, f) for i, f in enumerate(flags)], "rank long, e int")
-    got = o.next_event_rank(df, "rank", F.col("e") == 1, [], "nxt", width=width)
+    got = o.next_event_ranks(df, "rank", {"nxt": F.col("e") == 1, "any": F.lit(True)}, width=width)
     for r in got.collect():
         later = [i for i in range(r["rank"], 120) if flags[i]]
         assert r["nxt"] == (later[0] if later else None)
+        assert r["any"] == r["rank"]
 
 
 def readings(spark):
