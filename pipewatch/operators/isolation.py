@@ -7,16 +7,22 @@ whatever the table holds. The grown forest is a fixed number of small arrays.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewatch.operators.ordered import with_rank
 from pipewatch.sources.scratch import checkpointed
 
+# Executors get the few functions below with the task, without this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EULER = 0.5772156649015329
 
 
@@ -65,27 +71,29 @@ TREE_SCHEMA = (
 )
 
 
+@dataclass
 class IsolationForest:
     """A grown forest: its trees, the subsample size and the feature order."""
 
-    def __init__(self, trees: list[dict[str, np.ndarray]], sample: int, features: list[str]):
-        self.trees, self.sample, self.features = trees, sample, features
-
-    def raw_scores(self, rows: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path / expected path); near 1 is easy to isolate."""
-        total = np.zeros(len(rows))
-        index = np.arange(len(rows))
-        for t in self.trees:
-            node = np.zeros(len(rows), dtype=np.int64)
+    trees: list[dict[str, np.ndarray]]
+    sample: int
+    features: list[str]
+
+
+def path_scores(trees: list[dict[str, np.ndarray]], sample: int, rows: np.ndarray) -> np.ndarray:
+    """2 ** (-mean path / expected path); near 1 is easy to isolate."""
+    total = np.zeros(len(rows))
+    index = np.arange(len(rows))
+    for t in trees:
+        node = np.zeros(len(rows), dtype=np.int64)
+        active = t["feature"][node] >= 0
+        while active.any():
+            at = node[active]
+            go_left = rows[index[active], t["feature"][at]] <= t["cut"][at]
+            node[active] = np.where(go_left, t["left"][at], t["right"][at])
             active = t["feature"][node] >= 0
-            while active.any():
-                at = node[active]
-                go_left = rows[index[active], t["feature"][at]] <= t["cut"][at]
-                node[active] = np.where(go_left, t["left"][at], t["right"][at])
-                active = t["feature"][node] >= 0
-            total += t["path"][node]
-        expected = float(average_path(self.sample))
-        return np.power(2.0, -total / (len(self.trees) * max(expected, 1e-9)))
+        total += t["path"][node]
+    return np.power(2.0, -total / (len(trees) * max(float(average_path(sample)), 1e-9)))
 
 
 def fit_isolation_forest(
@@ -138,13 +146,14 @@ def _named(order: list[Column], features: list[str], df: DataFrame) -> list[str]
 
 def raw_anomaly(df: DataFrame, forest: IsolationForest, name: str = "raw_score") -> DataFrame:
     """Raw anomaly score per row, in Arrow batches."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    # At most n_trees * 2 * max_sample nodes, a few MB at the defaults.
+    shared = df.sparkSession.sparkContext.broadcast((forest.trees, forest.sample))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        model = shared.value
+        trees, sample = shared.value
         for batch in batches:
-            yield pd.Series(model.raw_scores(batch.to_numpy(dtype=float)))
+            yield pd.Series(path_scores(trees, sample, batch.to_numpy(dtype=float)))
 
     columns = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in forest.features]
     return df.withColumn(name, score(F.struct(*columns)))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pipewatch.operators.series import over_series, running_max
 
+# Executors get the admission rule with the task, without this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_REQUESTS = 60
 WINDOW_SECONDS = 60
 OUT = "client string, at_micros long, seq long, accepted boolean"
