@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pipewatch.llm import mixing
+from pipewatch.llm import mixing, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_mix_sources": mixing.query,
 }
 
