@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pipewatch.llm import mixing, toxicity
+from pipewatch.llm import mixing, sketch, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
     "op3_mix_sources": mixing.query,
+    "op10_near_duplicates": sketch.query,
 }
 
 ORACLE = {
+    "op10_near_duplicates": sketch.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
 }
