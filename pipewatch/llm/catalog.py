@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
-from pipewatch.llm import mixing, sketch, toxicity
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+import corpus_pipeline
+from pipewatch.llm import mixing, packing, pii, sketch, toxicity
+from pipewatch.session import tune
+
+
+def tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(tune(spark), sf_dir)
+
+    run.__doc__ = query.__doc__
+    return run
+
 
 QUERIES = {
-    "op2_toxicity": toxicity.query,
-    "op3_mix_sources": mixing.query,
-    "op10_near_duplicates": sketch.query,
+    name: tuned(query)
+    for name, query in {
+        "op2_toxicity": toxicity.query,
+        "op3_mix_sources": mixing.query,
+        "op8_pack_sequences": packing.query,
+        "op9_personal_data": pii.query,
+        "op10_near_duplicates": sketch.query,
+        "pipeline": corpus_pipeline.run,
+    }.items()
 }
 
 ORACLE = {
-    "op10_near_duplicates": sketch.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
+    "op10_near_duplicates": sketch.ORACLE,
 }

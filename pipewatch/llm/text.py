@@ -24,7 +24,7 @@ SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text handed to numpy at once; bounds a task's memory, not what it works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xC2B2AE3D27D4EB4F)
