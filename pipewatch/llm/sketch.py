@@ -6,10 +6,12 @@ share most of them; by the prefix principle they also share one of the rarer
 ones, so inverted lists are kept for the rarer retained values only. Pairs of a
 list are estimated on the sketch of the union, and confirmed on full sets.
 
-A list first links its members to two pivots. What is connected by then needs
-no further pair, so a group of thousands of near copies costs a few pairs per
-member; only members of one list that lie in different components are
-paired. No list is cut.
+A list first links its members to two pivots, one of them its most central
+member. What is connected by then needs no further pair. Members of lists that
+still span components are compared block by block around their pivot: first on
+sketches, which leaves those with a possible partner, then on full sets. Only
+confirmed links leave a block, so a group of thousands of near copies, or of
+texts around one passage, makes no table of pairs. No list is cut.
 
 Defined results: null and empty texts, and rows without doc_id, are linked
 with nothing; a row without doc_id has no component and is kept; rows that
@@ -37,6 +39,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Values a sketch retains.
 K = 32
+#: Bits of the filter that picks the texts to read again; 4 MB whatever the table holds.
+FILTER_BITS = 1 << 25
+#: Members of one group that are compared in one task; larger groups are compared block by block.
+BLOCK = 1024
 #: Standard deviations by which an estimate may miss before a pair is lost.
 DEVIATIONS = 5.0
 
@@ -137,7 +143,11 @@ def least_common(length: Column, k: int, threshold: float) -> Column:
 
 
 def inverted_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(v, cid, n): a class under each of the rarer values it retains, if others retain them too."""
+    """(v, cid, central): a class under each of the rarer values it retains, if others retain them too.
+
+    ``central`` is large for a class whose values many others retain, such as the text
+    that a group of near copies was made from.
+    """
     values = classes.select("cid", "n", F.size("sketch").alias("len"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = values.join(often, "v").groupBy("cid", "n", "len").agg(
@@ -145,11 +155,9 @@ def inverted_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     )
     # Values nobody else retains are the rarest, so they fill the prefix first.
     prefix = F.col("len") - least_common(F.col("len"), k, threshold) + 1 - (F.col("len") - F.size("shared"))
-    return (
-        shared.filter(prefix > 0)
-        .select("cid", "n", F.explode(F.slice("shared", F.lit(1), prefix)).alias("e"))
-        .select(F.col("e.v").alias("v"), "cid", "n")
-    )
+    central = F.aggregate("shared", F.lit(0.0), lambda total, e: total + F.log1p(e["df"].cast("double")))
+    listed = shared.filter(prefix > 0).select("cid", central.alias("central"), F.slice("shared", F.lit(1), prefix)["v"].alias("prefix"))
+    return listed.select(F.explode("prefix").alias("v"), "cid", "central")
 
 
 def alike_sizes(a: str, b: str, threshold: float) -> Column:
@@ -178,23 +186,125 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def pivot_pairs(lists: DataFrame) -> DataFrame:
-    """Each member of a list with the list's smallest and largest class."""
-    ends = lists.groupBy("v").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high")
-    both = lists.join(ends, "v").select("cid", F.explode(F.array("low", "high")).alias("pivot")).filter("cid != pivot")
+    """Each member of a list with the most central one and with the one of smallest id."""
+    ends = lists.groupBy("v").agg(
+        F.max(F.struct("central", "cid"))["cid"].alias("middle"), F.min("cid").alias("low"), F.max("cid").alias("high")
+    ).filter("low < high")
+    both = lists.join(ends, "v").select("cid", F.explode(F.array("low", "middle")).alias("pivot")).filter("cid != pivot")
     return both.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
 
-def open_pairs(lists: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a list whose members are not connected yet."""
-    placed = lists.join(joined, lists["cid"] == joined["node"], "left").select(
-        "v", "cid", "n", F.coalesce("component", "cid").alias("c")
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cid, text) of the rows whose doc_id is among ``ids``.
+
+    A bitmap of hashed ids, of fixed size, lets most other texts out before the
+    join, so few texts are shuffled.
+    """
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bitmap = (
+        ids.select(hashed("cid").alias("h"))
+        .groupBy(F.bitmap_bucket_number("h").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
     )
-    mixed = placed.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("v")
-    placed = placed.join(mixed, "v")
-    x = placed.select("v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = placed.select("v", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = x.join(y, "v").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    return pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("a", "b").distinct()
+    place = F.bitmap_bit_position("_h")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_h) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    passed = (
+        docs.withColumn("_h", hashed("doc_id"))
+        .join(F.broadcast(bitmap), F.bitmap_bucket_number("_h") == F.col("_bucket"))
+        .filter(F.getbit(byte, (place % 8).cast("int")) == 1)
+        .select("doc_id", "text")
+    )
+    return passed.join(ids, passed["doc_id"] == ids["cid"]).select("cid", "text")
+
+
+def open_groups(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """(g, cid, c): members and their components, of lists that span several, by the list's central class."""
+    placed = lists.join(joined, lists["cid"] == joined["node"], "left").withColumn("c", F.coalesce("component", "cid"))
+    mixed = placed.groupBy("v").agg(
+        F.max(F.struct("central", "cid"))["cid"].alias("g"), F.min("c").alias("low"), F.max("c").alias("high")
+    ).filter("low < high").select("v", "g")
+    return placed.join(mixed, "v").filter("cid != g").select("g", "cid", "c").distinct()
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """Each member once for every pair (i, j) of blocks of its group that it lies in."""
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    placed = members.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("cid"), "_n").cast("int"))
+    other = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return other.select(*members.columns, "own", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"))
+
+
+def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) between members of a block pair in different components.
+
+    ``members`` has g, cid, c and ``values``. Rule "sets" compares full sets and returns the
+    links; rule "sketches" returns (cid, cid) of members that share enough retained
+    values with some other, since pairs of those are still to be confirmed.
+    """
+    bound = round(threshold * 100)
+    need = [least_common_of(m, k, threshold) for m in range(k + 1)]
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        cid, c, own = (np.array([r[x] for r in rows]) for x in range(3))
+        size = np.array([len(r[3]) for r in rows])
+        names, biggest = np.unique(c, return_counts=True)
+        if len(names) < 2:
+            return
+        which = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(which.max() + 1, dtype=np.int64)
+        two = len(np.unique(own)) > 1
+        for u in np.flatnonzero(c != names[biggest.argmax()]):
+            at = which[starts[u] : starts[u + 1]]
+            mark[at] = 1
+            inter = np.add.reduceat(mark[which], starts[:-1])
+            mark[at] = 0
+            if rule == "sets":
+                good = 100 * inter >= bound * (size + size[u] - inter)
+            else:
+                good = inter >= np.minimum(wanted[size], wanted[size[u]])
+            good &= c != c[u]
+            if two:
+                good &= own != own[u]
+            found = np.flatnonzero(good)
+            if rule == "sets":
+                yield from ((min(cid[u], cid[x]), max(cid[u], cid[x])) for x in found)
+            elif len(found):
+                yield cid[u], cid[u]
+                yield from ((cid[x], cid[x]) for x in found)
+
+    wanted = np.array(need)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def finished() -> pa.RecordBatch:
+            out = sorted(set(compare(rows))) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([int(p[x]) for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(tx.column(batch, x).to_pylist() for x in ("g", "i", "j"))))
+            cid, c, own = (tx.column(batch, x).to_pylist() for x in ("cid", "c", "own"))
+            values = tx.column(batch, "values")
+            flat, offsets = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+            for r, now in enumerate(keys):
+                if now != key:
+                    if rows:
+                        yield finished()
+                    key, rows = now, []
+                rows.append((cid[r], c[r], own[r], flat[offsets[r] : offsets[r + 1]].copy()))
+        if rows:
+            yield finished()
+
+    placed = blocks(members).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cid")
+    return placed.mapInArrow(work, "a long, b long").distinct()
+
+
+def least_common_of(length: int, k: int, threshold: float) -> int:
+    """``least_common`` of a plain number."""
+    if length >= k:
+        return max(1, math.floor(threshold * k - DEVIATIONS * math.sqrt(threshold * (1 - threshold) * k)))
+    return max(1, math.ceil(length * threshold - 1e-9) - max(0, math.floor(length / threshold + 1e-9) - k))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
@@ -211,12 +321,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
         known.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.any_value("sketch").alias("sketch")), "classes"
     )
     lists = written(inverted_lists(classes, k, threshold), "lists")
-    wanted = lists.select("cid").distinct()
-    sets = written(full_sets(docs.join(wanted, docs["doc_id"] == wanted["cid"]), size), "sets")
-
-    first = written(confirmed(likely(pivot_pairs(lists), classes, k, threshold), sets, threshold), "links")
-    rest = open_pairs(lists, components(first, "a", "b"), threshold)
-    second = written(confirmed(likely(rest, classes, k, threshold), sets, threshold), "links")
+    near = written(likely(pivot_pairs(lists), classes, k, threshold), "likely")
+    ends = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = written(full_sets(among(docs, ends), size), "sets")
+    first = written(confirmed(near, sets, threshold), "links")
+
+    groups = written(open_groups(lists, components(first, "a", "b")), "open")
+    sketched = groups.join(classes.select("cid", F.col("sketch").alias("values")), "cid")
+    able = written(matches(sketched, "sketches", k, threshold).select(F.col("a").alias("cid")).distinct(), "able")
+    full = full_sets(among(docs, able), size).withColumnRenamed("set", "values")
+    second = written(matches(groups.join(full, "cid"), "sets", k, threshold), "links")
 
     # A doc_id with several texts joins the classes of all of them.
     of_class = known.select("doc_id", *key).join(classes.select(*key, "cid"), key)
