@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pipewatch.llm import mixing, packing, pii, sketch, toxicity
+from pipewatch.llm import cascade, maxent, mixing, packing, pii, sketch, toxicity, vptree, warc, wordpiece
 from pipewatch.session import tune
 
 
@@ -22,8 +22,13 @@ def tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 QUERIES = {
     name: tuned(query)
     for name, query in {
+        "op1_nearest_vectors": vptree.query,
         "op2_toxicity": toxicity.query,
         "op3_mix_sources": mixing.query,
+        "op4_language_model": maxent.query,
+        "op5_warc_roundtrip": warc.query,
+        "op6_quality_rules": cascade.query,
+        "op7_token_counts": wordpiece.query,
         "op8_pack_sequences": packing.query,
         "op9_personal_data": pii.query,
         "op10_near_duplicates": sketch.query,
@@ -33,5 +38,6 @@ QUERIES = {
 
 ORACLE = {
     "op3_mix_sources": mixing.ORACLE,
+    "op5_warc_roundtrip": warc.ORACLE,
     "op10_near_duplicates": sketch.ORACLE,
 }
