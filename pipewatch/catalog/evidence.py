@@ -46,12 +46,12 @@ CTES["eval_cases"] = """
       [array_to_string(string_split(text, ' ')[3:5], ' ')] AS blocked_phrases FROM benchmark"""
 _NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 CTES["case_quality"] = f"""
-    SELECT e.item_id, round(len(list_filter(expected_sources, lambda s: list_contains(all_sources[1:3], s)))
+    SELECT e.item_id, round(len(list_filter(expected_sources, lambda s: list_contains(coalesce(all_sources[1:3], []), s)))
         / greatest(len(expected_sources), 1), 4) AS source_recall,
-      contains({_NORM.format("concat(context, ' ', 'escalate')")}, {_NORM.format("expected_phrases[1]")}) AS grounded,
-      contains({_NORM.format("concat(context, ' ', 'escalate')")}, {_NORM.format("blocked_phrases[1]")}) AS hallucination_flag,
-      len(citations) > 0 AS citations_present, CAST(len(citations) AS INTEGER) AS n_citations
-    FROM eval_cases e JOIN context_text c ON c.item_id = e.item_id"""
+      contains({_NORM.format("concat_ws(' ', context, suggested)")}, {_NORM.format("expected_phrases[1]")}) AS grounded,
+      contains({_NORM.format("concat_ws(' ', context, suggested)")}, {_NORM.format("blocked_phrases[1]")}) AS hallucination_flag,
+      coalesce(len(citations), 0) > 0 AS citations_present, CAST(coalesce(len(citations), 0) AS INTEGER) AS n_citations
+    FROM eval_cases e LEFT JOIN (SELECT *, 'escalate' AS suggested FROM context_text) c ON c.item_id = e.item_id"""
 
 
 def corpus(spark, sf):
@@ -212,10 +212,10 @@ def k14(spark, sf):
 @query(
     "c9_eval_case_join",
     """SELECT e.item_id, array_to_string(expected_sources, ',') AS expected_sources,
-         array_to_string(all_sources[1:3], ',') AS sources FROM eval_cases e JOIN context_text c ON c.item_id = e.item_id""",
+         array_to_string(all_sources[1:3], ',') AS sources FROM eval_cases e LEFT JOIN context_text c ON c.item_id = e.item_id""",
 )
 def c9(spark, sf):
-    joined = cases(spark, sf).join(contexts(spark, sf), "item_id")
+    joined = cases(spark, sf).join(contexts(spark, sf), "item_id", "left")
     return joined.select(
         "item_id",
         F.array_join("expected_sources", ",").alias("expected_sources"),

@@ -110,9 +110,8 @@ def a7(spark, sf):
 @query(
     "a7_feature_dictionary",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS name, '{text}' AS description, count(DISTINCT {c}) AS distinct_values FROM gold_rows"""
+        f"""SELECT '{c}' AS name, '{text}' AS description, count({c}) AS stored_values FROM gold_rows"""
         for c, text in gd.FEATURE_DICTIONARY.items()
-        if not c.endswith(("_delta", "_roc", "_3", "_6"))
     ),
 )
 def a7_dictionary(spark, sf):
@@ -121,16 +120,8 @@ def a7_dictionary(spark, sf):
     described = gd.feature_dictionary(gold).filter("description IS NOT NULL")
     written = writers.write_document(described, scratch_path(spark, "dictionary"))
     parsed = written.select(F.from_json("value", "name string, description string").alias("d"))
-    stored = [c for c in gd.FEATURE_DICTIONARY if not c.endswith(("_delta", "_roc", "_3", "_6"))]
-    seen = gold.select(
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in stored]
-            )
-        ).alias("c")
-    ).select("c.*")
-    # Values are made distinct before they are counted.
-    counts = seen.distinct().groupBy("name").agg(F.count("v").alias("distinct_values"))
+    stored = list(gd.FEATURE_DICTIONARY)
+    counts = gold.agg(*[F.count(c).alias(c) for c in stored]).unpivot([], stored, "name", "stored_values")
     return parsed.select("d.*").join(counts, "name")
 
 
@@ -178,22 +169,26 @@ def a12(spark, sf):
 
 @query(
     "a13_delimited_landing",
-    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice,
+         CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders""",
 )
 def a13(spark, sf):
     source, target = scratch_path(spark, "orders-csv"), scratch_path(spark, "orders-landed")
     writers.write_csv(table(spark, sf, "orders"), source)
     landed = readers.land_delimited(spark, source, target)
-    return landed.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return landed.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"),
+        F.to_date(F.left("o_orderdate", F.lit(10))).alias("o_orderdate"), "o_orderpriority",
+    )
 
 
-@query("a13_json_landing", "SELECT event_id, event_type, props FROM events")
+@query("a13_json_landing", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, user_id, event_type, value, props FROM events")
 def a13_json(spark, sf):
     source, target = scratch_path(spark, "events-json"), scratch_path(spark, "events-landed")
     table(spark, sf, "events").write.json(source)
     landed = readers.land_json(spark, source, target)
-    parsed = landed.select(F.from_json("value", "event_id long, event_type string, props string").alias("e"))
-    return parsed.select("e.*")
+    parsed = landed.select(F.from_json("value", "event_id long, ts string, user_id long, event_type string, value double, props string").alias("e"))
+    return parsed.select("e.*").withColumn("ts", F.left("ts", F.lit(19)))
 
 
 CTES["seed_files"] = """

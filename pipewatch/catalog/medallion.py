@@ -111,14 +111,8 @@ def silver_frame(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def sensor_probe(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry(spark, sf).select(F.col("node_id").alias(sv.SENSOR))
-
-
 def gold_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return gd.gold(
-        silver_frame(spark, sf), view(spark, sf, "network_links"), probe=sensor_probe(spark, sf)
-    )
+    return gd.gold(silver_frame(spark, sf), view(spark, sf, "network_links"))
 
 
 def curated_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,7 +277,7 @@ def b13(spark, sf):
 )
 def c1(spark, sf):
     canonical = sv.canonical(bronze_frame(spark, sf)).dropna(subset=[sv.TIME])
-    aligned = sv.align_labels(canonical, view(spark, sf, "leak_metadata"), sensor_probe(spark, sf))
+    aligned = sv.align_labels(canonical, view(spark, sf, "leak_metadata"))
     return aligned.select(
         sv.TIME, sv.SENSOR, F.col("_row_hash").alias("row_hash"), "leak_label", "leak_label_aligned"
     )
@@ -323,7 +317,7 @@ def d11(spark, sf):
           {r6('pressure_lag_1', 'pressure_lag_2', 'flow_lag_1', 'demand_lag_1')} FROM series_rows""",
 )
 def e2(spark, sf):
-    s = gd.series_features(silver_frame(spark, sf), probe=sensor_probe(spark, sf))
+    s = gd.series_features(silver_frame(spark, sf))
     return rounded(
         s.select(sv.TIME, sv.SENSOR, "pressure_lag_1", "pressure_lag_2", "flow_lag_1", "demand_lag_1")
     )
@@ -334,7 +328,7 @@ _E3 = ["pressure_delta", "flow_delta", "demand_delta", "pressure_roc", "flow_roc
 
 @query("e3_changes", f"SELECT event_ts_utc, sensor_node_id, {r6(*_E3)} FROM series_rows")
 def e3(spark, sf):
-    s = gd.series_features(silver_frame(spark, sf), probe=sensor_probe(spark, sf))
+    s = gd.series_features(silver_frame(spark, sf))
     return rounded(s.select(sv.TIME, sv.SENSOR, *_E3))
 
 
@@ -343,7 +337,7 @@ _E4 = [f"{m}_roll_avg_{n}" for m in ("pressure", "flow", "demand") for n in (3,
 
 @query("e4_rolling_means", f"SELECT event_ts_utc, sensor_node_id, {r6(*_E4)} FROM series_rows")
 def e4(spark, sf):
-    s = gd.series_features(silver_frame(spark, sf), probe=sensor_probe(spark, sf))
+    s = gd.series_features(silver_frame(spark, sf))
     return rounded(s.select(sv.TIME, sv.SENSOR, *_E4))
 
 
@@ -354,7 +348,7 @@ def e4(spark, sf):
 )
 def e5(spark, sf):
     s = gd.fill_gaps(
-        gd.series_features(silver_frame(spark, sf), horizon=3, probe=sensor_probe(spark, sf))
+        gd.series_features(silver_frame(spark, sf), horizon=3)
     )
     return s.select(sv.TIME, sv.SENSOR, "target_leak_horizon")
 

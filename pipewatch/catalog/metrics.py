@@ -470,13 +470,15 @@ def d40(spark, sf):
 @query(
     "d41_fingerprint",
     """WITH h AS (SELECT CAST(concat('0x', substr(md5(concat_ws('|', event_id, user_id, event_type,
-           coalesce(props, '~'))), 1, 8)) AS BIGINT) AS h FROM events)
+           coalesce(props, '~'), strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), coalesce(CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR), '~'))), 1, 8)) AS BIGINT) AS h FROM events)
        SELECT count(*) AS "rows", CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM h""",
 )
 def d41(spark, sf):
-    return m.fingerprint(
-        table(spark, sf, "events"), ["event_id", "user_id", "event_type", "props"]
-    )
+    events = table(spark, sf, "events").select(
+        "event_id", "user_id", "event_type", "props",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.round(F.col("value") * 1e6).cast("long").alias("micro_value"),
+    )
+    return m.fingerprint(events, events.columns)
 
 
 CTES["green_scores"] = """

@@ -259,10 +259,10 @@ def seeds(spark, sf):
 
 @query(
     "j17_synthetic_readings",
-    f"""SELECT sample_id, "timestamp", node_id, leak_label, {r6(sc.MEASURES)} FROM ({augmented_sql(2)})""",
+    f"""SELECT sample_id, "timestamp", node_id, leak_label, {r6(sc.MEASURES)} FROM ({augmented_sql(40)})""",
 )
 def j17(spark, sf):
-    rows = sc.augment(seeds(spark, sf), [F.col("event_id")], multiplier=2)
+    rows = sc.augment(seeds(spark, sf), [F.col("event_id")])
     return rounded(rows.drop("event_id"))
 
 

@@ -202,18 +202,23 @@ def contains_any(text: Column, phrases: Column) -> Column:
 
 
 def retrieval_quality(cases: DataFrame, produced: DataFrame, key: str = "incident_id") -> DataFrame:
-    """Per case: source recall, grounding, blocked phrases and citations of the evidence."""
-    joined = cases.join(produced, key)
+    """Per case: source recall, grounding, blocked phrases and citations of the evidence.
+
+    A case for which nothing was produced counts as not grounded and without citations.
+    """
+    joined = cases.join(produced, key, "left")
     text = normalized(F.concat_ws(" ", "rationale", "suggested_response"))
     expected = F.col("expected_sources")
-    hits = F.size(F.filter(expected, lambda s: F.array_contains(F.col("sources"), s)))
+    found = F.coalesce("sources", F.array().cast("array<string>"))
+    hits = F.size(F.filter(expected, lambda s: F.array_contains(found, s)))
+    n_citations = F.coalesce(F.size("citations"), F.lit(0))
     return joined.withColumn("_text", text).select(
         key,
         F.round(hits / F.greatest(F.size(expected), F.lit(1)), 4).alias("source_recall"),
         contains_any(F.col("_text"), F.col("expected_phrases")).alias("grounded"),
         contains_any(F.col("_text"), F.col("blocked_phrases")).alias("hallucination_flag"),
-        (F.size("citations") > 0).alias("citations_present"),
-        F.size("citations").alias("n_citations"),
+        (n_citations > 0).alias("citations_present"),
+        n_citations.alias("n_citations"),
     )
 
 

@@ -70,12 +70,19 @@ def holds(op: Column, value: Column, bound: Column) -> Column:
     )
 
 
-def evaluate_gate(metrics: DataFrame, rules: list[tuple]) -> DataFrame:
-    """Every rule for every subject, with the value it saw and whether it holds."""
+def evaluate_gate(metrics: DataFrame, rules: list[tuple], expected: tuple[str, ...] = ()) -> DataFrame:
+    """Every rule for every subject, with the value it saw and whether it holds.
+
+    Subjects named in ``expected`` are checked even if ``metrics`` has no row of them.
+    """
     entries = F.array(
         *[F.struct(*[F.lit(v).alias(n) for n, v in zip(RULE_FIELDS, rule)]) for rule in rules]
     )
-    subjects = metrics.select("subject").distinct()
+    subjects = metrics.select("subject")
+    if expected:
+        named = metrics.sparkSession.createDataFrame([(s,) for s in expected], "subject string")
+        subjects = subjects.unionByName(named)
+    subjects = subjects.distinct()
     wanted = subjects.select("subject", F.explode(entries).alias("r")).select("subject", "r.*")
     seen = wanted.join(metrics, ["subject", "metric"], "left")
     value = F.coalesce("value", "missing")
@@ -86,7 +93,7 @@ def evaluate_gate(metrics: DataFrame, rules: list[tuple]) -> DataFrame:
         value.alias("value"),
         "op",
         "bound",
-        holds(F.col("op"), value, F.col("bound")).alias("passed"),
+        F.coalesce(holds(F.col("op"), value, F.col("bound")), F.lit(False)).alias("passed"),
     )
 
 

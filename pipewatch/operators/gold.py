@@ -74,8 +74,8 @@ def calendar(time: str = TIME) -> dict[str, Column]:
     }
 
 
-def series_features(silver: DataFrame, horizon: int = 1, probe: DataFrame | None = None) -> DataFrame:
-    """All window features in one pass: one shuffle and one sort per series."""
+def series_features(silver: DataFrame, horizon: int = 1) -> DataFrame:
+    """All window features in one pass over the (sensor, time) order."""
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         windowed = {
@@ -85,9 +85,7 @@ def series_features(silver: DataFrame, horizon: int = 1, probe: DataFrame | None
         }
         return rows.withColumns(windowed).withColumns(changes())
 
-    return over_series(
-        silver, SENSOR, [F.col(TIME).asc()], compute, lookback=5, lookahead=horizon, probe=probe
-    )
+    return over_series(silver, SENSOR, [F.col(TIME).asc()], compute, lookback=5, lookahead=horizon)
 
 
 def node_degree(links: DataFrame) -> DataFrame:
@@ -113,10 +111,8 @@ def fill_gaps(df: DataFrame) -> DataFrame:
     ).fillna(0)
 
 
-def gold(
-    silver: DataFrame, links: DataFrame | None = None, horizon: int = 1, probe: DataFrame | None = None
-) -> DataFrame:
-    features = series_features(silver, horizon, probe).withColumns(calendar())
+def gold(silver: DataFrame, links: DataFrame | None = None, horizon: int = 1) -> DataFrame:
+    features = series_features(silver, horizon).withColumns(calendar())
     return fill_gaps(attach_degree(features, links))
 
 

@@ -22,23 +22,18 @@ POS = "_pos"
 
 
 def ordered_chunks(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """df plus its chunk number and its position inside the chunk."""
+    """df plus its chunk number and its position inside the chunk.
+
+    A task's number is written with its rows, and it writes one file whatever
+    the session says of file lengths; so chunks are numbered in the order of
+    their ranges, and a row's index in its file is its place in the chunk.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "ordered")
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
-    # Files are named part-00000-<run>-c000.<codec>.parquet, by task and piece.
-    name = F.col("_metadata.file_name")
-    part = F.substring_index(F.substring(name, 6, 12), "-", 1).cast("long")
-    piece = F.substring_index(F.substring_index(name, "-c", -1), ".", 1).cast("long")
-    return (
-        spark.read.schema(df.schema)
-        .parquet(path)
-        .select(
-            "*",
-            (part * 1000 + piece).alias(CHUNK),
-            F.col("_metadata.row_index").alias(POS),
-        )
-    )
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(CHUNK, F.spark_partition_id())
+    ranged.write.option("maxRecordsPerFile", 0).parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    return rows.select(*df.columns, F.col(CHUNK).cast("long").alias(CHUNK), F.col("_metadata.row_index").alias(POS))
 
 
 def prefix_by_chunk(per_chunk: DataFrame, sums: list[str]) -> DataFrame:

@@ -1,10 +1,8 @@
 """Window features per sensor that survive one sensor holding much of the data.
 
-As long as every sensor fits a task, a plain window does: one shuffle on the
-sensor. Once a sensor has more than ``pipewatch.hotKeyRows`` rows, the rows are
-written in (sensor, time) order and worked on chunk by chunk; each chunk gets
-copies of the few neighbouring rows its frames reach into, so no task ever
-sees a whole hot sensor.
+The rows are written in (sensor, time) order and worked on chunk by chunk; each
+chunk gets copies of the few neighbouring rows its frames reach into, so no
+task ever sees a whole hot sensor. Tables of all sizes take this one way.
 """
 
 from __future__ import annotations
@@ -16,15 +14,6 @@ from pyspark.sql import functions as F
 
 from pipewatch.operators.ordered import CHUNK, POS, ordered_chunks
 
-HOT_ROWS = 10_000_000
-
-
-def has_hot_key(df: DataFrame, key: str) -> bool:
-    """Some key has more rows than one task should sort."""
-    limit = int(df.sparkSession.conf.get("pipewatch.hotKeyRows", str(HOT_ROWS)))
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return not counts.filter(F.col("_rows") > limit).isEmpty()
-
 
 def over_series(
     df: DataFrame,
@@ -33,20 +22,15 @@ def over_series(
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
     lookback: int = 0,
     lookahead: int = 0,
-    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Apply ``compute(rows, window)`` per series of ``key`` in ``order``.
 
     The frames of ``compute`` may reach ``lookback`` rows back and ``lookahead``
-    rows ahead. ``probe`` is a cheaper frame to count the key on; it must hold
-    at least the rows of ``df``.
+    rows ahead.
     """
-    if not has_hot_key(probe if probe is not None else df, key):
-        return compute(df, Window.partitionBy(key).orderBy(*order))
-
     chunks = ordered_chunks(df, [F.col(key), *order])
     sizes = chunks.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    # File numbers may have gaps; neighbours are counted on a dense number, one row per file.
+    # Empty ranges leave gaps in the numbers; neighbours are counted on a dense number, one row per file.
     dense = sizes.select(CHUNK, "_n", F.row_number().over(Window.orderBy(CHUNK)).alias("_seq"))
     placed = chunks.join(F.broadcast(dense), CHUNK)
     # Every chunk has a row, so the last k rows before a chunk lie in at most k chunks.
@@ -63,10 +47,7 @@ def over_series(
     return done.filter(F.col("_shift") == 0).drop("_shift", "_home")
 
 
-def running_max(
-    df: DataFrame, key: str, order: list[Column], value: str, name: str,
-    probe: DataFrame | None = None,
-) -> DataFrame:
+def running_max(df: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
     """Largest ``value`` seen so far per series, the current row included."""
 
     def so_far(rows: DataFrame, by: list[str], ordering: list[Column]) -> DataFrame:
@@ -75,8 +56,6 @@ def running_max(
             name, F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
         )
 
-    if not has_hot_key(probe if probe is not None else df, key):
-        return so_far(df, [key], order)
     chunks = ordered_chunks(df, [F.col(key), *order])
     # One row per key and file it lies in; a key's files are few beside its rows.
     before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

@@ -66,7 +66,7 @@ def flag_unknown_sensors(df: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return joined.withColumn("invalid_sensor_id", F.col("_known").isNull()).drop("_known")
 
 
-def align_labels(df: DataFrame, metadata: DataFrame | None, probe: DataFrame | None = None) -> DataFrame:
+def align_labels(df: DataFrame, metadata: DataFrame | None) -> DataFrame:
     """leak_label_aligned: 1 inside any leak interval of the sensor, else the own label.
 
     An interval covers time t when the latest end among intervals started by t
@@ -92,7 +92,7 @@ def align_labels(df: DataFrame, metadata: DataFrame | None, probe: DataFrame | N
         starts.withColumn("_reading", F.lit(False)), allowMissingColumns=True
     )
     order = [F.col(TIME).asc(), F.col("_reading").asc()]
-    swept = running_max(marked, SENSOR, order, "_end", "_open_until", probe=probe)
+    swept = running_max(marked, SENSOR, order, "_end", "_open_until")
     covered = F.col("_open_until") >= F.col(TIME)
     return (
         swept.filter("_reading")
@@ -177,8 +177,7 @@ def curate(bronze: DataFrame, nodes: DataFrame | None) -> DataFrame:
 def silver(bronze: DataFrame, nodes: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """Clean readings. Labels depend on (sensor, time) only, so copies are dropped first."""
     clean = deduplicate(complete(curate(bronze, nodes)))
-    probe = bronze.select(F.col("node_id").alias(SENSOR))
-    return tag_units(align_labels(clean, metadata, probe))
+    return tag_units(align_labels(clean, metadata))
 
 
 def quarantined(
@@ -195,5 +194,4 @@ def quarantined(
     rejected = quarantine(curate(bronze, nodes))
     if not keep_bad_times:
         rejected = rejected.filter(F.col(TIME).isNotNull())
-    probe = bronze.select(F.col("node_id").alias(SENSOR))
-    return align_labels(rejected, metadata, probe)
+    return align_labels(rejected, metadata)

@@ -53,7 +53,9 @@ def deployment_gate(candidate: DataFrame, **limits: float) -> DataFrame:
 
 
 def require(checks: DataFrame, what: str) -> None:
-    """Stop the job when a check does not hold."""
+    """Stop the job when a check does not hold, or when nothing was checked."""
+    if checks.isEmpty():
+        raise RuntimeError(f"{what} failed: nothing was checked")
     failed = [r["check"] for r in checks.filter(~F.col("passed")).select("check").distinct().collect()]
     if failed:
         raise RuntimeError(f"{what} failed: {sorted(failed)}")

@@ -29,11 +29,14 @@ def order_columns():
 
 @dataclass
 class Fitted:
-    """A trained model: how it scores a frame, or why it was skipped."""
+    """A trained model: how it scores a frame, or why it was skipped.
+
+    ``score(df, by)`` scales scores that need it within each group of ``by``.
+    """
 
     name: str
     features: list[str]
-    score: Callable[[DataFrame], DataFrame] | None
+    score: Callable[..., DataFrame] | None
     reason: str | None = None
 
 
@@ -45,9 +48,9 @@ def fit_isolation(train: DataFrame, features: list[str], n_trees: int = 300) ->
     rows = normal if normal.limit(2).count() >= 2 else scaled
     forest = iso.fit_isolation_forest(rows, features, order_columns(), n_trees)
 
-    def score(df: DataFrame) -> DataFrame:
+    def score(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         kept = [c for c in df.columns if c not in features]
-        scored = iso.scaled_scores(mm.apply_scaler(df, scaler), forest)
+        scored = iso.scaled_scores(mm.apply_scaler(df, scaler), forest, by)
         return scored.select(*kept, "score")
 
     return Fitted("isolation_forest", features, score)
@@ -58,7 +61,7 @@ def supervised(name: str, train: DataFrame, features: list[str], fit) -> Fitted:
         return Fitted(name, features, None, mm.SINGLE_CLASS)
     model = fit(train, features, LABEL)
 
-    def score(df: DataFrame) -> DataFrame:
+    def score(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         kept = [c for c in df.columns if c not in features]
         return mm.score_with(model, df, features).select(*kept, "score")
 
@@ -249,8 +252,7 @@ def select_candidate(suite: Suite, gold: DataFrame, mean_f1: DataFrame | None =
 def lineage(candidate: DataFrame, gold: DataFrame, parameters: dict[str, float],
             generalization: DataFrame | None = None) -> DataFrame:
     """Data version, feature version and parameters beside the candidate's metrics."""
-    keys = [c for c in ("_row_hash", *ORDER, LABEL) if c in gold.columns]
-    data = m.fingerprint(gold, keys).select(
+    data = m.fingerprint(gold, sorted(gold.columns)).select(
         F.format_string("%d-%d-%d", "rows", "hash_sum", "hash_xor").alias("version")
     )
     texts = [f"{k}={FEATURE_DICTIONARY.get(k)}" for k in sorted(gold.columns)]
@@ -320,7 +322,8 @@ def train_simple(gold: DataFrame, n_trees: int = 300, seed: int = 42) -> DataFra
 def score_batches(rows: DataFrame, fitted: Fitted) -> DataFrame:
     """Predictions for accepted batches of (batch_id, row_index, payload).
 
-    A batch with any bad row is answered with its errors and no scores.
+    A batch with any bad row is answered with its errors and no scores. Anomaly scores
+    are scaled within their batch, so a row's answer does not depend on other batches.
     """
     checked = inf.validate_rows(rows, tuple(fitted.features))
     good = inf.accepted_rows(checked)
@@ -328,4 +331,4 @@ def score_batches(rows: DataFrame, fitted: Fitted) -> DataFrame:
         "batch_id", "row_index",
         *[F.col("values")[i].alias(f) for i, f in enumerate(fitted.features)],
     )
-    return mm.predictions(fitted.score(named), fitted.name, fitted.features)
+    return mm.predictions(fitted.score(named, ("batch_id",)), fitted.name, fitted.features)

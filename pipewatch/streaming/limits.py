@@ -78,7 +78,7 @@ def limit_table(calls: DataFrame, limit: int = MAX_REQUESTS, window_seconds: int
         return rows.withColumn("_start", F.when(fresh, F.col("at_micros")))
 
     marked = over_series(calls, "client", order, starts, lookback=1)
-    spans = running_max(marked, "client", order, "_start", "_span", probe=calls)
+    spans = running_max(marked, "client", order, "_start", "_span")
     ordered = spans.drop("_start").repartition("client", "_span").sortWithinPartitions(
         "client", "_span", "at_micros", "seq"
     )

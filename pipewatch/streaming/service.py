@@ -77,11 +77,17 @@ def service_window_stream(log: DataFrame, target: str, checkpoint: str, size: st
     )
 
 
-def late_events(closed: DataFrame, log: DataFrame, size: str = "15 minutes") -> DataFrame:
-    """Events per closed window that came too late: those in the log but not in the window."""
+def late_events(closed: DataFrame, log: DataFrame, size: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events per window that came too late: those in the log but not in the closed window.
+
+    Windows that ended before the last watermark count; one whose events were
+    all late was never closed and has none counted.
+    """
     timed = log.withColumn("ts", F.col("ts").cast("timestamp"))
-    everything = service_windows(timed, size).select("window_start", F.col("requests").alias("arrived"))
+    mark = timed.agg(F.max("ts") - F.expr(f"INTERVAL {late}")).scalar()
+    everything = service_windows(timed, size).filter(F.col("window_end") <= mark)
     counted = closed.select("window_start", F.col("requests").alias("counted"))
-    return counted.join(everything, "window_start").withColumn(
+    joined = everything.select("window_start", F.col("requests").alias("arrived")).join(counted, "window_start", "left")
+    return joined.withColumn("counted", F.coalesce("counted", F.lit(0).cast("long"))).withColumn(
         "late", F.col("arrived") - F.col("counted")
     )

@@ -26,11 +26,11 @@ def sf():
 
 @pytest.fixture
 def split_hot_keys(spark):
-    """Treat every key with more than a few rows as hot, in several chunks."""
-    spark.conf.set("pipewatch.hotKeyRows", "5")
+    """Keep every range a chunk of its own, and let files be cut after every row elsewhere."""
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset("pipewatch.hotKeyRows")
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 

@@ -154,10 +154,10 @@ def test_every_bronze_row_is_accounted_for(spark, sf):
     assert 0 < silver <= complete
 
 
-def test_gold_is_the_same_when_sensors_are_split(spark, sf, split_hot_keys):
-    split = rows_of(md.gold_table(spark, sf))
-    spark.conf.set("pipewatch.hotKeyRows", "1000000")
-    assert split == rows_of(md.gold_table(spark, sf))
+def test_gold_is_the_same_however_sensors_are_split(spark, sf, request):
+    whole = rows_of(md.gold_table(spark, sf))
+    request.getfixturevalue("split_hot_keys")
+    assert whole == rows_of(md.gold_table(spark, sf))
 
 
 def write_lines(path, header, rows):

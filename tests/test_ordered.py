@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows_of
@@ -87,12 +88,11 @@ def test_hot_series_equal_plain_windows(spark, split_hot_keys):
     df = readings(spark)
     order = [F.col("t").asc()]
     split = rows_of(se.over_series(df, "k", order, features, lookback=5, lookahead=3))
-    spark.conf.set("pipewatch.hotKeyRows", "1000000")
-    assert split == rows_of(se.over_series(df, "k", order, features, lookback=5, lookahead=3))
+    assert split == rows_of(features(df, Window.partitionBy("k").orderBy(*order)))
 
 
 def test_hot_running_max_equals_plain(spark, split_hot_keys):
     df = readings(spark)
     split = rows_of(se.running_max(df, "k", [F.col("t").asc()], "v", "top"))
-    spark.conf.set("pipewatch.hotKeyRows", "1000000")
-    assert split == rows_of(se.running_max(df, "k", [F.col("t").asc()], "v", "top"))
+    upto = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    assert split == rows_of(df.withColumn("top", F.max("v").over(upto)))
