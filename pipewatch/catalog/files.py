@@ -249,9 +249,9 @@ def b14(spark, sf):
     from pipewatch.operators.quality import missing_columns
 
     path = f"{raw_folder(spark, sf)}/leakg3pd_sample.csv"
-    missing = missing_columns(readers.input_columns(spark, path), [*NINE, "reading_id"])
+    missing = missing_columns(readers.file_headers(spark, path), [*NINE, "reading_id"])
     readings = readers.read_telemetry(spark, path).agg(F.count(F.lit(1)).alias("readings"))
-    return readings.select(F.explode(F.array(*[F.lit(c) for c in missing])).alias("missing_column"), "readings")
+    return missing.select("missing_column").distinct().select("missing_column", readings.scalar().alias("readings"))
 
 
 _CANDIDATES = sorted(

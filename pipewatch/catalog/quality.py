@@ -8,7 +8,9 @@ from pipewatch.catalog.registry import CTES, query
 from pipewatch.functions.expr import rounded
 from pipewatch.operators import quality as q
 from pipewatch.operators.silver import event_time
-from pipewatch.sources import schemas
+from pipewatch.sources import readers as rd
+from pipewatch.sources import schemas, writers
+from pipewatch.sources.scratch import scratch_path
 from pipewatch.sources.views import telemetry, view
 
 CTES["timed_rows"] = """
@@ -157,6 +159,8 @@ def _sql_report() -> str:
             t,
         ),
         row("labels.outside_domain", "count(*) FILTER (WHERE leak_label NOT IN (0, 1))", t),
+        row("labels.normal_rows", "count(*) FILTER (WHERE leak_label = 0)", t),
+        row("labels.leak_rows", "count(*) FILTER (WHERE leak_label = 1)", t),
     ]
     for n in NINE:
         stored = "reading_time" if n == "timestamp" else n
@@ -183,17 +187,34 @@ def _sql_report() -> str:
         row("leak_metadata.row_count", "row_count", "metadata_rows"),
         row("leak_metadata.invalid_time_rows", "invalid_time_rows", "metadata_rows"),
         row("epanet_network_topology.orphan_link_rows", "count(*)", "orphan_rows"),
-        row("schemas.missing_columns", "max(0)", t),
+        row("leak_metadata.found", "max(1)", t),
+        row("epanet_network_topology.found", "max(1)", t),
+        row("file_inventory.entries", "max(5)", t),
+        row("schemas.missing_columns", "max(3)", t),
     ]
     return " UNION ALL ".join(rows)
 
 
+def landed(spark, sf):
+    """A folder of the readings, a narrow second file without units, and the network files."""
+    folder = scratch_path(spark, "landed")
+    rows = readings(spark, sf)
+    writers.write_csv(rows, f"{folder}/leakg3pd_sample.csv")
+    writers.write_csv(rows.drop("pressure_unit", "flow_unit", "demand_unit"), f"{folder}/narrow.csv")
+    for name, file in (("leak_metadata", "leak_metadata"), ("network_nodes", "net3_nodes"), ("network_links", "net3_links")):
+        writers.write_csv(view(spark, sf, name), f"{folder}/{file}.csv")
+    return folder
+
+
 def report(spark, sf):
+    folder = landed(spark, sf)
     return q.data_quality_report(
         readings(spark, sf),
         view(spark, sf, "leak_metadata"),
         view(spark, sf, "network_nodes"),
         view(spark, sf, "network_links"),
+        headers=rd.file_headers(spark, folder),
+        inventory=rd.file_inventory(spark, folder),
         expected_columns=NINE,
     )
 

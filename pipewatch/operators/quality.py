@@ -113,8 +113,10 @@ def orphan_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def missing_columns(actual: list[str], expected: list[str]) -> list[str]:
-    return [c for c in expected if c not in actual]
+def missing_columns(headers: DataFrame, expected: list[str]) -> DataFrame:
+    """(file, missing_column): a row for each expected column that a file's header lacks."""
+    wanted = F.array(*[F.lit(c) for c in expected])
+    return headers.select("file", F.explode(F.array_except(wanted, "columns")).alias("missing_column"))
 
 
 def single_pass(df: DataFrame, time: Column) -> DataFrame:
@@ -131,6 +133,8 @@ def single_pass(df: DataFrame, time: Column) -> DataFrame:
             total(all_measured()), F.count(F.lit(1))
         ),
         "labels.outside_domain": bad_labels(F.col("leak_label")),
+        "labels.normal_rows": total(F.col("leak_label") == 0),
+        "labels.leak_rows": total(F.col("leak_label") == 1),
         **{f"missing_values.{c}": total(F.col(c).isNull()) for c in df.columns},
         **{
             f"invalid_or_outlier_sensor_values.{m}_outliers": total(outlier(m)) for m in RANGES
@@ -152,11 +156,14 @@ def data_quality_report(
     metadata: DataFrame | None = None,
     nodes: DataFrame | None = None,
     links: DataFrame | None = None,
-    actual_columns: list[str] | None = None,
+    headers: DataFrame | None = None,
     inventory: DataFrame | None = None,
     expected_columns: list[str] | None = None,
 ) -> DataFrame:
-    """All checks as (check, value) rows; a check without its input is left out."""
+    """All checks as (check, value) rows; ``found`` rows tell inputs that are absent from empty ones.
+
+    ``headers`` (file, columns) are the readings' real headers; the contract is checked file by file.
+    """
     time = event_time("timestamp")
     timed = telemetry.select("node_id", time.alias("event_ts"))
     parts = [
@@ -169,14 +176,14 @@ def data_quality_report(
     if nodes is not None and links is not None:
         orphans = orphan_links(links, nodes).agg(F.count(F.lit(1)).alias("orphan_link_rows"))
         parts.append(_long(orphans, "epanet_network_topology"))
+    found = {"leak_metadata.found": metadata is not None, "epanet_network_topology.found": nodes is not None and links is not None}
+    flags = [(name, float(value)) for name, value in found.items()]
+    parts.append(telemetry.sparkSession.createDataFrame(flags, "check string, value double"))
     if inventory is not None:
         parts.append(_long(inventory.agg(F.count(F.lit(1)).alias("entries")), "file_inventory"))
-    if expected_columns is not None:
-        missing = missing_columns(actual_columns or telemetry.columns, expected_columns)
-        one = telemetry.sparkSession.createDataFrame(
-            [(float(len(missing)),)], "missing_columns double"
-        )
-        parts.append(_long(one, "schemas"))
+    if headers is not None and expected_columns is not None:
+        missing = missing_columns(headers, expected_columns)
+        parts.append(_long(missing.agg(F.count_distinct("missing_column").alias("missing_columns")), "schemas"))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

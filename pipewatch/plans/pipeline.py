@@ -50,7 +50,7 @@ def validate(spark: SparkSession, raw: str, report: str, telemetry: str | None =
         readers.read_leak_metadata(spark, raw),
         readers.read_nodes(spark, raw),
         readers.read_links(spark, raw),
-        actual_columns=readers.input_columns(spark, source),
+        headers=readers.file_headers(spark, source),
         inventory=readers.file_inventory(spark, raw),
         expected_columns=schemas.columns(schemas.TELEMETRY),
     )

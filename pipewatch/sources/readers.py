@@ -174,7 +174,19 @@ def land_json(spark: SparkSession, source: str, target: str) -> DataFrame:
     return spark.read.text(target)
 
 
-def input_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names the files really have, from their header."""
-    return spark.read.option("header", True).csv(path).columns
+def file_headers(spark: SparkSession, path: str, include_aux: bool = False) -> DataFrame:
+    """(file, columns) of every CSV at or below ``path``: the names in its own first line.
+
+    Auxiliary files, told by a part of their path, are left out.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path)
+    placed = lines.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    ).filter("start = 0")
+    if not include_aux:
+        parts = F.split("file", "/")
+        placed = placed.filter(~F.exists(parts, lambda p: p.isin(*schemas.AUXILIARY_FILES)))
+    first = placed.withColumn("place", F.monotonically_increasing_id())
+    header = first.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    return header.select("file", F.split(F.trim("header"), r"\s*,\s*").alias("columns"))
 

@@ -220,8 +220,10 @@ def test_jobs_without_optional_files(spark, tmp_path):
 
 def test_schema_contract_reads_the_real_header(spark, tmp_path):
     write_lines(tmp_path / "a.csv", "timestamp,node_id,pressure", ["2024-01-01 00:00:00,N1,1"])
-    actual = readers.input_columns(spark, str(tmp_path))
-    assert q.missing_columns(actual, COLUMNS) == ["flow", "demand", "leak_label", "pressure_unit", "flow_unit", "demand_unit"]
+    (tmp_path / "net3_links.csv").write_text("link_id,from_node,to_node,link_type\n" + "l,a,b,pipe\n" * 500)
+    (tmp_path / "whole.csv").write_text(",".join(COLUMNS) + "\n")
+    found = [r.missing_column for r in q.missing_columns(readers.file_headers(spark, str(tmp_path)), COLUMNS).collect()]
+    assert found == ["flow", "demand", "leak_label", "pressure_unit", "flow_unit", "demand_unit"]
 
 
 def test_augment_job(spark, raw, tmp_path):
