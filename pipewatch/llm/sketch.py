@@ -185,12 +185,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(100 * inter >= round(threshold * 100) * union).select("a", "b")
 
 
-def pivot_pairs(lists: DataFrame) -> DataFrame:
-    """Each member of a list with the most central one and with the one of smallest id."""
+def with_pivots(lists: DataFrame) -> DataFrame:
+    """The lists of two members or more, each row with the list's smallest and most central class."""
     ends = lists.groupBy("v").agg(
         F.max(F.struct("central", "cid"))["cid"].alias("middle"), F.min("cid").alias("low"), F.max("cid").alias("high")
     ).filter("low < high")
-    both = lists.join(ends, "v").select("cid", F.explode(F.array("low", "middle")).alias("pivot")).filter("cid != pivot")
+    return lists.join(ends, "v").select("v", "cid", "low", "middle")
+
+
+def pivot_pairs(lists: DataFrame) -> DataFrame:
+    """Each member of a list with both pivots."""
+    both = lists.select("cid", F.explode(F.array("low", "middle")).alias("pivot")).filter("cid != pivot")
     return both.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
 
@@ -218,12 +223,14 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def open_groups(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """(g, cid, c): members and their components, of lists that span several, by the list's central class."""
-    placed = lists.join(joined, lists["cid"] == joined["node"], "left").withColumn("c", F.coalesce("component", "cid"))
-    mixed = placed.groupBy("v").agg(
-        F.max(F.struct("central", "cid"))["cid"].alias("g"), F.min("c").alias("low"), F.max("c").alias("high")
-    ).filter("low < high").select("v", "g")
-    return placed.join(mixed, "v").filter("cid != g").select("g", "cid", "c").distinct()
+    """(g, cid, c): members and their components, by the list's central class, of lists that span several.
+
+    The pivots are left out: every pair with one of them has been decided.
+    """
+    rest = lists.filter("cid != low AND cid != middle")
+    placed = rest.join(joined, rest["cid"] == joined["node"], "left").withColumn("c", F.coalesce("component", "cid"))
+    mixed = placed.groupBy("v").agg(F.min("c").alias("first"), F.max("c").alias("last")).filter("first < last").select("v")
+    return placed.join(mixed, "v").select(F.col("middle").alias("g"), "cid", "c").distinct()
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -320,7 +327,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
     classes = written(
         known.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.any_value("sketch").alias("sketch")), "classes"
     )
-    lists = written(inverted_lists(classes, k, threshold), "lists")
+    lists = written(with_pivots(inverted_lists(classes, k, threshold)), "lists")
     near = written(likely(pivot_pairs(lists), classes, k, threshold), "likely")
     ends = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     sets = written(full_sets(among(docs, ends), size), "sets")
