@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,14 @@ def rounded(df, digits: int = 6):
             for n, t in df.dtypes
         ]
     )
+
+
+def scalars(one_row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row frame as scalars."""
+    return {name: one_row.select(name).scalar() for name in one_row.columns}
+
+
+def row_scalars(one_row: DataFrame) -> dict[str, Column]:
+    """The same as fields of one subquery; not for plans that are joined to themselves later on."""
+    row = one_row.select(F.struct(*one_row.columns).alias("row")).scalar()
+    return {name: row[name] for name in one_row.columns}

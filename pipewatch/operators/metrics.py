@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipewatch.functions.expr import ratio
+from pipewatch.functions.expr import ratio, scalars
 from pipewatch.operators.ordered import next_event_ranks, running_sums, values_at_ranks, with_rank
 
 # Business inputs and the threshold grid in twentieths.
@@ -104,7 +104,7 @@ def average_precision(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
     precision = (F.col("cum_pos") - F.col("pos0")) / (F.col("cum_n") - F.col("n0"))
     step = ratio(F.col("pos"), F.col("positives")) * precision
-    out = steps.join(base, groups).groupBy(*groups).agg(F.sum(step).alias("pr_auc"))
+    out = steps.join(base if by else F.broadcast(base), groups).groupBy(*groups).agg(F.sum(step).alias("pr_auc"))
     return out if by else out.drop("_all")
 
 
@@ -179,8 +179,8 @@ def sweep(
     slim = df.select(*dict.fromkeys([*order, "y", "score", time]))
     ranked = with_rank(slim, [F.col(c) for c in order]).withColumn("level", level)
     instant = F.col(time).cast("timestamp")
-    overall = ranked.agg(
-        F.count(F.lit(1)).alias("n"), F.min(instant).alias("first"), F.max(instant).alias("last")
+    overall = scalars(
+        ranked.agg(F.count(F.lit(1)).alias("n"), F.min(instant).alias("first"), F.max(instant).alias("last"))
     )
 
     steps = F.explode(F.sequence(F.lit(1), F.lit(len(grid))))
@@ -196,17 +196,16 @@ def sweep(
         cell(actual & ~reach).alias("fn"),
         cell(actual & reach).alias("tp"),
     )
-    total = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
     names = {f"delay_{k}": F.col("level") >= k for k in range(1, len(grid) + 1)}
-    one = detection_delays(ranked.select("rank", "y", "level"), total, names)
+    one = detection_delays(ranked.select("rank", "y", "level"), overall["n"], names)
     delays = one.select(F.posexplode(F.array(*names)).alias("k", "delay")).withColumn("k", F.col("k") + 1)
     threshold = F.element_at(F.array(*[F.lit(t) for t in grid]), F.col("k"))
     return (
         counts.join(delays, "k", "left")
         .withColumns(
             {
-                "first": overall.select("first").scalar(),
-                "last": overall.select("last").scalar(),
+                "first": overall["first"],
+                "last": overall["last"],
                 "pr_auc": average_precision(slim).scalar(),
             }
         )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipewatch.functions.expr import ratio
+from pipewatch.functions.expr import ratio, row_scalars
 from pipewatch.operators.ordered import lower_quantiles
 
 BINS = 10
@@ -71,12 +71,12 @@ def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def latency(log: DataFrame) -> DataFrame:
     """Mean and lower-nearest-rank p95 and p99, 0 on an empty log."""
-    tails = lower_quantiles(log, "latency_ms", {"p95": 0.95, "p99": 0.99})
+    tails = row_scalars(lower_quantiles(log, "latency_ms", {"p95": 0.95, "p99": 0.99}))
     mean = log.agg(or_zero(F.avg("latency_ms")).alias("average_latency_ms"))
     return mean.withColumns(
         {
-            "p95_latency_ms": or_zero(tails.select("p95").scalar()),
-            "p99_latency_ms": or_zero(tails.select("p99").scalar()),
+            "p95_latency_ms": or_zero(tails["p95"]),
+            "p99_latency_ms": or_zero(tails["p99"]),
         }
     )
 
@@ -190,8 +190,8 @@ def monitoring_report(log: DataFrame, baseline_rows: DataFrame, current_rows: Da
     """The whole report as one row: ``log`` has both sides, the map rows feed the row checks."""
     current = log.filter("side = 'current'")
     one = current.agg(*measures(SERVICE, RESOURCES, OUTCOMES))
-    tails = lower_quantiles(current, "latency_ms", {"p95": 0.95, "p99": 0.99})
-    drift = (
+    tails = row_scalars(lower_quantiles(current, "latency_ms", {"p95": 0.95, "p99": 0.99}))
+    drift = row_scalars(
         psi_by_feature(long_features(log, ["score", "confidence"]))
         .groupBy()
         .agg(
@@ -199,24 +199,24 @@ def monitoring_report(log: DataFrame, baseline_rows: DataFrame, current_rows: Da
             F.max(F.when(F.col("feature") == "confidence", F.col("psi"))).alias("confidence"),
         )
     )
-    quality = row_quality(current_rows)
+    quality = row_scalars(row_quality(current_rows))
     changes = schema_changes(baseline_rows, current_rows)
 
     def named(change: str) -> Column:
         names = F.array_sort(F.collect_list(F.when(F.col("change") == change, F.col("column_name"))))
         return F.array_join(names, ",")
 
-    names = changes.agg(named("added").alias("added"), named("removed").alias("removed"))
+    names = row_scalars(changes.agg(named("added").alias("added"), named("removed").alias("removed")))
     return one.withColumns(
         {
-            "p95_latency_ms": or_zero(tails.select("p95").scalar()),
-            "p99_latency_ms": or_zero(tails.select("p99").scalar()),
-            "missing_rate": quality.select("missing_rate").scalar(),
-            "duplicate_rate": quality.select("duplicate_rate").scalar(),
-            "added_columns": names.select("added").scalar(),
-            "removed_columns": names.select("removed").scalar(),
-            "prediction_drift_psi": or_zero(drift.select("score").scalar()),
-            "confidence_drift_psi": or_zero(drift.select("confidence").scalar()),
+            "p95_latency_ms": or_zero(tails["p95"]),
+            "p99_latency_ms": or_zero(tails["p99"]),
+            "missing_rate": quality["missing_rate"],
+            "duplicate_rate": quality["duplicate_rate"],
+            "added_columns": names["added"],
+            "removed_columns": names["removed"],
+            "prediction_drift_psi": or_zero(drift["score"]),
+            "confidence_drift_psi": or_zero(drift["confidence"]),
         }
     )
 
@@ -238,10 +238,10 @@ def request_summary(log: DataFrame, time: str = "ts") -> DataFrame:
         F.count_if(status >= 400).alias("http_errors"),
         F.count_if((status < 400) & ~ok).alias("network_errors"),
     )
-    tails = lower_quantiles(log, "latency_ms", {"p95": 0.95, "p99": 0.99})
+    tails = row_scalars(lower_quantiles(log, "latency_ms", {"p95": 0.95, "p99": 0.99}))
     return one.withColumns(
         {
-            "latency_ms_p95": tails.select("p95").scalar(),
-            "latency_ms_p99": tails.select("p99").scalar(),
+            "latency_ms_p95": tails["p95"],
+            "latency_ms_p99": tails["p99"],
         }
     )

@@ -94,7 +94,8 @@ def values_at_ranks(
         place = F.col("_start") + rank
         return F.max(F.when((place >= first) & (place < F.col("_upto")), F.col("_value")))
 
-    picked = upto.join(groups, groups_by).groupBy(*groups_by)
+    # Without groups the right side is one row; rows need not move for it.
+    picked = upto.join(groups if by else F.broadcast(groups), groups_by).groupBy(*groups_by)
     out = picked.agg(
         F.max("_total").alias("n"),
         *[pick(rank(F.col("_total"))).alias(name) for name, rank in ranks.items()],
