@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="/tmp/run-")
+    # Ours alone, so it goes with this process.
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set(FALLBACK, root)
     return root
 
