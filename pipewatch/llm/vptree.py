@@ -37,11 +37,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Distinct vectors of a shard, about.
 SHARD = 16_384
-LEAF = 128
+LEAF = 1024
 #: Queries searched together.
 BLOCK = 256
 #: Factor of the registered query; 1 is exact. tests/llm measures its recall.
-RELAX = 1.2
+RELAX = 1.5
 
 
 @dataclass
@@ -86,7 +86,17 @@ class Search:
         self.points, self.root, self.k, self.relax = points, root, min(k, len(points)), relax
 
     def offer(self, q: np.ndarray, members: np.ndarray, d: np.ndarray) -> None:
-        """Merge candidates with distances [len(q), len(members)] into the best so far."""
+        """Merge candidates with distances [len(q), len(members)] into the best so far.
+
+        Most queries gain nothing from most leaves, and ties with the bound gain nothing.
+        """
+        gains = d.min(axis=1) < self.bound[q]
+        if not gains.any():
+            return
+        q, d = q[gains], d[gains]
+        if d.shape[1] > self.k:
+            near = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
+            d, members = np.take_along_axis(d, near, 1), members[near]
         every = np.concatenate([self.best[q], d], axis=1)
         ids = np.concatenate([self.ids[q], np.broadcast_to(members, d.shape)], axis=1)
         if every.shape[1] > self.k:
@@ -133,7 +143,7 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     ).withColumn("dim", F.size("vec"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, relax: float = RELAX, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, relax: float = RELAX, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each query row."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector).distinct()
@@ -173,7 +183,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, relax: float = RELAX,
                     longest = math.sqrt(float((raw * raw).sum(1).max()))
                     extra = np.sqrt(np.maximum(longest**2 - (raw * raw).sum(1), 0))
                     lifted = np.column_stack([raw, extra])
-                    tree = (lifted, build(lifted))
+                    tree = (lifted, build(lifted, leaf))
                 asked_ = np.column_stack([np.stack([v for _, v in block]), np.zeros(len(block))])
                 found = Search(tree[0], tree[1], k + 1, relax)(asked_)
                 for (q, v), near in zip(block, found):

@@ -36,7 +36,7 @@ def nearest(rows, k):
 def test_factor_one_is_exact(spark):
     df, rows = vectors(spark)
     got = {}
-    for r in sorted(vptree.search(df, df.filter("vec_id % 20 = 0"), 20, relax=1.0, shard=100).collect()):
+    for r in sorted(vptree.search(df, df.filter("vec_id % 20 = 0"), 20, relax=1.0, shard=100, leaf=8).collect()):
         got.setdefault(r.query_id, []).append(r.vec_id)
     expected = nearest(rows, 20)
     assert {q for q, v in expected.items() if v} == set(got)
@@ -56,6 +56,15 @@ def test_production_factor_recalls(spark, sf):
     assert hits >= 0.9 * sum(map(len, expected.values()))
 
 
+def test_small_leaves_recall_with_a_factor(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = {}
+    for r in vptree.search(df, df.filter("vec_id % 20 = 0"), 20, shard=200, leaf=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    expected = nearest([tuple(r) for r in df.collect()], 20)
+    assert sum(len(set(v) & got[q]) for q, v in expected.items()) >= 0.9 * sum(map(len, expected.values()))
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], VECTORS)
     assert vptree.search(df, df, 20).count() == 0
