@@ -143,7 +143,7 @@ def least_common(length: Column, k: int, threshold: float) -> Column:
 
 
 def inverted_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(v, cid, central): a class under each of the rarer values it retains, if others retain them too.
+    """(v, cid, n, central): a class under each of the rarer values it retains, if others retain them too.
 
     ``central`` is large for a class whose values many others retain, such as the text
     that a group of near copies was made from.
@@ -156,8 +156,8 @@ def inverted_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     # Values nobody else retains are the rarest, so they fill the prefix first.
     prefix = F.col("len") - least_common(F.col("len"), k, threshold) + 1 - (F.col("len") - F.size("shared"))
     central = F.aggregate("shared", F.lit(0.0), lambda total, e: total + F.log1p(e["df"].cast("double")))
-    listed = shared.filter(prefix > 0).select("cid", central.alias("central"), F.slice("shared", F.lit(1), prefix)["v"].alias("prefix"))
-    return listed.select(F.explode("prefix").alias("v"), "cid", "central")
+    listed = shared.filter(prefix > 0).select("cid", "n", central.alias("central"), F.slice("shared", F.lit(1), prefix)["v"].alias("prefix"))
+    return listed.select(F.explode("prefix").alias("v"), "cid", "n", "central")
 
 
 def alike_sizes(a: str, b: str, threshold: float) -> Column:
@@ -188,14 +188,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def with_pivots(lists: DataFrame) -> DataFrame:
     """The lists of two members or more, each row with the list's smallest and most central class."""
     ends = lists.groupBy("v").agg(
-        F.max(F.struct("central", "cid"))["cid"].alias("middle"), F.min("cid").alias("low"), F.max("cid").alias("high")
-    ).filter("low < high")
-    return lists.join(ends, "v").select("v", "cid", "low", "middle")
+        F.max(F.struct("central", "cid", "n")).alias("m"), F.min(F.struct("cid", "n")).alias("l"), F.max("cid").alias("high")
+    ).filter("l.cid < high")
+    return lists.join(ends, "v").select(
+        "v", "cid", "n", F.col("l.cid").alias("low"), F.col("l.n").alias("low_n"), F.col("m.cid").alias("middle"), F.col("m.n").alias("middle_n")
+    )
 
 
-def pivot_pairs(lists: DataFrame) -> DataFrame:
-    """Each member of a list with both pivots."""
-    both = lists.select("cid", F.explode(F.array("low", "middle")).alias("pivot")).filter("cid != pivot")
+def pivot_pairs(lists: DataFrame, threshold: float) -> DataFrame:
+    """Each member of a list with both pivots, unless the sizes of their sets rule the threshold out."""
+    pivots = F.array(*[F.struct(F.col(p).alias("pivot"), F.col(f"{p}_n").alias("pivot_n")) for p in ("low", "middle")])
+    both = lists.select("cid", "n", F.explode(pivots).alias("p")).select("cid", "n", "p.*")
+    both = both.filter((F.col("cid") != F.col("pivot")) & alike_sizes("n", "pivot_n", threshold))
     return both.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
 
@@ -328,7 +332,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
         known.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.any_value("sketch").alias("sketch")), "classes"
     )
     lists = written(with_pivots(inverted_lists(classes, k, threshold)), "lists")
-    near = written(likely(pivot_pairs(lists), classes, k, threshold), "likely")
+    near = written(likely(pivot_pairs(lists, threshold), classes, k, threshold), "likely")
     ends = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     sets = written(full_sets(among(docs, ends), size), "sets")
     first = written(confirmed(near, sets, threshold), "links")
