@@ -54,9 +54,67 @@ def _run(p: Params, ids: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray,
     return out, trace
 
 
+def _states(p: Params, columns: np.ndarray, active: np.ndarray, side: str) -> np.ndarray:
+    """Hidden states [length, batch, hidden] of one direction, as ``_run`` computes them.
+
+    ``columns`` has the symbols by step, ``active`` how many of the rows, the longest
+    first, reach each step. The gates lie one behind the other, and all of them are logistic
+    functions (tanh x is 2 / (1 + exp(-2 x)) - 1), so a step is a few passes over small arrays.
+    """
+    length, batch = columns.shape
+    hidden = p[f"Wh{side}"].shape[0]
+    kind = np.result_type(p["E"], p[f"Wx{side}"])
+    scale = np.array([-1, -1, -1, -2], kind)[:, None, None]
+    by_gate = lambda x: np.ascontiguousarray(x.reshape(len(x), 4, hidden).transpose(1, 0, 2) * scale)
+    table, step = by_gate(p["E"] @ p[f"Wx{side}"] + p[f"b{side}"]), by_gate(p[f"Wh{side}"])
+    out = np.empty((length, batch, hidden), kind)
+    c, work = np.zeros((batch, hidden), kind), np.empty((2, 4 * batch * hidden), kind)
+    h = np.zeros((batch, hidden), kind)
+    for t, k in enumerate(active):
+        z, more = (x[: 4 * k * hidden].reshape(4, k, hidden) for x in work)
+        table.take(columns[t, :k], axis=1, out=z, mode="clip")
+        z += np.matmul(h[:k], step, out=more)
+        np.exp(z, out=z)
+        z += 1
+        np.reciprocal(z, out=z)
+        i, f, o, g = z
+        g *= 2
+        g -= 1
+        now, new = c[:k], more[0]
+        now *= f
+        i *= g
+        now += i
+        np.multiply(now, -2, out=new)
+        np.exp(new, out=new)
+        new += 1
+        np.divide(2, new, out=new)
+        new -= 1
+        h = np.multiply(o, new, out=out[t, :k])
+    return out
+
+
+def emissions_of(p: Params, texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Emissions [length, tags] of each sequence of symbols."""
+    lengths = np.array([len(x) for x in texts], dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    hidden = p["Whf"].shape[0]
+    out: list[np.ndarray] = [np.empty(0)] * len(texts)
+    active = len(texts) - np.searchsorted(np.sort(lengths), np.arange(lengths.max(initial=0)), side="right")
+    for side, turn in (("f", 1), ("b", -1)):
+        columns = np.zeros((len(active), len(texts)), dtype=np.intp)
+        for row, i in enumerate(order):
+            columns[: lengths[i], row] = texts[i][::turn]
+        # Where exp overflows, the functions are 0 or 1 to the last digit.
+        with np.errstate(over="ignore"):
+            states = _states(p, columns, active, side)
+        for row, i in enumerate(order):
+            part = states[: lengths[i], row] @ (p["Wo"][:hidden] if side == "f" else p["Wo"][hidden:])
+            out[i] = part + p["bo"] if side == "f" else out[i] + part[::-1]
+    return out
+
+
 def emissions(p: Params, ids: np.ndarray) -> np.ndarray:
-    both = np.concatenate([_run(p, ids, side, False)[0] for side in "fb"], axis=2)
-    return both @ p["Wo"] + p["bo"]
+    return np.stack(emissions_of(p, list(ids)))
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -92,7 +150,10 @@ def viterbi(p: Params, e: np.ndarray) -> np.ndarray:
 
 def decode(p: Params, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best tags and the marginal probability of each of them."""
-    e = emissions(p, ids)
+    return decode_emissions(p, emissions(p, ids))
+
+
+def decode_emissions(p: Params, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tags = viterbi(p, e)
     alpha, beta, z = forward_backward(p, e)
     chosen = np.take_along_axis(alpha + beta, tags[:, :, None], 2)[:, :, 0]

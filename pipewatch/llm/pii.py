@@ -2,10 +2,12 @@
 
 The patterns find the base spans; they stay as they are. The model learns from
 windows labelled with such spans and adds spans where no base span lies.
-Windows of WINDOW characters overlap by half, so every span of up to half
-a window lies whole in one of them; the windows' proposals are reconciled
-over the whole text, the surest first. A proposal counts only if it holds a
-digit or an at sign, so windows without one need not be decoded.
+Every character of every text is read: the states come from stretches of CHUNK
+characters with MARGIN more at each side, joined to one sequence per text. The
+best tags are those of the whole sequence. A bound on what any span could gain
+over none shows most places to be outside of spans; only what it leaves, with
+CONTEXT characters at each side, goes through the CRF. Marginals are given that
+the tags beyond it are O. Spans are of any length and need neither digit nor at sign.
 
 Defined results: a null text is an empty text without spans; a corpus without
 base spans trains no model, which then adds nothing. Offsets are code points, end
@@ -37,7 +39,13 @@ WINDOW, STRIDE = 96, 48
 MAX_WINDOWS = 1200
 #: Mean marginal probability a proposal needs.
 SURE = 0.9
-#: Windows decoded at once.
+#: Characters of a stretch whose states are kept, and those read beside them at each side.
+CHUNK, MARGIN = 992, 48
+#: Characters decoded at each side of places that may lie in a span.
+CONTEXT = 48
+#: Lengths of what goes through the CRF are rounded up to multiples of this.
+STEP = 64
+#: Stretches decoded at once.
 BATCH = 512
 SYMBOLS = 130
 
@@ -50,8 +58,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-TRIGGER_BYTE = np.zeros(256, dtype=bool)
-TRIGGER_BYTE[[*range(48, 58), 64]] = True
 
 Span = tuple[str, int, int]
 
@@ -126,23 +132,23 @@ def gold_tags(spans: list[Span], start: int) -> np.ndarray:
 
 
 def proposals(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -> Iterator[tuple[float, Span]]:
-    """The window's spans, but for those its borders cut."""
-    at = 0
-    while at < WINDOW:
+    """The spans of a stretch of tags, but for those its borders cut."""
+    at, size = 0, len(tags)
+    while at < size:
         tag = int(tags[at])
         end = at + 1
         if tag:
             kind = (tag - 1) // 2
-            while end < WINDOW and int(tags[end]) == 2 + 2 * kind:
+            while end < size and int(tags[end]) == 2 + 2 * kind:
                 end += 1
-            cut = (at == 0 and start > 0) or (end == WINDOW and start + WINDOW < length)
+            cut = (at == 0 and start > 0) or (end == size and start + size < length)
             if not cut and start + end <= length:
                 yield float(sure[at:end].mean()), (KINDS[kind], start + at, start + end)
         at = end
 
 
-def reconcile(text: str, base: list[Span], offered: list[tuple[float, Span]]) -> list[Span]:
-    """Offered spans that are sure and free of base spans and surer offers."""
+def reconcile(text: str, base: list[Span], offered: list[tuple[float, Span]], needs: re.Pattern | None = TRIGGER) -> list[Span]:
+    """Offered spans that are sure, match ``needs`` if given, and are free of base spans and surer offers."""
     taken = sorted((a, b) for _, a, b in base)
     best: dict[Span, float] = {}
     for score, span in offered:
@@ -152,44 +158,83 @@ def reconcile(text: str, base: list[Span], offered: list[tuple[float, Span]]) ->
         _, a, b = span
         if score < SURE:
             break
-        if TRIGGER.search(text, a, b) and not any(x < b and a < y for x, y in taken):
+        if (needs is None or needs.search(text, a, b)) and not any(x < b and a < y for x, y in taken):
             added.append(span)
             taken.append((a, b))
     return added
 
 
+def rounded_up(n: int) -> int:
+    return -(-n // STEP) * STEP
+
+
+def stretch_emissions(model: bilstm.Params, codes: list[np.ndarray], wanted: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, start, emissions) of the CHUNK characters from each wanted (text, start)."""
+    for k in range(0, len(wanted), BATCH):
+        part = wanted[k : k + BATCH]
+        pieces = [codes[i][max(0, start - MARGIN) : start + CHUNK + MARGIN] for i, start in part]
+        for e, (i, start) in zip(bilstm.emissions_of(model, pieces), part):
+            skip = start - max(0, start - MARGIN)
+            yield i, start, e[skip : skip + CHUNK]
+
+
+def open_stretches(gains: np.ndarray, leave: float) -> list[tuple[int, int]]:
+    """Stretches (a, b), CONTEXT included, outside of which the best tags are O.
+
+    ``gains`` bounds what tagging a character otherwise than O adds to the score
+    of a text, ``leave`` what the step back to O adds. A character is shown to be O if
+    no run of characters that holds it gains anything.
+    """
+    sums = np.concatenate([[0.0], np.cumsum(gains, dtype=np.float64)])
+    past = np.minimum.accumulate(sums)[:-1]
+    future = np.maximum.accumulate(sums[::-1])[::-1][1:]
+    places = np.flatnonzero(future - past + leave >= -1e-3)
+    if not len(places):
+        return []
+    cuts = np.flatnonzero(np.diff(places) > 2 * CONTEXT + 1)
+    first, last = places[np.concatenate([[0], cuts + 1])], places[np.append(cuts, len(places) - 1)]
+    return [(max(0, int(a) - CONTEXT), min(len(gains), int(b) + CONTEXT + 1)) for a, b in zip(first, last)]
+
+
+def tagged_stretches(texts: list[str], model: bilstm.Params) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, start, tags, marginals) of all stretches that may hold spans."""
+    codes = [symbols(t) for t in texts]
+    step = model["A"]
+    into = step.max(axis=0) - step[0, 0]
+    leave = max(0.0, float((step[1:, 0] - step[0, 0]).max()))
+    gains = [np.empty(len(c), dtype=np.float32) for c in codes]
+    for i, start, e in stretch_emissions(model, codes, [(i, a) for i, c in enumerate(codes) for a in range(0, len(c), CHUNK)]):
+        gains[i][start : start + len(e)] = (e[:, 1:] - e[:, :1] + into[1:]).max(axis=1)
+    todo = [(i, a, b) for i, g in enumerate(gains) for a, b in open_stretches(g, leave)]
+    # States are computed once more where the CRF needs them, so that those of a whole text are never held.
+    wanted = sorted({(i, start) for i, a, b in todo for start in range(a // CHUNK * CHUNK, b, CHUNK)})
+    held = {(i, start): e for i, start, e in stretch_emissions(model, codes, wanted)}
+    by_size: dict[int, list[tuple[int, int, int]]] = {}
+    for i, a, b in todo:
+        by_size.setdefault(rounded_up(b - a + 2), []).append((i, a, b))
+    for size, group in by_size.items():
+        for k in range(0, len(group), BATCH):
+            part = group[k : k + BATCH]
+            # O before and after each stretch.
+            e = np.full((len(part), size, len(TAGS)), -1e4)
+            e[:, :, 0] = 0.0
+            for row, (i, a, b) in zip(e, part):
+                for start in range(a // CHUNK * CHUNK, b, CHUNK):
+                    values = held[i, start]
+                    low, high = max(a, start), min(b, start + len(values))
+                    row[1 + low - a : 1 + high - a] = values[low - start : high - start]
+            for (i, a, b), tags, sure in zip(part, *bilstm.decode_emissions(model, e)):
+                yield i, a, tags[1 : 1 + b - a], sure[1 : 1 + b - a]
+
+
 def find(texts: list[str], model: bilstm.Params | None) -> list[tuple[list[Span], list[Span]]]:
     """Of each text the base spans and the added ones."""
     base = [base_spans(t) for t in texts]
     offered: list[list[tuple[float, Span]]] = [[] for _ in texts]
-
-    def decoded(todo: list[tuple[int, int]], rows: list[np.ndarray]) -> None:
-        tags, sure = bilstm.decode(model, np.stack(rows))
-        for (i, start), y, p in zip(todo, tags, sure):
-            offered[i] += proposals(y, p, start, len(texts[i]))
-
     if model is not None:
-        todo, rows = [], []
-        for i, text in enumerate(texts):
-            starts = window_starts(text)
-            codes = symbols(text) if starts else None
-            for start in starts:
-                todo.append((i, start))
-                rows.append(window(codes, start))
-                if len(rows) == BATCH:
-                    decoded(todo, rows)
-                    todo, rows = [], []
-        if rows:
-            decoded(todo, rows)
-    return [(b, reconcile(t, b, o)) for t, b, o in zip(texts, base, offered)]
-
-
-def with_triggers(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
-    """Places and strings of the texts that hold a digit or an at sign."""
-    data, offsets = tx.buffers(texts)
-    total = np.concatenate([[0], np.cumsum(TRIGGER_BYTE[data])])
-    rows = np.flatnonzero(total[offsets[1:]] > total[offsets[:-1]])
-    return rows, texts.take(pa.array(rows)).to_pylist()
+        for i, start, tags, sure in tagged_stretches(texts, model):
+            offered[i] += proposals(tags, sure, start, len(texts[i]))
+    return [(b, reconcile(t, b, o, needs=None)) for t, b, o in zip(texts, base, offered)]
 
 
 def labelled_windows(docs: DataFrame, bound: int = MAX_WINDOWS) -> list:
@@ -200,9 +245,9 @@ def labelled_windows(docs: DataFrame, bound: int = MAX_WINDOWS) -> list:
             for part in tx.slices(batch):
                 texts = tx.column(part, "text")
                 out: tuple[list, list, list] = ([], [], [])
-                for text in with_triggers(texts)[1]:
-                    spans, codes = base_spans(text), symbols(text)
-                    starts = window_starts(text)
+                for text in texts.to_pylist():
+                    starts = window_starts(text or "")
+                    spans, codes = (base_spans(text), symbols(text)) if starts else ([], symbols((text or "")[:WINDOW]))
                     for start in {*starts, *([0] if 0 not in starts else [])}:
                         tags = gold_tags(spans, start)
                         out[0].append(0 if tags.any() else 1 if start in starts else 2)
@@ -245,8 +290,8 @@ def span_column(text: Column, model: bilstm.Params | None) -> Column:
         out: list[list[dict]] = [[]] * len(texts)
         at = 0
         for part in tx.slices(pa.RecordBatch.from_arrays([texts], ["text"])):
-            rows, strings = with_triggers(tx.column(part, "text"))
-            for row, (base, added) in zip(rows, find(strings, model)):
+            strings = [t or "" for t in tx.column(part, "text").to_pylist()]
+            for row, (base, added) in enumerate(find(strings, model)):
                 spans = sorted([(KINDS.index(s[0]), s[1], s[2], True) for s in base] + [(KINDS.index(s[0]), s[1], s[2], False) for s in added])
                 out[at + row] = [{"kind": KINDS[k], "start": a, "end": b, "base": x} for k, a, b, x in spans]
             at += part.num_rows
@@ -272,8 +317,8 @@ def redacted_column(text: Column, model: bilstm.Params | None) -> Column:
         pieces = []
         for part in tx.slices(pa.RecordBatch.from_arrays([texts], ["text"])):
             given = tx.column(part, "text")
-            rows, strings = with_triggers(given)
-            new = {int(row): masked(t, base + added) for row, t, (base, added) in zip(rows, strings, find(strings, model)) if base or added}
+            strings = [t or "" for t in given.to_pylist()]
+            new = {row: masked(t, base + added) for row, (t, (base, added)) in enumerate(zip(strings, find(strings, model))) if base or added}
             if new:
                 listed = given.to_pylist()
                 for row, value in new.items():

@@ -412,3 +412,47 @@ def test_reconciling_prefers_base_then_sure_spans():
     offered = [(0.95, ("phone", 5, 13)), (0.99, ("phone", 17, 25)), (0.97, ("card", 17, 20)), (0.5, ("ip", 5, 8)), (0.99, ("email", 0, 4))]
     assert pii.reconcile(text, [], offered) == [("phone", 17, 25), ("phone", 5, 13)]
     assert pii.reconcile(text, [("card", 6, 7)], offered) == [("phone", 17, 25)]
+
+
+def lettered(p, texts):
+    """Emissions for O but on letters q, which are said to be an email's."""
+    out = [np.zeros((len(ids), len(pii.TAGS)), np.float32) for ids in texts]
+    for e, ids in zip(out, texts):
+        e[:, 0] = 6.0
+        e[ids == ord("q") + 1, 1:3] = 12.0
+    return out
+
+
+def test_spans_of_any_length_and_letters_are_found(monkeypatch):
+    monkeypatch.setattr(bilstm, "emissions_of", lettered)
+    model = bilstm.initial(pii.SYMBOLS, len(pii.TAGS))
+    model["A"][:, 2::2] = -50.0
+    for kind in range(4):
+        model["A"][1 + 2 * kind : 3 + 2 * kind, 2 + 2 * kind] = 0.0
+    model["A"][1:, 1::2] = -50.0
+    places = [(0, 30), (395, 640), (800, 812), (1000, 3000), (3990, 4000)]
+    text = list("a" * 4000)
+    for a, b in places:
+        text[a:b] = "q" * (b - a)
+    (base, added), (_, none) = pii.find(["".join(text), "plain words of no kind"], model)
+    assert base == [] and none == []
+    assert sorted(added) == [("email", a, b) for a, b in places]
+
+
+def test_open_stretches_hold_all_tags_of_the_whole_text():
+    rng = np.random.default_rng(3)
+    tags = len(pii.TAGS)
+    for _ in range(40):
+        p = {"A": rng.normal(0, 1.0, (tags, tags)), "a0": np.zeros(tags)}
+        e = rng.normal(0, 1.0, (1, 600, tags))
+        e[:, :, 0] += 3.0 + 4.0 * rng.random()
+        e[:, [0, -1]] = -1e4
+        e[:, [0, -1], 0] = 0.0
+        whole = bilstm.viterbi(p, e)[0]
+        into = p["A"].max(axis=0) - p["A"][0, 0]
+        leave = max(0.0, float((p["A"][1:, 0] - p["A"][0, 0]).max()))
+        gains = (e[0, 1:-1, 1:] - e[0, 1:-1, :1] + into[1:]).max(axis=1)
+        inside = np.zeros(600, dtype=bool)
+        for a, b in pii.open_stretches(gains, leave):
+            inside[1 + a : 1 + b] = True
+        assert not whole[~inside].any()
