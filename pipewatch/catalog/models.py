@@ -19,8 +19,6 @@ from pipewatch.sources.scratch import checkpointed, scratch_path
 from pipewatch.sources.views import table, view
 
 FEATURES = list(MODEL_FEATURES)
-# Smaller than the function's default of 300 rounds, each of which is several jobs.
-ROUNDS = 20
 
 CTES["gold_split"] = """
     SELECT g.*, CASE WHEN place < greatest(2, floor(n * 0.6)) THEN 'train'
@@ -75,7 +73,7 @@ def j4(spark, sf):
 @query("j5_boosted_trees")
 def j5(spark, sf):
     train, test = parts(spark, sf)
-    return scored_test(mm.fit_boosted_trees(train, FEATURES, tr.LABEL, ROUNDS), test)
+    return scored_test(mm.fit_boosted_trees(train, FEATURES, tr.LABEL), test)
 
 
 @query("j6_logistic_baseline")
