@@ -8,6 +8,7 @@ from pipewatch.catalog.decisions import decided
 from pipewatch.catalog.registry import CTES, query
 from pipewatch.operators import decisions as d
 from pipewatch.operators import evidence as ev
+from pipewatch.plans import operations
 from pipewatch.sources.readers import read_knowledge
 from pipewatch.sources.scratch import scratch_path
 from pipewatch.sources.views import table, view
@@ -107,6 +108,19 @@ def k7(spark, sf):
     return joined.select("incident_id", text.alias("query"))
 
 
+@query("c7_incident_evidence")
+def c7_evidence(spark, sf):
+    """Decisions with the evidence retrieved for them; c7_decision_evidence is the bare join, which SQL can check."""
+    decisions = decided(spark, sf)
+    context = d.incident_context(view(spark, sf, "incident_telemetry")).select("incident_id", "asset_ids")
+    found = operations.incident_evidence(decisions.join(context, "incident_id", "left"), corpus(spark, sf))
+    evidence = found.select(
+        "incident_id", "fallback", "n_docs", "context", "rationale", "suggested_response",
+        F.array_join("sources", "|").alias("sources"), F.array_join("citations", "|").alias("citations"),
+    )
+    return decisions.select("incident_id", "risk_tier").join(evidence, "incident_id", "left")
+
+
 @query(
     "k9_index_report",
     """SELECT count(*) FILTER (WHERE id IS NOT NULL AND trim(coalesce(content, '')) <> '') AS uploaded,

@@ -21,3 +21,11 @@ def test_boosted_trees_have_all_rounds(spark, sf, monkeypatch):
     except Stop:
         pass
     assert seen == [300]
+
+
+def test_evidence_is_retrieved_for_every_decision(spark, sf):
+    rows = all_queries()["c7_incident_evidence"](spark, sf).collect()
+    plain = all_queries()["c7_decision_evidence"](spark, sf).collect()
+    assert sorted((r.incident_id, r.risk_tier) for r in rows) == sorted((r.incident_id, r.risk_tier) for r in plain)
+    assert all(r.sources and r.citations and r.rationale for r in rows)
+    assert any(r.n_docs for r in rows) and all(r.context.startswith("- [") for r in rows if r.n_docs)
