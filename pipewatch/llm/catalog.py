@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pipewatch.llm import cascade, maxent, mixing, packing, pii, sketch, toxicity, vptree, warc, wordpiece
+from pipewatch.llm import cascade, linedup, maxent, mixing, packing, pii, sketch, toxicity, vptree, warc, wordpiece
 from pipewatch.session import tune
 
 
@@ -32,6 +32,7 @@ QUERIES = {
         "op8_pack_sequences": packing.query,
         "op9_personal_data": pii.query,
         "op10_near_duplicates": sketch.query,
+        "op11_line_dedup": linedup.query,
         "pipeline": corpus_pipeline.run,
     }.items()
 }
@@ -40,4 +41,5 @@ ORACLE = {
     "op3_mix_sources": mixing.ORACLE,
     "op5_warc_roundtrip": warc.ORACLE,
     "op10_near_duplicates": sketch.ORACLE,
+    "op11_line_dedup": linedup.ORACLE,
 }
