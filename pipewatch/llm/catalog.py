@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pipewatch.llm import cascade, linedup, maxent, mixing, packing, pii, sketch, toxicity, vptree, warc, wordpiece
+from pipewatch.llm import cascade, linedup, maxent, mixing, packing, pii, sketch, toxicity, variants, vptree, warc, wordpiece
 from pipewatch.session import tune
 
 
@@ -33,6 +33,7 @@ QUERIES = {
         "op9_personal_data": pii.query,
         "op10_near_duplicates": sketch.query,
         "op11_line_dedup": linedup.query,
+        "op12_spelling_variants": variants.query,
         "pipeline": corpus_pipeline.run,
     }.items()
 }
