@@ -194,7 +194,15 @@ def prefix(ranked: list[tuple], q: int = Q, edits: int = EDITS) -> tuple[list[tu
     return first, found
 
 
-GRAM_SCHEMA = "word string, n long, len int, place int, pivot boolean"
+GRAM_SCHEMA = "word string, n long, letters long, len int, place int, pivot boolean"
+
+
+def letters(word: str) -> int:
+    """A bit per letter, set if the letter occurs an odd number of times: one edit changes two bits at most."""
+    bits = 0
+    for letter in word:
+        bits ^= 1 << (ord(letter) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def gram_order(counted: DataFrame, q: int = Q) -> dict[str, tuple[int, int]]:
@@ -221,16 +229,17 @@ def prefixes(counted: DataFrame, q: int = Q, edits: int = EDITS) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for word, n in zip(*(tx.column(batch, c).to_pylist() for c in ("word", "n"))):
                 ranked = sorted((*order[word[i : i + q]], i) for i in range(len(word) - q + 1))
                 first, found = prefix(ranked, q, edits)
                 chosen = {place for _, place in pivots([g[1:] for g in first], q, edits)}
+                bits = letters(word)
                 for _, _, place in found:
-                    for column, value in zip(out, (word, n, len(word), place, place in chosen)):
+                    for column, value in zip(out, (word, n, bits, len(word), place, place in chosen)):
                         column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["word", "n", "len", "place", "pivot"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["word", "n", "letters", "len", "place", "pivot"])
 
     return counted.mapInArrow(work, GRAM_SCHEMA)
 
@@ -267,13 +276,14 @@ def near_pairs(grams: DataFrame, q: int = Q) -> DataFrame:
         place = F.col("place") + (longer if side == "before" else 0)
         return F.struct(F.lit(side).alias("side"), (F.col("len") + longer).alias("l"), place.alias("p"), F.xxhash64(tail if side == "before" else head).alias("piece"))
 
-    listed = grams.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(F.array(key("before", 0), key("behind", 0))).alias("k"))
+    listed = grams.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("letters").alias("b_letters"), F.explode(F.array(key("before", 0), key("behind", 0))).alias("k"))
     places = F.array(*[key(side, longer) for side in ("before", "behind") for longer in (-1, 0, 1)])
-    asked = grams.filter("pivot").select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.explode(places).alias("k")).filter("k.p >= 0")
+    asked = grams.filter("pivot").select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("letters").alias("a_letters"), F.explode(places).alias("k")).filter("k.p >= 0")
     sides = ["side", "l", "p", "piece"]
-    asked = asked.select("a", "a_n", *[F.col(f"k.{c}").alias(f"a_{c}") for c in sides])
-    listed = listed.select("b", "b_n", *[F.col(f"k.{c}").alias(f"b_{c}") for c in sides])
-    same = F.col("a") != F.col("b")
+    asked = asked.select("a", "a_n", "a_letters", *[F.col(f"k.{c}").alias(f"a_{c}") for c in sides])
+    listed = listed.select("b", "b_n", "b_letters", *[F.col(f"k.{c}").alias(f"b_{c}") for c in sides])
+    # Letters are compared first: most words that meet differ in more of them than one edit can change.
+    same = (F.bit_count(F.col("a_letters").bitwiseXOR(F.col("b_letters"))) <= EDITS * 2) & (F.col("a") != F.col("b"))
     for c in sides:
         same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
     # The built-in distance takes the square of the length, which only short words can afford.
