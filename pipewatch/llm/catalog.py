@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pipewatch.llm import cascade, linedup, maxent, mixing, packing, pii, sketch, toxicity, variants, vptree, warc, wordpiece
+from pipewatch.llm import cascade, divergence, linedup, maxent, mixing, packing, pii, sketch, toxicity, variants, vptree, warc, wordpiece
 from pipewatch.session import tune
 
 
@@ -34,6 +34,7 @@ QUERIES = {
         "op10_near_duplicates": sketch.query,
         "op11_line_dedup": linedup.query,
         "op12_spelling_variants": variants.query,
+        "op13_source_divergence": divergence.query,
         "pipeline": corpus_pipeline.run,
     }.items()
 }
@@ -43,4 +44,5 @@ ORACLE = {
     "op5_warc_roundtrip": warc.ORACLE,
     "op10_near_duplicates": sketch.ORACLE,
     "op11_line_dedup": linedup.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
