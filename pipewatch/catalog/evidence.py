@@ -8,6 +8,7 @@ from pipewatch.catalog.decisions import decided
 from pipewatch.catalog.registry import CTES, query
 from pipewatch.operators import decisions as d
 from pipewatch.operators import evidence as ev
+from pipewatch.operators import retrieval as rt
 from pipewatch.plans import operations
 from pipewatch.sources.readers import read_knowledge
 from pipewatch.sources.scratch import scratch_path
@@ -64,15 +65,24 @@ def corpus(spark, sf):
     )
 
 
-def scores(spark, sf):
-    return ev.bm25_scores(
-        corpus(spark, sf), table(spark, sf, "benchmark"), qid="item_id", qtext="text"
-    )
+#: Indexes stored by this session, by folder; a session writes each once.
+_stored: dict[tuple[str, str], rt.SearchIndex] = {}
+
+
+def index(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        _stored[key] = rt.write_index(corpus(spark, sf))
+    return _stored[key]
+
+
+def best(spark, sf):
+    """The five best documents of each benchmark item."""
+    return rt.search(index(spark, sf), table(spark, sf, "benchmark"), qid="item_id", qtext="text")
 
 
 def hits(spark, sf):
-    top = ev.top_documents(scores(spark, sf), qid="item_id")
-    return top.join(corpus(spark, sf), "id")
+    return best(spark, sf).join(corpus(spark, sf), "id")
 
 
 def contexts(spark, sf):
@@ -86,14 +96,26 @@ def a11(spark, sf):
     return read_knowledge(spark, path).select("id", "title", "source", F.md5("content").alias("content_md5"))
 
 
-@query("k8_bm25_scores", "SELECT item_id, id, score FROM bm25_rows")
+@query("k8_bm25_scores", "SELECT item_id, id, score FROM top_docs")
 def k8(spark, sf):
-    return scores(spark, sf)
+    return best(spark, sf).drop("place")
+
+
+@query(
+    "k8_index_terms",
+    """SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT id, term, count(*) AS n
+         FROM (SELECT id, unnest(words) AS term FROM corpus_words) GROUP BY 1, 2) GROUP BY term""",
+)
+def k8_terms(spark, sf):
+    """What the stored index holds of every term."""
+    rows = index(spark, sf).rows.filter("term IS NOT NULL")
+    occurrences = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    return rows.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(occurrences).alias("occurrences"))
 
 
 @query("f4_top_documents", "SELECT item_id, id, score, CAST(place AS INTEGER) AS place FROM top_docs")
 def f4(spark, sf):
-    return ev.top_documents(scores(spark, sf), qid="item_id")
+    return best(spark, sf)
 
 
 @query(
@@ -113,7 +135,7 @@ def c7_evidence(spark, sf):
     """Decisions with the evidence retrieved for them; c7_decision_evidence is the bare join, which SQL can check."""
     decisions = decided(spark, sf)
     context = d.incident_context(view(spark, sf, "incident_telemetry")).select("incident_id", "asset_ids")
-    found = operations.incident_evidence(decisions.join(context, "incident_id", "left"), corpus(spark, sf))
+    found = operations.incident_evidence(decisions.join(context, "incident_id", "left"), corpus(spark, sf), index=index(spark, sf))
     evidence = found.select(
         "incident_id", "fallback", "n_docs", "context", "rationale", "suggested_response",
         F.array_join("sources", "|").alias("sources"), F.array_join("citations", "|").alias("citations"),

@@ -1,12 +1,10 @@
-"""Retrieval over the knowledge corpus and the evidence attached to incidents."""
+"""Queries of incidents, the evidence attached to them, and its quality; ``retrieval`` finds the documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K1, B = 1.2, 0.75
-
 # Texts of the deterministic evidence, blocklist and size limits.
 BLOCKLIST = ("drop all pressure alarms", "disable safety interlocks")
 SNIPPET_CHARS = 1200
@@ -27,11 +25,6 @@ FALLBACK_CITATIONS = (
 )
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def incident_query(incident: Column, action: Column, assets: Column) -> Column:
     """Search text of an incident."""
     return F.concat_ws(
@@ -40,69 +33,6 @@ def incident_query(incident: Column, action: Column, assets: Column) -> Column:
     )
 
 
-def term_counts(corpus: DataFrame, doc: str, text: str) -> DataFrame:
-    """(document, length, term, tf), counted inside each row: runs of its sorted words.
-
-    A document without words gives one row with a NULL term.
-    """
-    words = corpus.select(doc, F.sort_array(tokens(F.col(text))).alias("words")).select(
-        doc, "words", F.size("words").alias("len")
-    )
-
-    def opens_run(i: Column) -> Column:
-        return (i == 0) | (F.get("words", i) != F.get("words", i - 1))
-
-    # An empty text gives one run of a NULL word, which joins nothing.
-    places = F.sequence(F.lit(0), F.greatest(F.col("len") - 1, F.lit(0)))
-    runs = words.select(doc, "len", "words", F.filter(places, opens_run).alias("starts"))
-    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("len"))
-    counted = F.zip_with(
-        "starts", ends, lambda s, e: F.struct(F.get("words", s).alias("term"), (e - s).alias("tf"))
-    )
-    # The outer form keeps Spark from building the array once more just to drop empty ones.
-    return runs.select(doc, "len", F.explode_outer(counted).alias("t")).select(
-        doc, "len", "t.term", "t.tf"
-    )
-
-
-def bm25_scores(corpus: DataFrame, queries: DataFrame, doc: str = "id", text: str = "content",
-                qid: str = "query_id", qtext: str = "query") -> DataFrame:
-    """BM25 of every document that shares a term with a query: (query, document, score).
-
-    Only the counts of terms the queries use are shuffled, once, by document;
-    a document's scores are then summed where its counts are.
-    """
-    wanted = (
-        queries.select(qid, F.explode(tokens(F.col(qtext))).alias("term"))
-        .groupBy(qid, "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    length = F.size(tokens(F.col(text)))
-    stats = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avg_len"))
-    vocabulary = wanted.select("term").distinct()
-    tf = term_counts(corpus, doc, text).join(vocabulary, "term", "left_semi").repartition(doc)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
-    weighted = wanted.join(df, "term").withColumn(
-        "weight", F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    )
-    saturation = (F.col("tf") * (K1 + 1)) / (
-        F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / avg_len)
-    )
-    return (
-        tf.withColumn("gain", saturation)
-        .join(weighted.select(qid, "term", "weight"), "term")
-        .groupBy(qid, doc)
-        .agg(F.round(F.sum(F.col("gain") * F.col("weight")), 6).alias("score"))
-    )
-
-
-def top_documents(scores: DataFrame, k: int = 5, doc: str = "id", qid: str = "query_id") -> DataFrame:
-    """The k best documents per query; Spark cuts each task's rows to k before the shuffle."""
-    best = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(doc).asc())
-    return scores.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-
-
 def index_report(corpus: DataFrame) -> DataFrame:
     """Documents that can be indexed, and those lacking an id or a text."""
     usable = F.col("id").isNotNull() & (F.trim(F.coalesce("content", F.lit(""))) != "")

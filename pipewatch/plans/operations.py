@@ -9,6 +9,7 @@ from pipewatch.operators import decisions as d
 from pipewatch.operators import evidence as ev
 from pipewatch.operators import gates as g
 from pipewatch.operators import monitoring as mo
+from pipewatch.operators import retrieval
 from pipewatch.sources import readers, writers
 
 
@@ -88,15 +89,15 @@ def decide_incidents(requests: DataFrame, points: DataFrame, approvals: DataFram
 
 def incident_evidence(decisions: DataFrame, corpus: DataFrame, generated: DataFrame | None = None,
                       k: int = 5, min_docs: int = 1,
-                      terms: tuple[str, ...] = ev.BLOCKLIST) -> DataFrame:
-    """Evidence per decided incident from the k best documents of the corpus.
+                      terms: tuple[str, ...] = ev.BLOCKLIST, index: retrieval.SearchIndex | None = None) -> DataFrame:
+    """Evidence per decided incident from the k best documents of the corpus, found in its stored ``index``.
 
     ``generated`` (incident_id, rationale, suggested_response) comes from a text
     service; without it every incident gets the fixed evidence.
     """
     text = ev.incident_query(F.col("incident_id"), F.col("recommended_action"), F.col("asset_ids"))
     queries = decisions.select("incident_id", text.alias("query"))
-    top = ev.top_documents(ev.bm25_scores(corpus, queries, qid="incident_id"), k, qid="incident_id")
+    top = retrieval.search(index or retrieval.write_index(corpus), queries, k, qid="incident_id")
     context = ev.assemble_context(top.join(corpus, "id"), qid="incident_id")
     found = decisions.join(
         context.select("incident_id", "context", "sources", "citations", "n_docs"), "incident_id", "left"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pipewatch.operators import decisions as d
 from pipewatch.operators import evidence as ev
+from pipewatch.operators import retrieval
 from pipewatch.operators import gates as g
 
 REQUEST = "incident_id string, leak_probability double, anomaly_score double, forecast_stress_index double"
@@ -128,7 +129,7 @@ def test_fallback_evidence(spark):
 def test_bm25_prefers_the_rarer_term(spark):
     corpus = spark.createDataFrame([(1, "valve pressure pressure"), (2, "pressure drop"), (3, "pump"), (4, "")], "id long, content string")
     queries = spark.createDataFrame([(9, "Valve, pressure!")], "query_id long, query string")
-    top = ev.top_documents(ev.bm25_scores(corpus, queries), 5).orderBy("place").collect()
+    top = retrieval.search(retrieval.write_index(corpus), queries, 5).orderBy("place").collect()
     assert [r["id"] for r in top] == [1, 2]
     report = ev.index_report(corpus).first()
     assert (report["uploaded"], report["failed"]) == (3, 1)
