@@ -5,7 +5,7 @@ the words the source supplies; the cumulative demand, inverted, gives each
 document its position, and documents are range-sorted by position. All of it
 is DataFrame expressions.
 
-Defined results: a null text has size 0; a null source is a source of its own,
+Defined results: a null text has size 0, and a source of such texts only has target 0 and is not taken; a null source is a source of its own,
 ordered last; rows that agree in doc_id, size and text are alike, so it does
 not matter which of them is taken first; an empty table gives an empty mix.
 Columns the operator adds start with ``mix_`` and replace any of that name.
@@ -49,7 +49,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> D
     every = Window.partitionBy()
     used = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_weight = F.sum("mix_weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum("mix_source_size").over(every) - used) / open_weight
+    level = F.try_divide(F.sum("mix_source_size").over(every) - used, open_weight)
     leveled = ranked.withColumn("_level", level).withColumn(
         "_full", F.col("_cap") <= F.col("_level") * F.col("mix_weight")
     )
@@ -116,7 +116,7 @@ def assign(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES, schedules=SCH
             F.struct(
                 F.lit(number).alias("pass"),
                 words_of(number).alias("words"),
-                position((F.lit(number) * whole + before) / quota, F.col("mix_weight"), schedules).alias("position"),
+                position(F.try_divide(F.lit(number) * whole + before, quota), F.col("mix_weight"), schedules).alias("position"),
             )
             for number in range(passes)
         ]
