@@ -456,3 +456,21 @@ def test_open_stretches_hold_all_tags_of_the_whole_text():
         for a, b in pii.open_stretches(gains, leave):
             inside[1 + a : 1 + b] = True
         assert not whole[~inside].any()
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "1" * 2_000_000, " \n\t" * 700_000 + "end", "x " + "\u3000" * 600_000 + "y"])
+def test_ids_of_very_long_runs(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert bpe.ids_of(text).tolist() == expected
+
+
+def test_mix_of_a_source_without_words(spark):
+    rows = [(1, None, "b"), (2, "  ", "b"), (3, "one two three", "a")]
+    for given in (rows, rows[:2]):
+        df = spark.createDataFrame(given, "doc_id long, text string, source string")
+        got = {r.doc_id: (r.mix_size, r.mix_taken, r.mix_target) for r in mixing.assign(df).collect()}
+        assert got[1] == got[2] == (0, 0, 0.0)
+        assert mixing.mixed(df).filter("source = 'b'").count() == 0
