@@ -15,8 +15,9 @@ texts around one passage, makes no table of pairs. No list is cut.
 
 Defined results: null and empty texts, and rows without doc_id, are linked
 with nothing; a row without doc_id has no component and is kept; rows that
-repeat a doc_id and a text are one document; equal doc_ids with different
-texts are judged text by text. Only ``doc_id`` and ``text`` are read.
+repeat a doc_id and a text are one document. Equal doc_ids with different texts: ``near_duplicates`` takes
+them for one document, linked with all that any of its texts is like; ``one_of_each`` for documents of
+their own. Only ``doc_id`` and ``text`` are read. A text is held in one task, whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipewatch.llm import text as tx
@@ -43,8 +44,8 @@ K = 32
 FILTER_BITS = 1 << 25
 #: Members of one group that are compared in one task; larger groups are compared block by block.
 BLOCK = 1024
-#: Standard deviations by which an estimate may miss before a pair is lost.
-DEVIATIONS = 5.0
+#: Chance that a pair right at the threshold shares too few retained values to be looked at.
+MISS = 1e-9
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -130,14 +131,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def surely_common(k: int, threshold: float, miss: float = MISS) -> int:
+    """Of k values retained, how many two sets at the threshold share but for a chance of ``miss``; by the binomial tail."""
+    below = 0.0
+    for shared in range(k + 1):
+        below += math.comb(k, shared) * threshold**shared * (1 - threshold) ** (k - shared)
+        if below > miss:
+            return max(1, shared)
+    return k
+
+
 def least_common(length: Column, k: int, threshold: float) -> Column:
     """Retained values that two sets at the threshold share at least.
 
     A full sketch shares a binomial number of k; a set smaller than k is
     retained whole, and a partner's sketch lacks few of its values.
     """
-    spread = DEVIATIONS * math.sqrt(threshold * (1 - threshold) * k)
-    full = max(1, math.floor(threshold * k - spread))
+    full = surely_common(k, threshold)
     small = F.ceil(length * threshold - 1e-9) - F.greatest(F.lit(0), F.floor(length / threshold + 1e-9) - k)
     return F.when(length >= k, F.lit(full)).otherwise(F.greatest(F.lit(1), small)).cast("int")
 
@@ -170,8 +180,9 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) -> Da
     right = classes.select(F.col("cid").alias("b"), F.col("sketch").alias("_sb"))
     lowest = F.slice(F.array_sort(F.array_union("_sa", "_sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("_sa", "_sb"), lowest))
-    margin = DEVIATIONS * math.sqrt(threshold * (1 - threshold) / k)
-    found = pairs.join(left, "a").join(right, "b").filter(common >= (threshold - margin) * F.size(lowest))
+    # A union of fewer values is retained whole, and its similarity is exact.
+    needed = F.when(F.size(lowest) >= k, F.lit(surely_common(k, threshold))).otherwise(F.size(lowest) * threshold - 1e-9)
+    found = pairs.join(left, "a").join(right, "b").filter(common >= needed)
     return found.select("a", "b")
 
 
@@ -314,7 +325,7 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
 def least_common_of(length: int, k: int, threshold: float) -> int:
     """``least_common`` of a plain number."""
     if length >= k:
-        return max(1, math.floor(threshold * k - DEVIATIONS * math.sqrt(threshold * (1 - threshold) * k)))
+        return surely_common(k, threshold)
     return max(1, math.ceil(length * threshold - 1e-9) - max(0, math.floor(length / threshold + 1e-9) - k))
 
 
@@ -366,11 +377,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that lead their component, each once."""
-    found = near_duplicates(docs, **settings).filter("kept").select(F.col("doc_id").alias("_id")).filter("_id IS NOT NULL").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    kept = named.join(found, named["doc_id"] == found["_id"], "left_semi")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each component, the one with the smallest doc_id, and all rows without doc_id.
+
+    Rows that share a doc_id but not their text are documents of their own: they are linked by
+    their texts only, and each gets a number of its own below 0 for that. Of rows that agree in doc_id and
+    text the first by a hash of all columns stays, so runs agree.
+    """
+    mine = ["dup_id", "dup_of", "dup_place"]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in mine])
+    text, known = F.xxhash64(F.coalesce("text", F.lit(""))), docs.filter(F.col("doc_id").isNotNull())
+    several = known.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).filter("lo != hi").select(F.col("doc_id").alias("dup_of"))
+    drawn = -F.pmod(F.xxhash64("doc_id", text), F.lit((1 << 62) - 1)) - 1
+    named = known.join(several, F.col("doc_id") == F.col("dup_of"), "left").withColumn(
+        "dup_id", F.when(F.col("dup_of").isNull(), F.col("doc_id").cast("long")).otherwise(drawn)
+    )
+    found = near_duplicates(named.select(F.col("dup_id").alias("doc_id"), "text"), **settings).select("doc_id", "component_id").distinct()
+    drawn_ids = named.filter("dup_of IS NOT NULL").select(F.col("dup_id").alias("of"), F.col("dup_of").cast("long").alias("real")).distinct()
+    members = found.join(drawn_ids, found["doc_id"] == F.col("of"), "left")
+    first = F.min(F.struct(F.coalesce("real", "doc_id").alias("real"), F.col("doc_id").alias("id")))
+    leaders = members.groupBy("component_id").agg(first.alias("first")).select(F.col("first.id").alias("leader"))
+    kept = named.join(leaders, F.col("dup_id") == F.col("leader"), "left_semi")
+    once = Window.partitionBy("dup_id").orderBy(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
+    kept = kept.withColumn("dup_place", F.row_number().over(once)).filter("dup_place = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

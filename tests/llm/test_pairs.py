@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cases import WORD, documents, lower, no_documents, prose
 from pipewatch.llm import sketch, vptree
@@ -133,6 +134,23 @@ def test_texts_of_one_id_are_linked(spark):
     assert {r.component_id for r in sketch.near_duplicates(df).collect()} == {1}
 
 
+def test_texts_of_one_id_stay_where_they_are_told_apart(spark):
+    rng = random.Random(6)
+    one, two, three = (prose(rng, 40) for _ in range(3))
+    rows = [(4, one, "x"), (5, one, "x"), (5, two, "x"), (6, two, "x"), (7, three, "x"), (7, three, "y"), (7, three, "x"), (8, None, "x"), (8, "", "x"), (8, "a word", "x"), (3, two + " more", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dup_id string").withColumn("source", F.col("dup_id"))
+    runs = [sorted((r.doc_id, r.text or "", r.source) for r in sketch.one_of_each(df.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2]
+    assert [r[:2] for r in runs[0]] == sorted([(3, two + " more"), (4, one), (7, three), (8, ""), (8, "a word")])
+
+
+@pytest.mark.parametrize("k, threshold", [(32, 0.8), (64, 0.5)])
+def test_few_pairs_at_the_threshold_share_less(k, threshold):
+    t = sketch.surely_common(k, threshold)
+    tail = lambda n: sum(math.comb(k, x) * threshold**x * (1 - threshold) ** (k - x) for x in range(n))
+    assert tail(t) <= sketch.MISS < tail(t + 1)
+
+
 def test_one_row_of_each_group_stays(spark):
     df = documents(spark)
     kept = sketch.one_of_each(df)
