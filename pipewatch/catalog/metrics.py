@@ -289,7 +289,8 @@ def time_order():
 
 @query("e8_temporal_split_all", "SELECT event_id, rank AS time_rank, split FROM all_split")
 def e8_all(spark, sf):
-    out, _ = sp.temporal_split(scored(spark, sf), time_order())
+    rows = scored(spark, sf).select("event_id", *[c for c in ORDER if c != "event_id"])
+    out, _ = sp.temporal_split(with_rank(rows, time_order(), "time_rank"), time_order())
     return out.select("event_id", "time_rank", "split")
 
 

@@ -29,8 +29,8 @@ CTES["gold_split"] = """
 
 def split_gold(spark, sf):
     keep = [*tr.ORDER, tr.LABEL, "_source_type", *FEATURES]
-    split, _ = sp.temporal_split(gold_frame(spark, sf).select(*keep), tr.order_columns())
-    return checkpointed(split)
+    split, _ = sp.temporal_split(checkpointed(gold_frame(spark, sf).select(*keep)), tr.order_columns())
+    return split
 
 
 def parts(spark, sf):

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewatch.functions.expr import uniform
-from pipewatch.operators.ordered import with_rank
+from pipewatch.operators.selection import Cut, cuts
 
 TRAIN, VAL, TEST = "train", "val", "test"
 
 
-def _by_rank(rank: Column, train_end: int, val_end: int) -> Column:
-    return F.when(rank < train_end, TRAIN).when(rank < val_end, VAL).otherwise(TEST)
+def _by_cuts(train_end: Cut, val_end: Cut) -> Column:
+    return F.when(train_end.before, TRAIN).when(val_end.before, VAL).otherwise(TEST)
 
 
 def cut_points(n: int, train_frac: float, val_frac: float) -> tuple[int, int]:
@@ -35,40 +35,35 @@ def temporal_split(
     """A ``split`` column by place in time, and the policy that applied.
 
     With ``real_holdout`` only real rows are cut and synthetic rows all train;
-    with fewer than five real rows the cut falls back to all rows.
+    with fewer than five real rows the cut falls back to all rows. Rows stay where they are:
+    they are labelled by comparing them with two cut keys.
     """
     policy = "temporal_all"
     if real_holdout:
         real = F.coalesce(F.col(source), F.lit("real")) == "real"
-        real_rows = with_rank(df.filter(real), order, "time_rank")
-        n_real = real_rows.count()
+        n_real = df.filter(real).count()
         if n_real >= 5:
             train_end, val_end = cut_points(n_real, train_frac, val_frac)
             if train_end < val_end < n_real:
-                held = real_rows.withColumn("split", _by_rank(F.col("time_rank"), train_end, val_end))
-                rest = df.filter(~real).withColumns(
-                    {"time_rank": F.lit(None).cast("long"), "split": F.lit(TRAIN)}
-                )
-                return held.unionByName(rest), "real_only_holdout"
+                label = _by_cuts(*cuts(df.filter(real), order, [train_end, val_end], n_real))
+                return df.withColumn("split", F.when(real, label).otherwise(TRAIN)), "real_only_holdout"
         policy = "temporal_all_fallback"
-    ranked = with_rank(df, order, "time_rank")
-    n = ranked.count()
+    n = df.count()
     if n < 5:
         raise ValueError("a temporal split needs at least 5 rows")
     train_end, val_end = cut_points(n, train_frac, val_frac)
     if not train_end < val_end < n:
         raise ValueError("the temporal split leaves validation or test empty")
-    return ranked.withColumn("split", _by_rank(F.col("time_rank"), train_end, val_end)), policy
+    return df.withColumn("split", _by_cuts(*cuts(df, order, [train_end, val_end], n))), policy
 
 
 def plain_temporal_split(
     df: DataFrame, order: list[Column], train_frac: float = 0.6, val_frac: float = 0.2
 ) -> DataFrame:
     """Cuts at ``int(n * fraction)``, without minimum sizes."""
-    ranked = with_rank(df, order, "time_rank")
-    n = ranked.count()
-    train_end, val_end = int(n * train_frac), int(n * (train_frac + val_frac))
-    return ranked.withColumn("split", _by_rank(F.col("time_rank"), train_end, val_end))
+    n = df.count()
+    ends = [int(n * train_frac), int(n * (train_frac + val_frac))]
+    return df.withColumn("split", _by_cuts(*cuts(df, order, ends, n)))
 
 
 def stratified_split(
@@ -89,21 +84,20 @@ def stratified_split(
     can_stratify = len(by_class) > 1 and min(by_class.values()) >= 2 and n_test >= len(by_class)
     draw = uniform(seed, *row_id)
     ids = [F.col(c) for c in row_id]
+    # A class's test rows are those with the smallest draws, up to its quota.
     if not can_stratify:
-        ranked = with_rank(df.withColumn("_u", draw), [F.col("_u"), *ids], "_place")
-        is_test = F.col("_place") < n_test
+        (end,) = cuts(df, [draw, *ids], [n_test], n)
+        is_test = end.before
     else:
         whole = {c: m * n_test // n for c, m in by_class.items()}
         left = n_test - sum(whole.values())
         by_remainder = sorted(by_class, key=lambda c: (-(by_class[c] * n_test % n), c))
-        quota = {c: whole[c] + (c in by_remainder[:left]) for c in by_class}
-        order = [F.col(label), F.col("_u"), *ids]
-        ranked = with_rank(df.withColumn("_u", draw), order, "_place")
-        is_test, start = F.lit(False), 0
+        is_test = F.lit(False)
         for c, m in by_class.items():
-            inside = (F.col("_place") >= start) & (F.col("_place") < start + quota[c])
-            is_test, start = is_test | inside, start + m
-    return ranked.withColumn("split", F.when(is_test, TEST).otherwise(TRAIN)).drop("_u", "_place")
+            mine = F.col(label).eqNullSafe(F.lit(c))
+            (end,) = cuts(df.filter(mine), [draw, *ids], [whole[c] + (c in by_remainder[:left])], m)
+            is_test = is_test | (mine & end.before)
+    return df.withColumn("split", F.when(is_test, TEST).otherwise(TRAIN))
 
 
 def split_profile(df: DataFrame, label: str, source: str = "_source_type") -> DataFrame:

@@ -119,9 +119,8 @@ def train_suite(
         raise ValueError(f"Potential feature leakage columns detected: {leaking}")
     keep = list(dict.fromkeys([*ORDER, LABEL, "_source_type", *features]))
     split, policy = sp.temporal_split(
-        gold.select(*keep), order_columns(), train_frac, val_frac, real_holdout
+        checkpointed(gold.select(*keep)), order_columns(), train_frac, val_frac, real_holdout
     )
-    split = checkpointed(split)
     train, held = split.filter("split = 'train'"), split.filter("split <> 'train'")
 
     fits = {
@@ -292,9 +291,7 @@ def logistic_baseline(gold: DataFrame, train_frac: float = 0.6, val_frac: float
     """Prior and balanced logistic regression over a plain temporal split: scored held-out rows."""
     features = mm.candidate_features(gold)
     keep = list(dict.fromkeys([*ORDER, LABEL, *features]))
-    split = checkpointed(
-        sp.plain_temporal_split(gold.select(*keep), order_columns(), train_frac, val_frac)
-    )
+    split = sp.plain_temporal_split(checkpointed(gold.select(*keep)), order_columns(), train_frac, val_frac)
     train, held = split.filter("split = 'train'"), split.filter("split <> 'train'")
     if not mm.is_trainable(train, LABEL):
         raise ValueError(mm.SINGLE_CLASS)
@@ -312,7 +309,7 @@ def logistic_baseline(gold: DataFrame, train_frac: float = 0.6, val_frac: float
 def train_simple(gold: DataFrame, n_trees: int = 300, seed: int = 42) -> DataFrame:
     """Random forest on the fixed features and a stratified random split: scored test rows."""
     frame = gold.select(*ORDER, *inf.MODEL_FEATURES, F.col("leak_label").cast("int").alias("y"))
-    split = checkpointed(sp.stratified_split(frame.fillna(0), "y", ORDER, seed))
+    split = sp.stratified_split(checkpointed(frame.fillna(0)), "y", ORDER, seed)
     features = list(inf.MODEL_FEATURES)
     model = mm.fit_random_forest(split.filter("split = 'train'"), features, "y", n_trees, seed=seed)
     scored = mm.score_with(model, split.filter("split = 'test'"), features)
