@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewatch.catalog.decisions import _KPI
-from pipewatch.catalog.medallion import r6
+from pipewatch.catalog.medallion import _GOLD_OUT, r6
 from pipewatch.catalog.registry import CTES, query
 from pipewatch.functions.expr import rounded
 from pipewatch.operators import decisions as d
 from pipewatch.sources.scratch import scratch_path
 from pipewatch.sources.views import table, telemetry, view
 from pipewatch.streaming import landing, limits, service
+from pipewatch.streaming import medallion as me
 
 SLICES = 3
 
@@ -231,16 +232,19 @@ def i15(spark, sf):
     return service.late_events(closed, rows)
 
 
-@query(
-    "i13_incremental_silver",
-    f"""SELECT event_ts_utc, sensor_node_id, leak_label, row_hash AS _row_hash, {r6('pressure_psi', 'flow_gpm', 'demand_gpm')}
-        FROM silver_rows""",
-)
-def i13(spark, sf):
+_streamed: dict[tuple[str, str], me.Medallion] = {}
+
+
+def streamed(spark, sf):
+    """Tables of a session after the readings were replayed, delivered in order of ingestion; replayed once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _streamed:
+        return _streamed[key]
     rows = telemetry(spark, sf)
-    names = ("feed", "bronze", "silver", "check-bronze", "check-silver")
-    source, bronze, silver, check_b, check_s = (scratch_path(spark, n) for n in names)
-    nodes = view(spark, sf, "network_nodes")
+    source, bronze, check_b, check_s, root = (scratch_path(spark, n) for n in ("feed", "bronze", "check-bronze", "check-silver", "medallion"))
+    nodes, metadata, links = (view(spark, sf, n) for n in ("network_nodes", "leak_metadata", "network_links"))
+    # Readings are stamped with the hour they begin, so copies come within the hour.
+    tables = me.Medallion(root, nodes, metadata, links, allowed=3600)
 
     def start():
         readings = typed_stream(spark, rows, source)
@@ -248,12 +252,51 @@ def i13(spark, sf):
             readings, bronze, check_b, F.col("source_file"), F.col("ingest_ts")
         ).awaitTermination()
         made = spark.readStream.schema(spark.read.parquet(bronze).schema).parquet(bronze)
-        return landing.silver_stream(made, silver, check_s, nodes)
+        return me.medallion_stream(made, tables, check_s)
 
     replay(rows, "ingest_ts", source, start)
-    table_now = landing.read_silver(spark, silver, view(spark, sf, "leak_metadata"))
+    me.close(spark, tables)
+    _streamed[key] = tables
+    return tables
+
+
+@query(
+    "i13_incremental_silver",
+    f"""SELECT event_ts_utc, sensor_node_id, leak_label, row_hash AS _row_hash, {r6('pressure_psi', 'flow_gpm', 'demand_gpm')}
+        FROM silver_rows""",
+)
+def i13(spark, sf):
+    silver = me.read_table(spark, streamed(spark, sf), "silver")
     return rounded(
-        table_now.select(
+        silver.select(
             "event_ts_utc", "sensor_node_id", "leak_label", "_row_hash", "pressure_psi", "flow_gpm", "demand_gpm"
         )
     )
+
+
+@query(
+    "i13_incremental_quarantine",
+    """SELECT event_ts_utc, sensor_node_id, row_hash, invalid_sensor_id, leak_label_aligned,
+         quarantine_reason FROM quarantine_rows""",
+)
+def i13_rejected(spark, sf):
+    rejected = me.read_table(spark, streamed(spark, sf), "rejected")
+    return rejected.select(
+        "event_ts_utc", "sensor_node_id", F.col("_row_hash").alias("row_hash"), "invalid_sensor_id", "leak_label_aligned", "quarantine_reason"
+    )
+
+
+@query(
+    "i13_incremental_gold",
+    f"""SELECT event_ts_utc, sensor_node_id, leak_label, source_type AS _source_type, row_hash AS _row_hash,
+          hour_of_day, day_of_week, is_weekend, node_degree, target_leak_horizon, {r6(*_GOLD_OUT)}
+        FROM gold_rows""",
+)
+def i13_gold(spark, sf):
+    gold = me.read_table(spark, streamed(spark, sf), "gold")
+    return rounded(
+        gold.select(
+            "event_ts_utc", "sensor_node_id", "leak_label", "_source_type", "_row_hash", "hour_of_day",
+            "day_of_week", "is_weekend", "node_degree", "target_leak_horizon", *_GOLD_OUT,
+        )
+    )

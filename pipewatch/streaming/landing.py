@@ -1,4 +1,4 @@
-"""Landing of raw events and the incremental bronze and silver tables."""
+"""Landing of raw events and the incremental bronze table; ``medallion`` goes on from there."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pipewatch.operators import bronze as bz
-from pipewatch.operators import silver as sv
 
 
 def text_source(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -91,29 +90,3 @@ def bronze_stream(readings: DataFrame, target: str, checkpoint: str, source_file
         .trigger(availableNow=True)
         .start()
     )
-
-
-def silver_stream(bronze_rows: DataFrame, target: str, checkpoint: str,
-                  nodes: DataFrame | None = None) -> StreamingQuery:
-    """Clean new bronze rows and append one folder per batch.
-
-    A batch keeps one copy per (time, sensor); copies across batches are
-    settled when the table is read, so nothing written is ever changed.
-    """
-
-    def clean(batch: DataFrame, number: int) -> None:
-        rows = sv.deduplicate(sv.complete(sv.curate(batch, nodes)))
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return (
-        bronze_rows.writeStream.foreachBatch(clean)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def read_silver(spark: SparkSession, path: str, metadata: DataFrame | None = None) -> DataFrame:
-    """The silver table over all batches, labels aligned with the incidents known now."""
-    rows = sv.deduplicate(spark.read.parquet(path).drop("batch"))
-    return sv.tag_units(sv.align_labels(rows, metadata))
