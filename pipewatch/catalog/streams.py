@@ -129,14 +129,7 @@ def i3_stream(spark, sf):
 
     def start():
         arriving = limits.calls_source(spark, rows.schema, source)
-        answers = limits.limit_stream(arriving.drop("ts"), **LIMIT)
-        return (
-            answers.writeStream.format("parquet")
-            .option("path", target)
-            .option("checkpointLocation", check)
-            .trigger(availableNow=True)
-            .start()
-        )
+        return limits.answer_calls(arriving.drop("ts"), target, check, **LIMIT)
 
     replay(rows, "ts", source, start)
     return spark.read.parquet(target)

@@ -1,5 +1,6 @@
 """Streaming jobs: twins agree, restarts do not repeat, limits hold."""
 
+import time
 from collections import deque
 
 import numpy as np
@@ -55,10 +56,7 @@ def test_stream_equals_table_over_restarts(spark, tmp_path):
         rows = [(c, int(t), int(s)) for c, t, s in part]
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        (
-            limits.limit_stream(stream, 3, 20).writeStream.format("parquet").option("path", target)
-            .option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-        )
+        limits.answer_calls(stream, target, check, limit=3, window_seconds=20).awaitTermination(60)
     assert rows_of(spark.read.parquet(target)) == brute_limit(calls(), 3, 20_000_000)
 
 
@@ -91,3 +89,19 @@ def test_admit_keeps_accepted_calls_only():
     log = deque()
     assert [limits.admit(log, t, 10, 2) for t in (0, 5, 6, 11, 12)] == [True, True, False, True, False]
     assert list(log) == [5, 11]
+
+
+def test_state_of_idle_clients_expires(spark, tmp_path):
+    source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "client string, at_micros long, seq long"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        assert limits.answer_calls(stream, target, check, limit=3, window_seconds=20, idle_seconds=2).awaitTermination(60)
+        held = spark.read.format("statestore").option("stateVarName", "accepted").load(check)
+        return {r[0] for r in held.select("key.*").collect()}
+
+    assert run([("idle", 0, 1), ("busy", 0, 2)]) == {"idle", "busy"}
+    time.sleep(3)
+    assert run([("busy", 30_000_000, 3)]) == {"busy"}
