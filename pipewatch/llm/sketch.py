@@ -237,15 +237,21 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return passed.join(ids, passed["doc_id"] == ids["cid"]).select("cid", "text")
 
 
-def open_groups(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """(g, cid, c): members and their components, by the list's central class, of lists that span several.
+def open_groups(lists: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
+    """(g, cid, n, c): members, sizes and components, by the list's central class, of lists that span several.
 
     The pivots are left out: every pair with one of them has been decided.
     """
     rest = lists.filter("cid != low AND cid != middle")
     placed = rest.join(joined, rest["cid"] == joined["node"], "left").withColumn("c", F.coalesce("component", "cid"))
-    mixed = placed.groupBy("v").agg(F.min("c").alias("first"), F.max("c").alias("last")).filter("first < last").select("v")
-    return placed.join(mixed, "v").select(F.col("middle").alias("g"), "cid", "c").distinct()
+    # Sets that can be alike lie in the same step of sizes or in neighbouring ones, so a member
+    # matters where two neighbouring steps of its list hold several components.
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)
+    placed = placed.withColumn("steps", F.array(step - 1, step))
+    of_steps = placed.select("v", F.explode("steps").alias("s"), "c").groupBy("v", "s").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    mixed = of_steps.filter("first < last").select("v", "s")
+    members = placed.select("v", "middle", "cid", "n", "c", F.explode("steps").alias("s")).join(mixed, ["v", "s"])
+    return members.select(F.col("middle").alias("g"), "cid", "n", "c").distinct()
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -259,7 +265,7 @@ def blocks(members: DataFrame) -> DataFrame:
 def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFrame:
     """Links (a, b) between members of a block pair in different components.
 
-    ``members`` has g, cid, c and ``values``. Rule "sets" compares full sets and returns the
+    ``members`` has g, cid, n (the size of the set), c and ``values``. Sizes alone rule most pairs out. Rule "sets" compares full sets and returns the
     links; rule "sketches" returns (cid, cid) of members that share enough retained
     values with some other, since pairs of those are still to be confirmed.
     """
@@ -267,7 +273,7 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
     need = [least_common_of(m, k, threshold) for m in range(k + 1)]
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        cid, c, own = (np.array([r[x] for r in rows]) for x in range(3))
+        cid, c, own, n = (np.array([r[x] for r in rows]) for x in (0, 1, 2, 4))
         size = np.array([len(r[3]) for r in rows])
         names, biggest = np.unique(c, return_counts=True)
         if len(names) < 2:
@@ -285,7 +291,7 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
                 good = 100 * inter >= bound * (size + size[u] - inter)
             else:
                 good = inter >= np.minimum(wanted[size], wanted[size[u]])
-            good &= c != c[u]
+            good &= (c != c[u]) & (100 * np.minimum(n, n[u]) >= bound * np.maximum(n, n[u]))
             if two:
                 good &= own != own[u]
             found = np.flatnonzero(good)
@@ -306,7 +312,7 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
 
         for batch in batches:
             keys = list(zip(*(tx.column(batch, x).to_pylist() for x in ("g", "i", "j"))))
-            cid, c, own = (tx.column(batch, x).to_pylist() for x in ("cid", "c", "own"))
+            cid, c, own, n = (tx.column(batch, x).to_pylist() for x in ("cid", "c", "own", "n"))
             values = tx.column(batch, "values")
             flat, offsets = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
             for r, now in enumerate(keys):
@@ -314,7 +320,7 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
                     if rows:
                         yield finished()
                     key, rows = now, []
-                rows.append((cid[r], c[r], own[r], flat[offsets[r] : offsets[r + 1]].copy()))
+                rows.append((cid[r], c[r], own[r], flat[offsets[r] : offsets[r + 1]].copy(), n[r]))
         if rows:
             yield finished()
 
@@ -348,7 +354,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
     sets = written(full_sets(among(docs, ends), size), "sets")
     first = written(confirmed(near, sets, threshold), "links")
 
-    groups = written(open_groups(lists, components(first, "a", "b")), "open")
+    groups = written(open_groups(lists, components(first, "a", "b"), threshold), "open")
     sketched = groups.join(classes.select("cid", F.col("sketch").alias("values")), "cid")
     able = written(matches(sketched, "sketches", k, threshold).select(F.col("a").alias("cid")).distinct(), "able")
     full = full_sets(among(docs, able), size).withColumnRenamed("set", "values")
@@ -387,6 +393,8 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in mine])
     text, known = F.xxhash64(F.coalesce("text", F.lit(""))), docs.filter(F.col("doc_id").isNotNull())
     several = known.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).filter("lo != hi").select(F.col("doc_id").alias("dup_of"))
+    # Written, so that its size is known before texts are joined with it, which happens each time they are read.
+    several = written(several, "several")
     drawn = -F.pmod(F.xxhash64("doc_id", text), F.lit((1 << 62) - 1)) - 1
     named = known.join(several, F.col("doc_id") == F.col("dup_of"), "left").withColumn(
         "dup_id", F.when(F.col("dup_of").isNull(), F.col("doc_id").cast("long")).otherwise(drawn)
