@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a range that are put in order, and limits counted in one pass.
-FEW, LIMITS = 10_000, 64
+FEW, LIMITS = 100_000, 16
 
 
 @dataclass(frozen=True)
@@ -52,11 +52,10 @@ def _at(rows: DataFrame, n: int, rank: int, few: int, limits: int) -> tuple[tupl
         if high is not None:
             part = part.filter(F.col("k") < _literal(kind, high))
         if inside <= few:
-            keys = [tuple(r["k"]) for r in part.orderBy("k").limit(rank - below + 1).collect()]
-            found = keys[-1]
-            first = keys.index(found)
-            same = part.filter(F.col("k") == _literal(kind, found)).count()
-            return found, below + first, same
+            found = tuple(part.orderBy("k").offset(rank - below).limit(1).first()["k"])
+            here = _literal(kind, found)
+            near = part.agg(F.count_if(F.col("k") < here).alias("under"), F.count_if(F.col("k") == here).alias("same")).first()
+            return found, below + near["under"], near["same"]
         ends = part.agg(F.min("k").alias("a"), F.max("k").alias("b")).first()
         smallest, largest = tuple(ends["a"]), tuple(ends["b"])
         if smallest == largest:
