@@ -13,10 +13,12 @@ from pipewatch.operators import metrics as m
 from pipewatch.operators import models as mm
 from pipewatch.operators import splits as sp
 from pipewatch.operators.isolation import fit_isolation_forest, raw_anomaly, scaled_scores
+from pipewatch.plans import store
 from pipewatch.plans import training as tr
 from pipewatch.sources.schemas import MODEL_FEATURES
 from pipewatch.sources.scratch import checkpointed, scratch_path
 from pipewatch.sources.views import table, view
+from pipewatch.streaming.service import score_requests
 
 FEATURES = list(MODEL_FEATURES)
 
@@ -83,13 +85,54 @@ def j6(spark, sf):
     return rounded(scored.select("model", "split", *tr.ORDER, "y", "score"))
 
 
+def stored_model(spark, sf):
+    """A forest fitted on the train split, written and read back as tables; of one class only, an isolation forest."""
+    train, _ = parts(spark, sf)
+    fitted = tr.supervised("random_forest", train, FEATURES, mm.fit_random_forest)
+    path = scratch_path(spark, "model")
+    store.save_model(fitted if fitted.score else tr.fit_isolation(train, FEATURES), path)
+    return store.load_model(spark, path)
+
+
 @query("j10_batch_scoring")
 def j10(spark, sf):
-    train, _ = parts(spark, sf)
-    fitted = tr.supervised(
-        "random_forest", train, FEATURES, mm.fit_random_forest
-    )
-    return rounded(tr.score_batches(payload_rows(spark, sf), fitted))
+    return rounded(tr.score_batches(payload_rows(spark, sf), stored_model(spark, sf)))
+
+
+@query(
+    "j10_stream_scoring",
+    """SELECT batch_id, row_index, 11 AS feature_count, true AS is_share, true AS flag_follows
+       FROM payload_errors JOIN payload_batches USING (batch_id) WHERE accepted""",
+)
+def j10_stream(spark, sf):
+    """Streamed requests scored from the stored model: which rows are answered, and what every answer must hold."""
+    landed, target = scratch_path(spark, "requests"), scratch_path(spark, "answers")
+    messages = payload_rows(spark, sf).groupBy("batch_id").agg(F.collect_list(F.struct("row_index", "payload")).alias("rows"))
+    messages.write.parquet(landed)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 8).parquet(landed)
+    score_requests(stream, stored_model(spark, sf), target, scratch_path(spark, "state")).awaitTermination()
+    answers = spark.read.parquet(target)
+    return answers.select(
+        "batch_id", "row_index", "feature_count", F.col("score").between(0, 1).alias("is_share"),
+        (F.col("is_leak") == (F.col("score") >= 0.5).cast("int")).alias("flag_follows"),
+    )
+
+
+def stressed(spark, sf):
+    keep = [*tr.ORDER, "leak_label", *FEATURES]
+    return tr.stress_model(gold_frame(spark, sf).select(*keep), stored_model(spark, sf))
+
+
+@query("j13_scenario_results")
+def j13(spark, sf):
+    results, _ = stressed(spark, sf)
+    return rounded(results.drop("model"))
+
+
+@query("d39_generalization")
+def d39(spark, sf):
+    _, overall = stressed(spark, sf)
+    return rounded(overall)
 
 
 @query("j3_embedding_anomalies")

@@ -202,20 +202,21 @@ def j12(spark, sf):
 
 
 @query(
-    "j13_scenario_results",
+    "j13_formula_results",
     f"""SELECT scenario, n_rows, status, {", ".join(f'round("{c}", 6) AS "{c}"' for c in
         ("mean_score", "precision", "recall", "f1", "predicted_positive_rate"))} FROM scenario_results""",
 )
-def j13(spark, sf):
+def j13_formula(spark, sf):
+    """The evaluation over scores any engine can repeat; ``j13_scenario_results`` scores with a model."""
     return rounded(sc.evaluate_scenarios(scored_frames(spark, sf)))
 
 
 @query(
-    "d39_generalization",
+    "d39_formula_generalization",
     f"""SELECT count(f1) AS scenarios, round(avg(f1), 6) AS mean_f1, round(min(f1), 6) AS min_f1 FROM scenario_results
         WHERE scenario IN ({", ".join(f"'{s}'" for s in sc.GENERALIZATION)})""",
 )
-def d39(spark, sf):
+def d39_formula(spark, sf):
     return rounded(sc.generalization(sc.evaluate_scenarios(scored_frames(spark, sf))))
 
 

@@ -31,13 +31,16 @@ def order_columns():
 class Fitted:
     """A trained model: how it scores a frame, or why it was skipped.
 
-    ``score(df, by)`` scales scores that need it within each group of ``by``.
+    ``score(df, by)`` scales scores that need it within each group of ``by``. ``model`` and
+    ``scaler`` are what the score is made of, for ``plans.store``.
     """
 
     name: str
     features: list[str]
     score: Callable[..., DataFrame] | None
     reason: str | None = None
+    model: object = None
+    scaler: dict[str, tuple[float, float]] | None = None
 
 
 def fit_isolation(train: DataFrame, features: list[str], n_trees: int = 300) -> Fitted:
@@ -46,26 +49,35 @@ def fit_isolation(train: DataFrame, features: list[str], n_trees: int = 300) ->
     scaled = mm.apply_scaler(train, scaler)
     normal = scaled.filter(F.col(LABEL) == 0)
     rows = normal if normal.limit(2).count() >= 2 else scaled
-    forest = iso.fit_isolation_forest(rows, features, order_columns(), n_trees)
+    return anomaly_model(iso.fit_isolation_forest(rows, features, order_columns(), n_trees), scaler)
+
+
+def anomaly_model(forest: iso.IsolationForest, scaler: dict[str, tuple[float, float]]) -> Fitted:
+    """A grown forest over scaled features, ready to score."""
+    features = forest.features
 
     def score(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         kept = [c for c in df.columns if c not in features]
         scored = iso.scaled_scores(mm.apply_scaler(df, scaler), forest, by)
         return scored.select(*kept, "score")
 
-    return Fitted("isolation_forest", features, score)
+    return Fitted("isolation_forest", features, score, model=forest, scaler=scaler)
 
 
 def supervised(name: str, train: DataFrame, features: list[str], fit) -> Fitted:
     if not mm.is_trainable(train, LABEL):
         return Fitted(name, features, None, mm.SINGLE_CLASS)
-    model = fit(train, features, LABEL)
+    return probability_model(name, features, fit(train, features, LABEL))
+
+
+def probability_model(name: str, features: list[str], model) -> Fitted:
+    """A fitted classifier, ready to score."""
 
     def score(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         kept = [c for c in df.columns if c not in features]
         return mm.score_with(model, df, features).select(*kept, "score")
 
-    return Fitted(name, features, score)
+    return Fitted(name, features, score, model=model)
 
 
 @dataclass
@@ -221,16 +233,19 @@ def stress_test(gold: DataFrame, suite: Suite, threshold: float = 0.5, seed: int
     best = m.select_candidate(
         suite.metrics.filter("split = 'test'"), by=("business_net_value", "f1")
     ).first()["model"]
-    fitted = suite.models[best]
+    return stress_model(gold, suite.models[best], threshold, seed, rows)
+
+
+def stress_model(gold: DataFrame, fitted: Fitted, threshold: float = 0.5, seed: int = 42,
+                 rows: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Scenario results and generalization of one model."""
     columns = list(dict.fromkeys([*ORDER, "leak_label", *sc.MEASURES, *fitted.features]))
     base = sc.stress_baseline(gold.select(*columns), fitted.features, order_columns(), rows, seed)
     clean = sc.scenario_features(checkpointed(sc.scenario_frames(base, seed)), fitted.features)
     # Scores are scaled within each scenario, as one request batch each.
-    scored = [
-        fitted.score(clean.filter(F.col("scenario") == s)) for s in sc.SCENARIOS
-    ]
-    results = checkpointed(sc.evaluate_scenarios(_union(scored), threshold)).withColumn(
-        "model", F.lit(best)
+    scored = fitted.score(clean, ("scenario",))
+    results = checkpointed(sc.evaluate_scenarios(scored, threshold)).withColumn(
+        "model", F.lit(fitted.name)
     )
     return results, sc.generalization(results)
 

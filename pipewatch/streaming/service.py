@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pipewatch.operators import decisions as d
 from pipewatch.operators.alerts import service_windows
+from pipewatch.plans.training import Fitted, score_batches
 
 
 def _each_batch(stream: DataFrame, mode: str, work, checkpoint: str) -> StreamingQuery:
@@ -91,3 +92,17 @@ def late_events(closed: DataFrame, log: DataFrame, size: str = "15 minutes", lat
     return joined.withColumn("counted", F.coalesce("counted", F.lit(0).cast("long"))).withColumn(
         "late", F.col("arrived") - F.col("counted")
     )
+
+
+def score_requests(requests: DataFrame, fitted: Fitted, target: str, checkpoint: str) -> StreamingQuery:
+    """Predictions for streamed requests, each one message: (batch_id, rows of (row_index, payload)).
+
+    A request comes whole, so its check and the scaling of its scores need no state and no later
+    message. A batch that is run again replaces its own folder, so no answer is written twice.
+    """
+    answered = requests.select("batch_id", F.explode("rows").alias("row")).select("batch_id", "row.row_index", "row.payload")
+
+    def write(batch: DataFrame, number: int) -> None:
+        score_batches(batch, fitted).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return _each_batch(answered, "append", write, checkpoint)
