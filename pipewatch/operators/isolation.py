@@ -17,13 +17,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipewatch.operators.ordered import with_rank
+from pipewatch.functions.expr import uniform
 from pipewatch.sources.scratch import checkpointed
 
 # Executors get the few functions below with the task, without this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EULER = 0.5772156649015329
+#: Rows drawn into the pool for each row that the trees take.
+POOL = 2
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -96,35 +98,58 @@ def path_scores(trees: list[dict[str, np.ndarray]], sample: int, rows: np.ndarra
     return np.power(2.0, -total / (len(trees) * max(float(average_path(sample)), 1e-9)))
 
 
+def draw_samples(train: DataFrame, features: list[str], order: list[Column], n_trees: int, sample: int,
+                 n: int, seed: int) -> DataFrame:
+    """(tree, _draw, features): about twice ``sample`` rows for every tree, each set a uniform draw.
+
+    A pool of about ``POOL * n_trees * sample`` rows is drawn first, by hash, so the rows
+    that meet the trees are bounded whatever the table holds; then every tree draws from the pool. Rows are
+    counted by a hash of all they hold: c copies put floor(c * p) of them in the pool, and one more
+    with the chance that is left, so copies need no order among themselves and never meet in a task.
+    Of n rows up to twice ``sample`` every tree gets all.
+    """
+    rows = train.select(F.xxhash64(*order, *features).alias("_h"), *[F.col(f).cast("double").alias(f) for f in features])
+    share = min(1.0, POOL * n_trees * sample / max(n, 1))
+    expected = F.col("_c") * F.lit(share)
+    chosen = (
+        rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_k", (F.floor(expected) + (uniform(f"{seed}:pool", "_h") < expected - F.floor(expected)).cast("long")))
+        .filter("_k > 0").select("_h", "_k")
+    )
+    # As many rows as the pool has at most: a few MB at the defaults, whatever n is.
+    chosen = checkpointed(chosen)
+    size = chosen.agg(F.sum("_k")).first()[0] or 0
+    first = rows.join(F.broadcast(chosen), "_h").groupBy("_h", "_k").agg(F.first(F.struct(*features)).alias("_row"))
+    pool = first.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    limit = 2.0 * sample / max(size, 1)
+
+    def draw(tree: Column) -> Column:
+        """From [0, 1)."""
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), tree, "_h", "_i"), 11) / F.lit(float(1 << 53))
+
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < limit)
+    drawn = pool.select("_h", "_i", "_row", F.explode(trees).alias("_t"))
+    return drawn.select(F.col("_t").cast("long").alias("tree"), draw(F.col("_t")).alias("_draw"), "_row.*")
+
+
 def fit_isolation_forest(
     train: DataFrame, features: list[str], order: list[Column], n_trees: int = 300,
     max_sample: int = 256, seed: int = 42,
 ) -> IsolationForest:
     """Grow the trees, each from its own rows drawn without replacement.
 
-    Which ranks a tree sees is drawn up front, ``n_trees * max_sample`` numbers
-    in all, so one join hands every tree its rows.
+    ``order`` tells rows apart, together with the features. A tree takes the rows of its draw with the least hashes;
+    that fewer than ``max_sample`` come, of a table that has them, is a matter of 11 standard deviations.
     """
-    spark = train.sparkSession
-    ranked = with_rank(train.select(*_named(order, features, train)), order, "_rank")
-    n = ranked.count()
+    n = train.count()
     sample = min(max_sample, n)
-    rng = np.random.default_rng(seed)
-    draws = pd.DataFrame(
-        {
-            "tree": np.repeat(np.arange(n_trees), sample),
-            "_rank": np.concatenate([rng.choice(n, sample, replace=False) for _ in range(n_trees)]),
-        }
-    ).astype("int64")
-    # n_trees * max_sample pairs of numbers: about 1 MB at the defaults, whatever n is.
-    picked = ranked.join(F.broadcast(spark.createDataFrame(draws)), "_rank")
 
     def one_tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("_rank")[features].to_numpy(dtype=float)
+        ordered = rows.sort_values(["_draw", *features])[features].to_numpy(dtype=float)[:sample]
         return pd.DataFrame([{"tree": key[0], **grow(ordered, seed + int(key[0]))}])
 
-    slim = picked.select("tree", "_rank", *[F.col(f).cast("double").alias(f) for f in features])
-    grown = slim.groupBy("tree").applyInPandas(one_tree, TREE_SCHEMA).orderBy("tree").collect()
+    drawn = draw_samples(train, features, order, n_trees, sample, n, seed)
+    grown = drawn.groupBy("tree").applyInPandas(one_tree, TREE_SCHEMA).orderBy("tree").collect()
     trees = [
         {
             "feature": np.asarray(t["feature"], dtype=np.int64),
@@ -138,12 +163,6 @@ def fit_isolation_forest(
     return IsolationForest(trees, sample, features)
 
 
-def _named(order: list[Column], features: list[str], df: DataFrame) -> list[str]:
-    """Features plus the columns the order is built on."""
-    used = [c for c in df.columns if any(c in str(o) for o in order)]
-    return list(dict.fromkeys([*features, *used]))
-
-
 def raw_anomaly(df: DataFrame, forest: IsolationForest, name: str = "raw_score") -> DataFrame:
     """Raw anomaly score per row, in Arrow batches."""
     # At most n_trees * 2 * max_sample nodes, a few MB at the defaults.
