@@ -1,7 +1,10 @@
 """Personal data by a character BiLSTM-CRF beside fixed patterns.
 
 The patterns find the base spans; they stay as they are. The model learns from
-windows labelled with such spans and adds spans where no base span lies.
+windows labelled with such spans, and from the same windows with the spans written in
+ways the patterns don't match (separators spelt out, bracketed, widened or spaced,
+digits drawn anew, the plus left out), labelled from the rewriting. It adds
+spans where no base span lies.
 Every character of every text is read: the states come from stretches of CHUNK
 characters with MARGIN more at each side, joined to one sequence per text. The
 best tags are those of the whole sequence. A bound on what any span could gain
@@ -11,14 +14,19 @@ the tags beyond it are O. Spans are of any length and need neither digit nor at
 
 Defined results: a null text is an empty text without spans; a corpus without
 base spans trains no model, which then adds nothing. Offsets are code points, end
-exclusive. Only ``text`` is read; all other columns pass through.
+exclusive. A row that repeats is tagged each time, and its windows count once in training; an
+empty table trains nothing and returns no rows. A text of any length is read whole, a stretch
+at a time. Only ``text`` is read; all other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import random
 import re
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +43,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{mark}-{kind}" for kind in KINDS for mark in "BI"))
 WINDOW, STRIDE = 96, 48
-#: Windows the model is trained on, at most, of each of three sorts.
-MAX_WINDOWS = 1200
+#: Windows the model is trained on, at most, of each of SORTS sorts.
+MAX_WINDOWS = 1000
+#: With a base span, with other digits, plain, with rewritten spans, with decoys.
+SORTS = 5
+#: Groups in which the draws of a sort are cut before they meet.
+SHARES = 32
 #: Mean marginal probability a proposal needs.
 SURE = 0.9
 #: Characters of a stretch whose states are kept, and those read beside them at each side.
@@ -237,33 +249,127 @@ def find(texts: list[str], model: bilstm.Params | None) -> list[tuple[list[Span]
     return [(b, reconcile(t, b, o, needs=None)) for t, b, o in zip(texts, base, offered)]
 
 
+def fresh_digits(value: str, rng: random.Random) -> str:
+    return "".join(str(rng.randrange(10)) if c in "0123456789" else c for c in value)
+
+
+def disguised(kind: str, value: str, words: list[str], rng: random.Random) -> str:
+    """A base span written so that its pattern does not match it."""
+    if kind == "email":
+        at = rng.choice((" at ", " AT ", " (at) ", "(at)", " [at] ", "[at]", " @ ", "\uff20", "_at_", " {at} "))
+        dot = rng.choice((" dot ", " DOT ", " (dot) ", "(dot)", "[dot]", " [dot] ", " . ", "\uff0e", "_dot_", "."))
+        local, domain = value.split("@", 1)
+        if words and rng.random() < 0.6:
+            local = ".".join(rng.choice(words) for _ in range(rng.randint(1, 2)))
+        if words and rng.random() < 0.5:
+            domain = f"{rng.choice(words)}.{domain.rsplit('.', 1)[1]}"
+        return at.join(x.replace(".", dot) for x in (local, domain))
+    value = fresh_digits(value, rng)
+    if kind == "ip":
+        return value.replace(".", rng.choice((" . ", "[.]", "(.)", " dot ", "(dot)", "[dot]", "\uff0e", ". ")))
+    if kind == "card":
+        digits, gap = NOT_DIGIT.sub("", value), rng.choice((".", "/", "  ", "_", " - ", "\u2013", "\u00a0"))
+        return gap.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    return rng.choice(("", "00", "\uff0b", "+ ", "plus ")) + value[1:]
+
+
+def rewritten(text: str, spans: list[Span], start: int, rng: random.Random) -> tuple[np.ndarray, np.ndarray]:
+    """The window at ``start`` with its whole spans disguised, and its tags."""
+    parts: list[str] = []
+    tags: list[np.ndarray] = []
+    words = re.findall("[A-Za-z]{3,10}", text[start : start + 3 * WINDOW])
+
+    def put(value: str, kind: str | None = None, begins: bool = True) -> None:
+        parts.append(value)
+        inner = 2 + 2 * KINDS.index(kind) if kind else 0
+        tags.append(np.full(len(value), inner, dtype=np.int8))
+        if kind and begins:
+            tags[-1][:1] = inner - 1
+
+    at = start
+    for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if a >= start + WINDOW or b <= at:
+            continue
+        put(text[at : max(a, at)])
+        put(text[at:b], kind, begins=False) if a < at else put(disguised(kind, text[a:b], words, rng), kind)
+        at = b
+    put(text[at : at + WINDOW])
+    out = np.zeros(WINDOW, dtype=np.int8)
+    joined = np.concatenate(tags)[:WINDOW]
+    out[: len(joined)] = joined
+    return window(symbols("".join(parts)), 0), out
+
+
+def with_decoys(piece: str, rng: random.Random) -> str:
+    """A plain window with words, signs and numbers put in that also occur in disguised spans."""
+    words = piece.split(" ")
+    if rng.random() < 0.3:
+        # Junk of one word over and over is no address either.
+        words = words[:2] + [rng.choice(words)] * WINDOW
+    for _ in range(rng.randint(1, 3)):
+        number = str(rng.randrange(10 ** rng.randint(1, 6)))
+        words.insert(rng.randrange(len(words) + 1), rng.choice(("at", "dot", "(at)", "@", ".", "AT", "-", number, f"{number}.{rng.randrange(100)}", f"{number} at")))
+    return " ".join(words)
+
+
+def windows_of(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(sort, symbols, tags) of the windows of a text that may serve in training.
+
+    What is drawn depends on the text alone, so reruns and copies draw alike.
+    """
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    starts = window_starts(text)
+    none = np.zeros(WINDOW, dtype=np.int8)
+    if starts:
+        spans, codes = base_spans(text), symbols(text)
+        for start in starts:
+            # Windows overlap by half and more, so the spans near one are few of a long text's.
+            tags = gold_tags(spans, start)
+            yield (0 if tags.any() else 1), window(codes, start), tags
+            if tags.any():
+                yield 3, *rewritten(text, spans, start, rng)
+    start = rng.randrange(len(text) // STRIDE + 1) * STRIDE
+    piece = text[start : start + WINDOW]
+    if not TRIGGER.search(piece):
+        yield 2, window(symbols(piece), 0), none
+        yield 4, window(symbols(with_decoys(piece, rng)), 0), none
+
+
 def labelled_windows(docs: DataFrame, bound: int = MAX_WINDOWS) -> list:
-    """Distinct windows with their tags: with a base span, with other digits, and plain, ``bound`` of each."""
+    """Distinct windows with their tags, the ``bound`` of each sort with the smallest draws."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task passes on no more than ``bound`` windows of a sort, those with its smallest draws."""
+        held: list[dict[bytes, tuple[bytes, bytes]]] = [{} for _ in range(SORTS)]
+
+        def cut(sort: int) -> None:
+            held[sort] = {draw: held[sort][draw] for draw in heapq.nsmallest(bound, held[sort])}
+
         for batch in batches:
             for part in tx.slices(batch):
-                texts = tx.column(part, "text")
-                out: tuple[list, list, list] = ([], [], [])
-                for text in texts.to_pylist():
-                    starts = window_starts(text or "")
-                    spans, codes = (base_spans(text), symbols(text)) if starts else ([], symbols((text or "")[:WINDOW]))
-                    for start in {*starts, *([0] if 0 not in starts else [])}:
-                        tags = gold_tags(spans, start)
-                        out[0].append(0 if tags.any() else 1 if start in starts else 2)
-                        out[1].append(window(codes, start).tobytes())
-                        out[2].append(tags.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["sort", "codes", "tags"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "sort int, codes binary, tags binary")
-    rows = rows.withColumn("draw", F.xxhash64("codes"))
-    # One scan: the smallest draws of each sort, cut in each task before they meet. Copies of
-    # a window have one draw, and DISTINCT leaves one of them.
-    ranked = rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy("sort").orderBy("draw")))
+                for text in tx.column(part, "text").to_pylist():
+                    for sort, codes, tags in windows_of(text or ""):
+                        pair = codes.tobytes(), tags.tobytes()
+                        held[sort][hashlib.blake2b(pair[0] + pair[1], digest_size=8).digest()] = pair
+                        if len(held[sort]) > 4 * bound:
+                            cut(sort)
+        for sort in range(SORTS):
+            cut(sort)
+            if held[sort]:
+                codes, tags = zip(*held[sort].values())
+                columns = [pa.array([sort] * len(codes), pa.int32()), pa.array(list(held[sort]), pa.binary()), pa.array(codes, pa.binary()), pa.array(tags, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["sort", "draw", "codes", "tags"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "sort int, draw binary, codes binary, tags binary")
+    # Equal windows have equal draws. Shares of a sort are cut by themselves, then what they leave.
+    share = F.pmod(F.xxhash64("draw"), F.lit(SHARES))
+    single = rows.dropDuplicates(["sort", "draw"]).withColumn("share", share)
+    first = single.withColumn("place", F.row_number().over(Window.partitionBy("sort", "share").orderBy("draw"))).filter(F.col("place") <= bound)
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("sort").orderBy("draw")))
     return ranked.filter(F.col("place") <= bound).orderBy("sort", "draw").collect()
 
 
-def fit(docs: DataFrame, bound: int = MAX_WINDOWS, steps: int = 250) -> bilstm.Params | None:
+def fit(docs: DataFrame, bound: int = MAX_WINDOWS, steps: int = 500) -> bilstm.Params | None:
     """The model trained on a bounded sample of windows of ``docs``."""
     rows = labelled_windows(docs, bound)
     if not any(r["sort"] == 0 for r in rows):
@@ -271,7 +377,7 @@ def fit(docs: DataFrame, bound: int = MAX_WINDOWS, steps: int = 250) -> bilstm.P
     ids = np.stack([np.frombuffer(r["codes"], np.int16) for r in rows]).astype(np.int64)
     tags = np.stack([np.frombuffer(r["tags"], np.int8) for r in rows]).astype(np.int64)
     # Half of every batch has spans, however rare they are.
-    good, other = (np.flatnonzero([(r["sort"] == 0) == want for r in rows]) for want in (True, False))
+    good, other = (np.flatnonzero([(r["sort"] in (0, 3)) == want for r in rows]) for want in (True, False))
     if len(other):
         size = max(len(good), len(other))
         keep = np.concatenate([np.resize(good, size), np.resize(other, size)])

@@ -390,6 +390,46 @@ def test_tagger_learns_spans_of_other_texts(spark):
     assert hit >= 0.8 * total and extra <= 0.2 * total
 
 
+def test_tagger_finds_disguised_data_in_other_texts(spark):
+    df = personal(spark, 600)
+    model = pii.fit(df.filter("doc_id % 3 > 0"))
+    rng = random.Random(5)
+    hit, total, clean, extra = Counter(), Counter(), 0, 0
+    for r in df.filter("doc_id % 3 = 0").collect():
+        spans = pii.base_spans(r.text)
+        if len(spans) != 1:
+            (base, added), clean = pii.find([r.text], model)[0], clean + 1
+            extra += bool(added)
+            continue
+        kind, a, b = spans[0]
+        new = pii.disguised(kind, r.text[a:b], ["jane", "doe", "example"], rng)
+        base, added = pii.find([r.text[:a] + new + r.text[b:]], model)[0]
+        total[kind] += 1
+        hit[kind] += any(k == kind and x < a + len(new) and a < y for k, x, y in base + added)
+    assert set(total) == set(pii.KINDS)
+    assert sum(hit.values()) >= 0.75 * sum(total.values()), (hit, total)
+    assert clean and extra <= 0.1 * clean
+
+
+def test_rewritten_windows_are_labelled_where_the_rewriting_stands():
+    text = "say a.b@c.org or +1 (555) 555-0100, 10.2.3.4 at " + "word " * 40
+    codes, tags = pii.rewritten(text, pii.base_spans(text), 0, random.Random(1))
+    assert len(codes) == len(tags) == pii.WINDOW
+    begins = [pii.KINDS[(int(t) - 1) // 2] for t in tags if t % 2]
+    assert begins[:2] == ["email", "phone"]
+    plain = "".join(chr(c - 1) if 0 < c < 129 else "\uff20" for c in codes)
+    assert plain.startswith("say ") and not pii.base_spans(plain[: len("say a.b@c.org")])
+    again = pii.rewritten(text, pii.base_spans(text), 0, random.Random(1))
+    assert (again[0] == codes).all() and (again[1] == tags).all()
+
+
+def test_sample_of_windows_is_bounded_and_alike_over_partitions(spark):
+    df = personal(spark, 200)
+    one, many = (pii.labelled_windows(df.repartition(n), bound=20) for n in (1, 7))
+    assert [tuple(r) for r in one] == [tuple(r) for r in many]
+    assert max(Counter(r["sort"] for r in one).values()) == 20
+
+
 def test_spans_and_masks_of_odd_rows(spark, tmp_path):
     df = documents(spark).unionByName(personal(spark, 60), allowMissingColumns=True)
     folder = saved(spark, tmp_path, documents=df)
