@@ -13,8 +13,8 @@ shard in blocks; a shard's tree and one block are all a task holds.
 
 Defined results: rows whose vector or id is null, or whose vector is zero, empty or has null or
 non-finite components, take no part; vectors are compared with those of their
-own length; a row that repeats an id and a vector counts once; ties go to the
-smaller id. Other columns are not read.
+own length; a row that repeats an id and a vector counts once; of equal inner products
+the smaller ids are kept, in every leaf, tree and merge. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def build(points: np.ndarray, leaf: int = LEAF, seed: int = 3) -> Node:
 
     def grow(rows: np.ndarray) -> Node:
         if len(rows) <= leaf:
-            return Node(members=rows)
+            return Node(members=np.sort(rows))
         at = int(rng.integers(len(rows)))
         point = int(rows[at])
         rest = np.delete(rows, at)
@@ -80,35 +80,41 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The k nearest of a block of queries in one tree."""
+    """The k of largest inner product of a block of queries in one tree, smaller rows first among equals.
+
+    The last coordinate is 0 in queries, so the inner product is that of the vectors as given.
+    """
 
     def __init__(self, points: np.ndarray, root: Node, k: int, relax: float):
         self.points, self.root, self.k, self.relax = points, root, min(k, len(points)), relax
+        self.longest = float((points * points).sum(1).max())
 
-    def offer(self, q: np.ndarray, members: np.ndarray, d: np.ndarray) -> None:
-        """Merge candidates with distances [len(q), len(members)] into the best so far.
+    def offer(self, q: np.ndarray, members: np.ndarray) -> None:
+        """Merge ``members``, in increasing order, into the best so far of the queries ``q``.
 
-        Most queries gain nothing from most leaves, and ties with the bound gain nothing.
+        Most queries gain nothing from most leaves; what ties with the bound may have a smaller row.
         """
-        gains = d.min(axis=1) < self.bound[q]
+        cost = -(self.queries[q] @ self.points[members].T)
+        gains = cost.min(axis=1) <= self.bound[q]
         if not gains.any():
             return
-        q, d = q[gains], d[gains]
-        if d.shape[1] > self.k:
-            near = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
-            d, members = np.take_along_axis(d, near, 1), members[near]
-        every = np.concatenate([self.best[q], d], axis=1)
-        ids = np.concatenate([self.ids[q], np.broadcast_to(members, d.shape)], axis=1)
-        if every.shape[1] > self.k:
-            take = np.argpartition(every, self.k - 1, axis=1)[:, : self.k]
-            every, ids = np.take_along_axis(every, take, 1), np.take_along_axis(ids, take, 1)
-        self.best[q], self.ids[q] = every, ids
-        self.bound[q] = every.max(axis=1)
+        q, cost = q[gains], cost[gains]
+        if cost.shape[1] > self.k:
+            near = np.argpartition(cost, self.k - 1, axis=1)[:, : self.k]
+            last = np.take_along_axis(cost, near, 1).max(axis=1)
+            tied = (cost <= last[:, None]).sum(axis=1) > self.k
+            near[tied] = np.argsort(cost[tied], axis=1, kind="stable")[:, : self.k]
+            cost, members = np.take_along_axis(cost, near, 1), members[near]
+        every = np.concatenate([self.best[q], cost], axis=1)
+        ids = np.concatenate([self.ids[q], np.broadcast_to(members, cost.shape)], axis=1)
+        take = np.lexsort((ids, every), axis=1)[:, : self.k]
+        self.best[q], self.ids[q] = np.take_along_axis(every, take, 1), np.take_along_axis(ids, take, 1)
+        self.bound[q] = self.best[q, -1]
 
     def __call__(self, queries: np.ndarray) -> np.ndarray:
-        """Rows of the k nearest points per query, in no order."""
+        """Rows of the k points per query, the nearest first."""
         n = len(queries)
-        self.queries = queries
+        self.queries, self.lengths = queries, (queries * queries).sum(1)
         self.best, self.ids = np.full((n, self.k), np.inf), np.full((n, self.k), -1, dtype=np.int64)
         self.bound = np.full(n, np.inf)
         self.visit(self.root, np.arange(n))
@@ -116,11 +122,10 @@ class Search:
 
     def visit(self, node: Node, q: np.ndarray) -> None:
         if node.members is not None:
-            self.offer(q, node.members, distances(self.queries[q], self.points[node.members]))
+            self.offer(q, node.members)
             return
-        d = distances(self.queries[q], self.points[node.point][None, :])
-        self.offer(q, np.array([node.point]), d)
-        d = d[:, 0]
+        d = distances(self.queries[q], self.points[node.point][None, :])[:, 0]
+        self.offer(q, np.array([node.point]))
         # Each query enters the nearer ring first, so its bound is tight before the other.
         gap = np.stack([np.maximum(np.maximum(low - d, d - high), 0) for low, high in node.rings])
         middle = np.stack([np.abs(d - (low + high) / 2) for low, high in node.rings])
@@ -128,8 +133,10 @@ class Search:
         for turn in (0, 1):
             for side in (0, 1):
                 mine = (first == side) != bool(turn)
-                # A rounding error must not prune what ties with the bound.
-                open_ = mine & (gap[side] * self.relax <= self.bound[q] * (1 + 1e-9) + 1e-9)
+                # All points have one length, so the bound's distance follows from its inner product.
+                # A rounding error must not prune what ties with it.
+                both = self.lengths[q] + self.longest
+                open_ = mine & ((gap[side] * self.relax) ** 2 <= both + 2 * self.bound[q] + 1e-7 * both)
                 if open_.any():
                     self.visit(node.children[side], q[open_])
 
@@ -155,15 +162,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, relax: float = RELAX,
     entries = spark.read.parquet(path)
     square = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
     sizes = entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("longest"))
+    # One narrow row per length of vector.
     sizes = sizes.withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
     asked = usable(queries, vec_id, vector)
     distinct = asked.groupBy("dim", "vec").agg(F.min("id").alias("q"))
 
     empty = F.array().cast("array<long>")
-    placed = entries.join(sizes, "dim").select(
+    placed = entries.join(F.broadcast(sizes), "dim").select(
         "dim", F.pmod(F.col("e"), "shards").cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("e").alias("q"), "vec", "ids", "longest"
     )
-    sent = distinct.join(sizes, "dim").select(
+    sent = distinct.join(F.broadcast(sizes), "dim").select(
         "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "q", "vec", empty.alias("ids"), "longest"
     )
 
@@ -180,6 +188,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, relax: float = RELAX,
                 nonlocal tree
                 raw = np.stack(points)
                 if tree is None:
+                    # Rows in the order of their smallest ids, which decides between equals.
+                    order = sorted(range(len(ids)), key=lambda r: ids[r][0])
+                    raw, ids[:] = raw[order], [ids[r] for r in order]
+                    points[:] = list(raw)
                     longest = math.sqrt(float((raw * raw).sum(1).max()))
                     extra = np.sqrt(np.maximum(longest**2 - (raw * raw).sum(1), 0))
                     lifted = np.column_stack([raw, extra])

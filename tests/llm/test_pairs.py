@@ -46,6 +46,34 @@ def test_factor_one_is_exact(spark):
         assert got[q] == expected[q]
 
 
+def test_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.integers(0, 2, 16)], 0) for i in rng.permutation(600)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {}
+    for r in vptree.search(df, df.filter("vec_id % 20 = 0"), 20, relax=1.0, shard=250, leaf=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: v for q, v in nearest(rows, 20).items() if v}
+
+
+def test_trees_leave_leaves_out_and_stay_exact():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(64, 8))
+    points = np.concatenate([c + rng.normal(scale=0.02, size=(64, 8)) for c in centres])
+    lifted = np.column_stack([points, np.sqrt(np.maximum((points**2).sum(1).max() - (points**2).sum(1), 0))])
+    queries = np.column_stack([points[::41], np.zeros(len(points[::41]))])
+    seen = []
+
+    class Counted(vptree.Search):
+        def offer(self, q, members):
+            seen.append(len(q) * len(members))
+            super().offer(q, members)
+
+    found = Counted(lifted, vptree.build(lifted, 16), 5, 1.0)(queries)
+    assert (found == np.argsort(-(queries @ lifted.T), axis=1, kind="stable")[:, :5]).all()
+    assert sum(seen) < 0.8 * len(queries) * len(points)
+
+
 def test_production_factor_recalls(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [tuple(r) for r in df.collect()]
