@@ -1,7 +1,8 @@
 """A character BiLSTM with CRF transitions, trained and run with numpy.
 
 All windows of a batch have one length; the work is matrix products over the
-batch, one per character position.
+batch, one per character position. Gates are logistic in straight pieces and cells are
+squashed by softsign, in training as in use: neither needs an exponential.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 Params = dict[str, np.ndarray]
 
 
-def initial(symbols: int, tags: int, embed: int = 12, hidden: int = 16, seed: int = 11) -> Params:
+def initial(symbols: int, tags: int, embed: int = 12, hidden: int = 8, seed: int = 11) -> Params:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"E": rng.normal(0, 0.3, (symbols, embed)), "Wo": draw(2 * hidden, tags), "bo": np.zeros(tags)}
@@ -28,8 +29,14 @@ def initial(symbols: int, tags: int, embed: int = 12, hidden: int = 16, seed: in
     return p
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _gate(x: np.ndarray) -> np.ndarray:
+    """A logistic gate in straight pieces."""
+    return np.clip(0.25 * x + 0.5, 0, 1)
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    """Softsign, in place of the hyperbolic tangent."""
+    return x / (1 + np.abs(x))
 
 
 def _run(p: Params, ids: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
@@ -42,13 +49,13 @@ def _run(p: Params, ids: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray,
     trace = []
     for t in range(length) if side == "f" else range(length - 1, -1, -1):
         z = table[ids[:, t]] + h @ p[f"Wh{side}"]
-        gate = _sigmoid(z[:, : 3 * hidden])
+        gate = _gate(z[:, : 3 * hidden])
         i, f, o = gate[:, :hidden], gate[:, hidden : 2 * hidden], gate[:, 2 * hidden :]
-        g = np.tanh(z[:, 3 * hidden :])
+        g = _squash(z[:, 3 * hidden :])
         new = f * c + i * g
-        th = np.tanh(new)
+        th = _squash(new)
         if keep:
-            trace.append((t, h, c, i, f, o, g, th))
+            trace.append((t, h, c, i, f, o, g, th, 0.25 * ((gate > 0) & (gate < 1))))
         c, h = new, o * th
         out[:, t] = h
     return out, trace
@@ -58,15 +65,16 @@ def _states(p: Params, columns: np.ndarray, active: np.ndarray, side: str) -> np
     """Hidden states [length, batch, hidden] of one direction, as ``_run`` computes them.
 
     ``columns`` has the symbols by step, ``active`` how many of the rows, the longest
-    first, reach each step. The gates lie one behind the other, and all of them are logistic
-    functions (tanh x is 2 / (1 + exp(-2 x)) - 1), so a step is a few passes over small arrays.
+    first, reach each step. The gates lie one behind the other, so a step is a few passes
+    over small arrays.
     """
     length, batch = columns.shape
     hidden = p[f"Wh{side}"].shape[0]
     kind = np.result_type(p["E"], p[f"Wx{side}"])
-    scale = np.array([-1, -1, -1, -2], kind)[:, None, None]
+    scale = np.array([0.25, 0.25, 0.25, 1], kind)[:, None, None]
     by_gate = lambda x: np.ascontiguousarray(x.reshape(len(x), 4, hidden).transpose(1, 0, 2) * scale)
     table, step = by_gate(p["E"] @ p[f"Wx{side}"] + p[f"b{side}"]), by_gate(p[f"Wh{side}"])
+    table[:3] += np.array(0.5, kind)
     out = np.empty((length, batch, hidden), kind)
     c, work = np.zeros((batch, hidden), kind), np.empty((2, 4 * batch * hidden), kind)
     h = np.zeros((batch, hidden), kind)
@@ -74,22 +82,20 @@ def _states(p: Params, columns: np.ndarray, active: np.ndarray, side: str) -> np
         z, more = (x[: 4 * k * hidden].reshape(4, k, hidden) for x in work)
         table.take(columns[t, :k], axis=1, out=z, mode="clip")
         z += np.matmul(h[:k], step, out=more)
-        np.exp(z, out=z)
-        z += 1
-        np.reciprocal(z, out=z)
         i, f, o, g = z
-        g *= 2
-        g -= 1
-        now, new = c[:k], more[0]
+        np.maximum(z[:3], 0, out=z[:3])
+        np.minimum(z[:3], 1, out=z[:3])
+        size, now = more[0], c[:k]
+        np.abs(g, out=size)
+        size += 1
+        g /= size
         now *= f
         i *= g
         now += i
-        np.multiply(now, -2, out=new)
-        np.exp(new, out=new)
-        new += 1
-        np.divide(2, new, out=new)
-        new -= 1
-        h = np.multiply(o, new, out=out[t, :k])
+        np.abs(now, out=size)
+        size += 1
+        o *= now
+        h = np.divide(o, size, out=out[t, :k])
     return out
 
 
@@ -104,9 +110,7 @@ def emissions_of(p: Params, texts: list[np.ndarray]) -> list[np.ndarray]:
         columns = np.zeros((len(active), len(texts)), dtype=np.intp)
         for row, i in enumerate(order):
             columns[: lengths[i], row] = texts[i][::turn]
-        # Where exp overflows, the functions are 0 or 1 to the last digit.
-        with np.errstate(over="ignore"):
-            states = _states(p, columns, active, side)
+        states = _states(p, columns, active, side)
         for row, i in enumerate(order):
             part = states[: lengths[i], row] @ (p["Wo"][:hidden] if side == "f" else p["Wo"][hidden:])
             out[i] = part + p["bo"] if side == "f" else out[i] + part[::-1]
@@ -174,26 +178,31 @@ def loss_and_gradient(p: Params, ids: np.ndarray, gold: np.ndarray) -> tuple[flo
     grad = {k: np.zeros_like(v) for k, v in p.items()}
     grad["a0"] = de[:, 0].sum(0)
     np.subtract.at(grad["a0"], gold[:, 0], 1.0)
-    for t in range(1, length):
-        score = score + p["A"][gold[:, t - 1], gold[:, t]] + e[rows, t, gold[:, t]]
-        pair = alpha[:, t - 1][:, :, None] + p["A"] + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None]
-        grad["A"] += np.exp(pair).sum(0)
-        np.subtract.at(grad["A"], (gold[:, t - 1], gold[:, t]), 1.0)
+    before, after = gold[:, :-1], gold[:, 1:]
+    score = score + p["A"][before, after].sum(1) + np.take_along_axis(e[:, 1:], after[:, :, None], 2).sum((1, 2))
+    pair = alpha[:, :-1, :, None] + p["A"] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
+    grad["A"] = np.exp(pair).sum((0, 1))
+    np.subtract.at(grad["A"], (before, after), 1.0)
     de[rows[:, None], np.arange(length)[None, :], gold] -= 1.0
     grad["Wo"] = both.reshape(-1, 2 * hidden).T @ de.reshape(-1, de.shape[2])
     grad["bo"] = de.sum((0, 1))
     dboth = de @ p["Wo"].T
     for side, trace, dh_out in (("f", tf, dboth[:, :, :hidden]), ("b", tb, dboth[:, :, hidden:])):
         wx, wh = p[f"Wx{side}"], p[f"Wh{side}"]
-        dtable = np.zeros((len(p["E"]), 4 * hidden))
+        steps = np.empty((length, batch, 4 * hidden))
         dh, dc = np.zeros((batch, hidden)), np.zeros((batch, hidden))
-        for t, h0, c0, i, f, o, g, th in reversed(trace):
+        for t, h0, c0, i, f, o, g, th, slope in reversed(trace):
             dh = dh + dh_out[:, t]
-            dc = dc + dh * o * (1 - th * th)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(dtable, ids[:, t], dz)
+            dc = dc + dh * o * (1 - np.abs(th)) ** 2
+            dz = np.concatenate([dc * g, dc * c0, dh * th, dc * i * (1 - np.abs(g)) ** 2], axis=1)
+            dz[:, : 3 * hidden] *= slope
+            steps[t] = dz
             grad[f"Wh{side}"] += h0.T @ dz
             dh, dc = dz @ wh.T, dc * f
+        dtable = np.zeros((len(p["E"]), 4 * hidden))
+        order = np.argsort(ids.T.ravel(), kind="stable")
+        used, first = np.unique(ids.T.ravel()[order], return_index=True)
+        dtable[used] = np.add.reduceat(steps.reshape(-1, 4 * hidden)[order], first, axis=0)
         grad[f"Wx{side}"] = p["E"].T @ dtable
         grad[f"b{side}"] = dtable.sum(0)
         grad["E"] += dtable @ wx.T

@@ -58,7 +58,7 @@ CONTEXT = 48
 #: Lengths of what goes through the CRF are rounded up to multiples of this.
 STEP = 64
 #: Stretches decoded at once.
-BATCH = 512
+BATCH = 1024
 SYMBOLS = 130
 
 # The patterns of the contract. A look-behind spares starts inside a run
@@ -181,7 +181,8 @@ def rounded_up(n: int) -> int:
 
 
 def stretch_emissions(model: bilstm.Params, codes: list[np.ndarray], wanted: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(text, start, emissions) of the CHUNK characters from each wanted (text, start)."""
+    """(text, start, emissions) of the CHUNK characters from each wanted (text, start), the longest first."""
+    wanted = sorted(wanted, key=lambda x: len(codes[x[0]]) - x[1], reverse=True)
     for k in range(0, len(wanted), BATCH):
         part = wanted[k : k + BATCH]
         pieces = [codes[i][max(0, start - MARGIN) : start + CHUNK + MARGIN] for i, start in part]
@@ -190,17 +191,18 @@ def stretch_emissions(model: bilstm.Params, codes: list[np.ndarray], wanted: lis
             yield i, start, e[skip : skip + CHUNK]
 
 
-def open_stretches(gains: np.ndarray, leave: float) -> list[tuple[int, int]]:
+def open_stretches(gains: np.ndarray, leave: float, entry: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Stretches (a, b), CONTEXT included, outside of which the best tags are O.
 
     ``gains`` bounds what tagging a character otherwise than O adds to the score
-    of a text, ``leave`` what the step back to O adds. A character is shown to be O if
+    of a text, ``entry`` what it adds where the character before is O (``gains``, if not
+    given), ``leave`` what the step back to O adds. A character is shown to be O if
     no run of characters that holds it gains anything.
     """
-    sums = np.concatenate([[0.0], np.cumsum(gains, dtype=np.float64)])
-    past = np.minimum.accumulate(sums)[:-1]
-    future = np.maximum.accumulate(sums[::-1])[::-1][1:]
-    places = np.flatnonzero(future - past + leave >= -1e-3)
+    sums = np.cumsum(gains, dtype=np.float64)
+    begun = np.maximum.accumulate((gains if entry is None else entry) - sums)
+    future = np.maximum.accumulate(sums[::-1])[::-1]
+    places = np.flatnonzero(begun + future + leave >= -1e-3)
     if not len(places):
         return []
     cuts = np.flatnonzero(np.diff(places) > 2 * CONTEXT + 1)
@@ -212,12 +214,14 @@ def tagged_stretches(texts: list[str], model: bilstm.Params) -> Iterator[tuple[i
     """(text, start, tags, marginals) of all stretches that may hold spans."""
     codes = [symbols(t) for t in texts]
     step = model["A"]
-    into = step.max(axis=0) - step[0, 0]
+    into, within = (x - step[0, 0] for x in (step[0], step[1:].max(axis=0)))
     leave = max(0.0, float((step[1:, 0] - step[0, 0]).max()))
-    gains = [np.empty(len(c), dtype=np.float32) for c in codes]
+    gains, entry = ([np.empty(len(c), dtype=np.float32) for c in codes] for _ in range(2))
     for i, start, e in stretch_emissions(model, codes, [(i, a) for i, c in enumerate(codes) for a in range(0, len(c), CHUNK)]):
-        gains[i][start : start + len(e)] = (e[:, 1:] - e[:, :1] + into[1:]).max(axis=1)
-    todo = [(i, a, b) for i, g in enumerate(gains) for a, b in open_stretches(g, leave)]
+        over = e[:, 1:] - e[:, :1]
+        gains[i][start : start + len(e)] = (over + within[1:]).max(axis=1)
+        entry[i][start : start + len(e)] = (over + into[1:]).max(axis=1)
+    todo = [(i, a, b) for i, (g, n) in enumerate(zip(gains, entry)) for a, b in open_stretches(g, leave, n)]
     # States are computed once more where the CRF needs them, so that those of a whole text are never held.
     wanted = sorted({(i, start) for i, a, b in todo for start in range(a // CHUNK * CHUNK, b, CHUNK)})
     held = {(i, start): e for i, start, e in stretch_emissions(model, codes, wanted)}
@@ -369,7 +373,7 @@ def labelled_windows(docs: DataFrame, bound: int = MAX_WINDOWS) -> list:
     return ranked.filter(F.col("place") <= bound).orderBy("sort", "draw").collect()
 
 
-def fit(docs: DataFrame, bound: int = MAX_WINDOWS, steps: int = 500) -> bilstm.Params | None:
+def fit(docs: DataFrame, bound: int = MAX_WINDOWS, steps: int = 800) -> bilstm.Params | None:
     """The model trained on a bounded sample of windows of ``docs``."""
     rows = labelled_windows(docs, bound)
     if not any(r["sort"] == 0 for r in rows):
