@@ -96,9 +96,9 @@ def a11(spark, sf):
     return read_knowledge(spark, path).select("id", "title", "source", F.md5("content").alias("content_md5"))
 
 
-@query("k8_bm25_scores", "SELECT item_id, id, score FROM top_docs")
+@query("k8_bm25_scores", "SELECT item_id, id, score FROM bm25_rows")
 def k8(spark, sf):
-    return best(spark, sf).drop("place")
+    return rt.scores(index(spark, sf), table(spark, sf, "benchmark"), qid="item_id", qtext="text")
 
 
 @query(

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,8 @@ MOST_BUCKETS = 4096
 PASS_TERMS = 1 << 18
 #: Scores are compared at this many digits.
 DIGITS = 6
+#: Scored pairs that a task hands on at once, about.
+PAIRS = 1 << 16
 
 
 def tokens(text: Column) -> Column:
@@ -212,40 +215,86 @@ class Shard:
                 waiting &= bounds >= scores[-1] - slack
         return found, scores, read
 
+    def every(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All documents (by place in ``ids``) that hold one of the terms, with their scores."""
+        cells = ragged(self.first_cell[terms], self.n_cells[terms])
+        lengths = self.cell_length[cells]
+        postings = ragged(self.cell_start[cells], lengths)
+        docs, back = np.unique(self.doc[postings], return_inverse=True)
+        weight = np.repeat(np.repeat(weights, self.n_cells[terms]), lengths)
+        return docs, np.bincount(back, weights=self.gain[postings] * weight, minlength=len(docs))
+
+
+def asked_of(shard: Shard, asked: pa.Table) -> tuple[pa.Array, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """The queries' keys, and of every query with a term in the shard its key's place, terms and weights."""
+    place = np.array([shard.terms.get(t, -1) for t in asked.column("term").to_pylist()], dtype=np.int64)
+    weights = asked.column("weight").to_numpy()
+    coded = asked.column("query").combine_chunks().dictionary_encode(null_encoding="encode")
+    of = coded.indices.to_numpy(zero_copy_only=False)
+    opens = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
+
+    def each() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for a, b in zip(opens, [*opens[1:], len(of)]):
+            here = place[a:b] >= 0
+            if here.any():
+                yield of[a], place[a:b][here], weights[a:b][here]
+
+    return coded.dictionary, each()
+
 
 def answering(shared, mean_length: float, k: int):
     """The function that answers a pass's queries (query, term, weight), sorted by query, from one shard's lists."""
 
     def work(group: pa.Table) -> pa.Table:
-        shard, asked = Shard(group, mean_length), shared.value
-        place = np.array([shard.terms.get(t, -1) for t in asked.column("term").to_pylist()], dtype=np.int64)
-        weights = asked.column("weight").to_numpy()
-        coded = asked.column("query").combine_chunks().dictionary_encode(null_encoding="encode")
-        of = coded.indices.to_numpy(zero_copy_only=False)
-        opens = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
+        shard = Shard(group, mean_length)
+        keys, asked = asked_of(shard, shared.value)
         queries, docs, scores = [], [], []
-        for a, b in zip(opens, [*opens[1:], len(of)]):
-            here = place[a:b] >= 0
-            if here.any():
-                best, score, _ = shard.best(place[a:b][here], weights[a:b][here], k)
-                queries.append(np.full(len(best), of[a]))
-                docs.append(best)
-                scores.append(score)
+        for of, terms, weights in asked:
+            best, score, _ = shard.best(terms, weights, k)
+            queries.append(np.full(len(best), of))
+            docs.append(best)
+            scores.append(score)
         flat = [np.concatenate(x) if x else np.zeros(0) for x in (queries, docs, scores)]
-        taken = coded.dictionary.take(pa.array(flat[0].astype(np.int64))), shard.ids.take(pa.array(flat[1].astype(np.int64)))
+        taken = keys.take(pa.array(flat[0].astype(np.int64))), shard.ids.take(pa.array(flat[1].astype(np.int64)))
         return pa.table([*taken, pa.array(flat[2], pa.float64())], names=["query", "doc", "score"])
 
     return work
 
 
-def search(index: SearchIndex, queries: DataFrame, k: int = 5, qid: str = "query_id", qtext: str = "query",
-           pass_terms: int = PASS_TERMS) -> DataFrame:
-    """(query, document, score, place): the k best documents of each query, ties to the smaller id.
+def scoring(shared, mean_length: float):
+    """The function that scores all documents of one shard's lists for a pass's queries, a bounded number of pairs at a time."""
+
+    def work(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard(pa.Table.from_batches(list(group)), mean_length)
+        keys, asked = asked_of(shard, shared.value)
+        queries, docs, scores, waiting = [], [], [], 0
+
+        def pairs() -> pa.RecordBatch:
+            taken = keys.take(pa.array(np.concatenate(queries))), shard.ids.take(pa.array(np.concatenate(docs)))
+            return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate(scores))], names=["query", "doc", "score"])
+
+        for of, terms, weights in asked:
+            found, score = shard.every(terms, weights)
+            queries.append(np.full(len(found), of, dtype=np.int64))
+            docs.append(found)
+            scores.append(score)
+            waiting += len(found)
+            if waiting >= PAIRS:
+                yield pairs()
+                queries, docs, scores, waiting = [], [], [], 0
+        if waiting:
+            yield pairs()
+
+    return work
+
+
+def _answers(index: SearchIndex, queries: DataFrame, qid: str, qtext: str, pass_terms: int, work: Callable) -> DataFrame:
+    """(query, doc, score) rows that ``work(shared, mean_length)`` makes of every shard and pass.
 
     Queries are answered in passes over the index; what a pass sends to the tasks is bounded by ``pass_terms``,
     whatever the number of queries.
     """
-    spark, doc = index.spark, index.doc
+    spark = index.spark
     n_docs, mean_length = index.documents()
     wanted = queries.select(qid, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
     spread = index.rows.select("term", F.size("docs").alias("df")).join(wanted.select("term").distinct(), "term", "left_semi")
@@ -266,9 +315,25 @@ def search(index: SearchIndex, queries: DataFrame, k: int = 5, qid: str = "query
 
         terms = F.broadcast(spark.createDataFrame(pa.table({"term": table.column("term").unique()}))) if table.num_rows else mine.select("term")
         lists = index.rows.join(terms, "term", "left_semi")
-        lists.groupBy("shard").applyInArrow(answering(shared, mean_length, k), schema).write.mode("append").parquet(found)
+        lists.groupBy("shard").applyInArrow(work(shared, mean_length), schema).write.mode("append").parquet(found)
         shared.unpersist()
-    hits = spark.read.schema(schema).parquet(found).withColumn("score", F.round("score", DIGITS))
+    return spark.read.schema(schema).parquet(found)
+
+
+def search(index: SearchIndex, queries: DataFrame, k: int = 5, qid: str = "query_id", qtext: str = "query",
+           pass_terms: int = PASS_TERMS) -> DataFrame:
+    """(query, document, score, place): the k best documents of each query, ties to the smaller id."""
+    doc = index.doc
+    hits = _answers(index, queries, qid, qtext, pass_terms, lambda shared, mean_length: answering(shared, mean_length, k))
+    hits = hits.withColumn("score", F.round("score", DIGITS))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc").asc())
     ranked = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     return ranked.select(F.col("query").alias(qid), F.col("doc").alias(doc), "score", "place")
+
+
+def scores(index: SearchIndex, queries: DataFrame, qid: str = "query_id", qtext: str = "query",
+           pass_terms: int = PASS_TERMS) -> DataFrame:
+    """(query, document, score) of every document that shares a term with a query; rows that share an id are added up."""
+    pairs = _answers(index, queries, qid, qtext, pass_terms, scoring)
+    summed = pairs.groupBy("query", "doc").agg(F.round(F.sum("score"), DIGITS).alias("score"))
+    return summed.select(F.col("query").alias(qid), F.col("doc").alias(index.doc), "score")

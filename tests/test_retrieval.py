@@ -104,3 +104,19 @@ def test_blocks_that_cannot_win_are_not_read():
     assert shard.ids.take(pa.array(best)).to_pylist() == order.tolist()
     postings = sum(sum(1 for x in texts if t in x) for t in asked)
     assert read < postings / 4
+
+
+def test_every_document_is_scored(spark):
+    """All pairs that share a term, whatever the passes; rows with one id are one document of the result."""
+    rows = corpus_rows()
+    rows += [(rows[3][0], "w0 w1 w2")]
+    index = rt.write_index(spark.createDataFrame(rows, "id long, content string"), shard_docs=64, block_docs=8)
+    queries = spark.createDataFrame(QUERIES, "query_id long, query string")
+    want = {}
+    for q, i, score, _ in plain(rows, QUERIES, len(rows)):
+        want[q, i] = want.get((q, i), 0) + score
+    for terms in (rt.PASS_TERMS, 3):
+        got = [tuple(r) for r in rt.scores(index, queries, pass_terms=terms).collect()]
+        assert len(got) == len(want) == len({r[:2] for r in got})
+        assert all(abs(want[q, i] - s) < 1e-5 for q, i, s in got)
+    assert max(len([1 for q, _ in want if q == n]) for n in (1, 2, 7)) > 100
