@@ -35,15 +35,19 @@ GENERALIZATION = [
 ]
 RELOCATED = ("N1", "N2", "N3", "N4")
 MEASURES = ("pressure", "flow", "demand")
+#: Draws from which on ranked rows are looked up in hash tables, so that draws need no sort.
+MANY = 1_000_000
 
 
-def resample(df: DataFrame, order: list[Column], n_rows: int | Column, seed: int) -> DataFrame:
+def resample(df: DataFrame, order: list[Column], n_rows: int, seed: int) -> DataFrame:
     """Rows drawn with replacement: draw i takes the row at place floor(u_i * n).
 
     The draws are joined to the ranked rows on that place; both sides spread
-    evenly, whatever the data looks like.
+    evenly, whatever the data looks like. Many draws are not sorted for it.
     """
     ranked = with_rank(df, order, "_place")
+    if n_rows >= MANY:
+        ranked = ranked.hint("shuffle_hash")
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
     draws = df.sparkSession.range(n_rows).select(
         F.col("id").alias("sample_id"),
@@ -182,25 +186,26 @@ def augment(seeds: DataFrame, order: list[Column], multiplier: int = 40, leak_bo
     rows = rows.withColumns({"_moved": shift * 60, "leak_label": label})
     leak = F.col("leak_label") == 1
 
-    def floored(value: Column) -> Column:
+    def floored(measure: str, value: Column) -> Column:
         """At least 0; a missing measure stays missing."""
-        return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
+        return F.when(F.col(measure).isNotNull(), F.greatest(value, F.lit(0.0)))
 
     def noisy(m: str, scale: float) -> Column:
-        return floored(F.col(m) * (1.0 + F.lit(scale) * normal(f"{seed}:{m}", i)))
+        return floored(m, F.col(m) * (1.0 + F.lit(scale) * normal(f"{seed}:{m}", i)))
 
-    def under_leak(value: Column, name: str, low: float, high: float) -> Column:
+    def under_leak(name: str, low: float, high: float) -> Column:
         factor = F.lit(low) + F.lit(high - low) * uniform(f"{seed}:leak:{name}", i)
-        return F.when(leak, floored(value * factor)).otherwise(value)
+        return F.when(leak, floored(name, F.col(name) * factor)).otherwise(F.col(name))
 
+    # The noise is a step of its own: an expression named twice would draw twice.
+    rows = rows.withColumns({"pressure": noisy("pressure", 0.04), "flow": noisy("flow", 0.06), "demand": noisy("demand", 0.06)})
     return rows.withColumns(
         {
             "timestamp": F.timestamp_seconds(
                 F.unix_timestamp(F.col("timestamp").cast("timestamp")) + F.col("_moved")
             ),
-            "pressure": under_leak(noisy("pressure", 0.04), "pressure", 0.75, 0.95),
-            "flow": under_leak(noisy("flow", 0.06), "flow", 1.05, 1.35),
-            "demand": noisy("demand", 0.06),
+            "pressure": under_leak("pressure", 0.75, 0.95),
+            "flow": under_leak("flow", 1.05, 1.35),
         }
     ).drop("_moved")
 

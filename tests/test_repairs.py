@@ -11,6 +11,7 @@ from conftest import rows_of
 from pipewatch.operators import evidence as ev
 from pipewatch.operators import gates as g
 from pipewatch.operators import ordered as o
+from pipewatch.operators import scenarios as sc
 from pipewatch.operators import silver as sv
 from pipewatch.plans import operations as op
 from pipewatch.plans import training as tr
@@ -69,3 +70,17 @@ def test_anomaly_scores_of_a_batch_do_not_depend_on_others(spark):
     rows = spark.createDataFrame(batch("a", 1) + batch("b", 40), ["batch_id", "row_index", *names])
     both = fitted.score(rows, ("batch_id",)).groupBy("batch_id").agg(F.max("score").alias("top"), F.min("score").alias("low")).collect()
     assert [(r.top, r.low) for r in both] == [(1.0, 0.0)] * 2
+
+
+def test_synthetic_readings_draw_once(spark):
+    """Missing and negative measures as before, and no draw twice in the plan: the draws are most of the work."""
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), None if i % 3 == 0 else -1.0 if i % 3 == 1 else 5.0, 2.0, 3.0, i % 2) for i in range(9)]
+    seeds = spark.createDataFrame(rows, "event_id long, timestamp timestamp, pressure double, flow double, demand double, leak_label int")
+    out = sc.augment(seeds, [F.col("event_id")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"md5(cast(concat_ws(:, 42:{m}{half}") for m in sc.MEASURES for half in "ab"] == [1] * 6
+    got = out.collect()
+    assert len(got) == 360
+    for r in got:
+        assert (r.pressure is None) == (r.event_id % 3 == 0) and r.flow is not None and r.demand is not None
+        assert r.event_id % 3 != 1 or r.pressure == 0.0
