@@ -3,7 +3,8 @@
 The corpus is tokenized once. Documents are dealt to shards by hash; a row of the index is
 the posting list of one term in one shard, in order of documents, with the list cut into
 blocks of documents: per block the largest count and the shortest document, which bound what
-the term adds to any score there. The table is bucketed by shard, so a search moves no postings.
+the term adds to any score there. The table is bucketed by shard, so a search moves no postings, unless
+many queries meet fewer shards than there are cores: then their terms' lists are dealt to several tasks, each with its slice of the queries.
 
 A search scores the most promising blocks of a shard first. Blocks whose bounds add up to less
 than the k-th best score so far can't hold a better document and are left unread. A
@@ -37,6 +38,8 @@ SHARD_DOCS, BLOCK_DOCS = 4096, 64
 MOST_BUCKETS = 4096
 #: Terms of queries that are answered by one pass over the index, about; they are sent to every task.
 PASS_TERMS = 1 << 18
+#: Terms of queries that a task answers from one shard, about, while there are cores for more tasks.
+SLICE_TERMS = 1 << 12
 #: Scores are compared at this many digits.
 DIGITS = 6
 #: Scored pairs that a task hands on at once, about.
@@ -242,15 +245,25 @@ def asked_of(shard: Shard, asked: pa.Table) -> tuple[pa.Array, Iterator[tuple[in
     return coded.dictionary, each()
 
 
+def slice_of(asked: pa.Table, number: int) -> pa.Table:
+    """A slice's queries of a pass."""
+    return asked.filter(pc.equal(asked.column("slice"), number))
+
+
 def answering(shared, mean_length: float, k: int):
     """The function that answers a pass's queries (query, term, weight), sorted by query, from one shard's lists."""
 
-    def work(group: pa.Table) -> pa.Table:
+    def work(key: tuple, group: pa.Table) -> pa.Table:
         shard = Shard(group, mean_length)
-        keys, asked = asked_of(shard, shared.value)
+        keys, asked = asked_of(shard, slice_of(shared.value, key[1].as_py()))
         queries, docs, scores = [], [], []
+        # Queries that weigh the same terms have the same answer in a shard.
+        known: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
         for of, terms, weights in asked:
-            best, score, _ = shard.best(terms, weights, k)
+            same = terms.tobytes(), weights.tobytes()
+            if same not in known:
+                known[same] = shard.best(terms, weights, k)[:2]
+            best, score = known[same]
             queries.append(np.full(len(best), of))
             docs.append(best)
             scores.append(score)
@@ -264,9 +277,9 @@ def answering(shared, mean_length: float, k: int):
 def scoring(shared, mean_length: float):
     """The function that scores all documents of one shard's lists for a pass's queries, a bounded number of pairs at a time."""
 
-    def work(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(pa.Table.from_batches(list(group)), mean_length)
-        keys, asked = asked_of(shard, shared.value)
+        keys, asked = asked_of(shard, slice_of(shared.value, key[1].as_py()))
         queries, docs, scores, waiting = [], [], [], 0
 
         def pairs() -> pa.RecordBatch:
@@ -303,19 +316,27 @@ def _answers(index: SearchIndex, queries: DataFrame, qid: str, qtext: str, pass_
     path = scratch_path(spark, "query-terms")
     wanted.join(df, "term").select(F.col(qid).alias("query"), "term", weight.alias("weight")).write.parquet(path)
     weighted = spark.read.parquet(path)
-    passes = max(1, -(-weighted.count() // pass_terms))
+    n_terms = weighted.count()
+    passes = max(1, -(-n_terms // pass_terms))
     kinds = {c: queries.schema[qid].dataType.simpleString() if c == "query" else index.rows.schema["docs"].dataType.elementType.simpleString() for c in ("query", "doc")}
     schema = f"query {kinds['query']}, doc {kinds['doc']}, score double"
     found = scratch_path(spark, "query-hits")
+    # Few shards leave cores idle, so a pass's queries are cut into slices, each answered from every shard.
+    shards = index.rows.filter("term IS NULL").count()
+    wide = -(-2 * spark.sparkContext.defaultParallelism // max(shards, 1))
+    slices = max(1, min(wide, -(-min(n_terms, pass_terms) // SLICE_TERMS)))
     for number in range(passes):
         mine = weighted.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == number)
         # About pass_terms rows: the bound of what is collected and sent.
-        table = mine.toArrow().sort_by("query")
+        sliced = mine.withColumn("slice", F.pmod(F.xxhash64("query", F.lit(1)), F.lit(slices)))
+        table = sliced.toArrow().sort_by([("query", "ascending"), ("term", "ascending")])
         shared = spark.sparkContext.broadcast(table)
 
         terms = F.broadcast(spark.createDataFrame(pa.table({"term": table.column("term").unique()}))) if table.num_rows else mine.select("term")
         lists = index.rows.join(terms, "term", "left_semi")
-        lists.groupBy("shard").applyInArrow(work(shared, mean_length), schema).write.mode("append").parquet(found)
+        dealt = lists.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        dealt = dealt.repartition(shards * slices, "shard", "slice") if slices > 1 else dealt
+        dealt.groupBy("shard", "slice").applyInArrow(work(shared, mean_length), schema).write.mode("append").parquet(found)
         shared.unpersist()
     return spark.read.schema(schema).parquet(found)
 

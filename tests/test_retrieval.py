@@ -120,3 +120,23 @@ def test_every_document_is_scored(spark):
         assert len(got) == len(want) == len({r[:2] for r in got})
         assert all(abs(want[q, i] - s) < 1e-5 for q, i, s in got)
     assert max(len([1 for q, _ in want if q == n]) for n in (1, 2, 7)) > 100
+
+
+def test_many_queries_of_few_shards(spark, monkeypatch):
+    """Queries are cut into slices where shards are few, with the same answers; equal ones are answered once."""
+    rows = corpus_rows()
+    index = rt.write_index(spark.createDataFrame(rows, "id long, content string"))
+    asked = [(100 * n + q, text) for n in range(40) for q, text in QUERIES if q != 7]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    monkeypatch.setattr(rt, "SLICE_TERMS", 30)
+    want = plain(rows, asked, 5)
+    got = sorted(tuple(r) for r in rt.search(index, queries).collect())
+    assert [(q, i, p) for q, i, _, p in got] == [(q, i, p) for q, i, _, p in want]
+
+    calls = []
+    best = rt.Shard.best
+    monkeypatch.setattr(rt.Shard, "best", lambda self, *a: calls.append(1) or best(self, *a))
+    table = pa.table({"query": [q for q in range(50) for _ in range(2)], "term": ["w0", "w1"] * 50, "weight": [1.0, 2.0] * 50, "slice": [0] * 98 + [1] * 2})
+    lists = index.rows.filter("term in ('w0', 'w1')").toArrow()
+    answer = rt.answering(type("Sent", (), {"value": table}), 10.0, 5)
+    assert answer((pa.scalar(0), pa.scalar(0)), lists).num_rows == 49 * 5 and len(calls) == 1
