@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipewatch.operators.forest import RandomForest, fit_forest, forest_scores
+
 # Columns that identify rows, and the target columns.
 NOT_FEATURES = {
     "sensor_node_id", "_ingest_ts", "_source_file", "_source_type", "_row_hash", "pressure_unit",
@@ -94,12 +96,10 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 def fit_random_forest(train: DataFrame, features: list[str], label: str, n_trees: int = 400,
                       depth: int = 10, seed: int = 42, balanced: bool = True):
     """Random forest on all class-weighted rows."""
-    rows = with_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
-    model = RandomForestClassifier(
-        featuresCol="features_vector", labelCol=label, weightCol="weight", numTrees=n_trees,
-        maxDepth=depth, seed=seed,
-    )
-    return model.fit(assembled(rows, features))
+    weights = {}
+    if balanced:
+        weights = {int(r[label]): r["weight"] for r in class_weights(train, label).collect() if r[label] is not None}
+    return fit_forest(train, features, label, weights, n_trees, depth, seed)
 
 
 def fit_boosted_trees(train: DataFrame, features: list[str], label: str, rounds: int = 300,
@@ -123,6 +123,8 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, iterations:
 
 def score_with(model, df: DataFrame, features: list[str]) -> DataFrame:
     """df plus ``score``, the probability of a leak."""
+    if isinstance(model, RandomForest):
+        return forest_scores(df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}), model)
     scored = model.transform(assembled(df, features))
     return scored.withColumn("score", vector_to_array("probability")[1]).drop(
         "features_vector", "rawPrediction", "probability", "prediction"
