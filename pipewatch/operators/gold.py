@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -74,18 +76,25 @@ def calendar(time: str = TIME) -> dict[str, Column]:
     }
 
 
-def series_features(silver: DataFrame, horizon: int = 1) -> DataFrame:
-    """All window features in one pass over the (sensor, time) order."""
+#: Rows before a row that its features reach back to.
+LOOKBACK = 5
+
+
+def series_features(silver: DataFrame, horizon: int = 1, more: Callable[[WindowSpec], dict[str, Column]] | None = None,
+                    lookahead: int | None = None) -> DataFrame:
+    """All window features in one pass over the (sensor, time) order, and those of ``more``, which may look ``lookahead`` rows ahead."""
 
     def compute(rows: DataFrame, w: WindowSpec) -> DataFrame:
         windowed = {
             **lags(w),
             **rolling_means(w),
             "target_leak_horizon": F.lead("leak_label", horizon).over(w),
+            **(more(w) if more else {}),
         }
         return rows.withColumns(windowed).withColumns(changes())
 
-    return over_series(silver, SENSOR, [F.col(TIME).asc()], compute, lookback=5, lookahead=horizon)
+    reach = max(horizon, lookahead or 0)
+    return over_series(silver, SENSOR, [F.col(TIME).asc()], compute, lookback=LOOKBACK, lookahead=reach)
 
 
 def node_degree(links: DataFrame) -> DataFrame:

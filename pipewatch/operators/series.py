@@ -69,10 +69,10 @@ def running_max(df: DataFrame, key: str, order: list[Column], value: str, name:
         )
         .filter(F.col("_carry").isNotNull())
     )
-    here = so_far(chunks, [CHUNK, key], [F.col(POS)])
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(CHUNK) == F.col("_at"))
-    return (
-        here.join(carried, same, "left")
-        .withColumn(name, F.greatest(name, "_carry"))
-        .drop(CHUNK, POS, "_key", "_at", "_carry")
-    )
+    # The value a chunk starts with is a row ahead of its first, so rows are dealt out once and joined with nothing.
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in chunks.schema if f.name not in (key, CHUNK, POS, value)}
+    ahead = carried.select(
+        F.col("_key").alias(key), F.col("_at").alias(CHUNK), F.lit(-1).cast(chunks.schema[POS].dataType).alias(POS),
+        F.col("_carry").alias(value), *[c.alias(n) for n, c in blank.items()],
+    )
+    return so_far(chunks.unionByName(ahead), [CHUNK, key], [F.col(POS)]).filter(F.col(POS) >= 0).drop(CHUNK, POS)

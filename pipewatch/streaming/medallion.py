@@ -15,16 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pipewatch.operators import gold as go
 from pipewatch.operators import silver as sv
-from pipewatch.operators.series import over_series
 
-#: Rows before a row that its features reach back to.
-LOOKBACK = 5
 #: Folder of the rows written when a stream is closed.
 CLOSING = -1
 
@@ -58,14 +55,13 @@ def _put(rows: DataFrame, path: str) -> DataFrame:
 
 def with_neighbours(rows: DataFrame, horizon: int) -> DataFrame:
     """Gold features, whether a row's target is known, and whether later rows will reach back to it."""
-    featured = go.series_features(rows, horizon)
-    reach = LOOKBACK + horizon
+    reach = go.LOOKBACK + horizon
 
-    def follow(part: DataFrame, w) -> DataFrame:
+    def follow(w: WindowSpec) -> dict[str, Column]:
         there = lambda n: F.lead(F.lit(True), n).over(w)
-        return part.withColumns({"_known": there(horizon).isNotNull(), "_carried": there(reach).isNull()})
+        return {"_known": there(horizon).isNotNull(), "_carried": there(reach).isNull()}
 
-    return over_series(featured, sv.SENSOR, [F.col(sv.TIME).asc()], follow, lookahead=reach)
+    return go.series_features(rows, horizon, follow, reach)
 
 
 def _gold(tables: Medallion, settled: DataFrame, carried: DataFrame | None, number: int, closing: bool) -> None:

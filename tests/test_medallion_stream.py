@@ -90,3 +90,17 @@ def test_a_reading_later_than_allowed_is_set_aside(spark, tmp_path):
     assert [r.event_ts_utc.minute for r in me.read_table(spark, tables, "silver").orderBy(sv.TIME).collect()] == [0, 29, 30]
     gold = me.read_table(spark, tables, "gold").orderBy(sv.TIME).collect()
     assert [r.pressure_lag_1 for r in gold] == [0.0, 9.0, 8.0]
+
+
+def test_features_and_neighbours_take_one_pass(spark, tmp_path, monkeypatch):
+    """New rows are put in order once, for their features and for what is known of their neighbours."""
+    calls = []
+    real = go.over_series
+    monkeypatch.setattr(go, "over_series", lambda *a, **k: calls.append(k) or real(*a, **k))
+    rows = [("a", START + timedelta(minutes=m), float(m), 1.0, 2.0, m % 2) for m in range(12)]
+    df = spark.createDataFrame(rows, f"{sv.SENSOR} string, {sv.TIME} timestamp, pressure_psi double, flow_gpm double, demand_gpm double, leak_label int")
+    seen = me.with_neighbours(df, 2).orderBy(sv.TIME).collect()
+    assert len(calls) == 1
+    assert [r._known for r in seen] == [True] * 10 + [False] * 2
+    assert [r._carried for r in seen] == [False] * 5 + [True] * 7
+    assert [r.pressure_lag_1 for r in seen] == [None, *[float(m) for m in range(11)]]

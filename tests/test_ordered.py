@@ -96,3 +96,17 @@ def test_hot_running_max_equals_plain(spark, split_hot_keys):
     split = rows_of(se.running_max(df, "k", [F.col("t").asc()], "v", "top"))
     upto = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     assert split == rows_of(df.withColumn("top", F.max("v").over(upto)))
+
+
+def test_running_max_deals_rows_out_once(spark, split_hot_keys):
+    """A key's maximum reaches its later chunks without joining the rows with it."""
+    rows = [("hot" if i % 4 else None, i, (i * 37) % 101 if i % 3 else None, f"x{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, t int, v int, other string")
+    out = se.running_max(df, "k", [F.col("t").asc()], "v", "top")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and out.columns == ["k", "t", "v", "other", "top"]
+    best, want = {}, []
+    for k, t, v, other in rows:
+        best[k] = max([x for x in (best.get(k), v) if x is not None], default=None)
+        want.append((k, t, v, other, best[k]))
+    assert rows_of(out) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
