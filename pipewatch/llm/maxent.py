@@ -45,6 +45,10 @@ FEATURES = 4
 #: Words whose counts are sent to every task, at most: 12 bytes each.
 KNOWN = 1 << 19
 BATCH = 4096
+#: Logits up to here are raised without their row's largest taken off; sums of a row from FAINT on are exact enough.
+STEEP, FAINT = 60.0, 1e-20
+#: Gradients of a row that are added one after the other for all rows at once; the rest row by row.
+REPEATS = 16
 ROUNDS = 2
 RATE = 0.25
 BLOCK_ROWS = 512
@@ -161,17 +165,39 @@ def blank() -> Weights:
     return Weights(np.zeros((FEATURES * ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, SLOTS), np.float32))
 
 
+class Known:
+    """The known words of a vocabulary, found by the first bits of their hashes."""
+
+    def __init__(self, v: Vocabulary):
+        self.sorted = np.append(v.known, np.uint64(0xFFFFFFFFFFFFFFFF))
+        bits = max(1, len(v.known).bit_length())
+        self.shift = np.uint64(64 - bits)
+        sizes = np.bincount((v.known >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+        # A class and a slot of the word after the last one, which none is at.
+        self.klass = np.append(v.known_class, 0).astype(np.int16)
+        self.slot = np.append(v.known_slot, 0).astype(np.int16)
+
+    def look_up(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the known words (-1 if rarer), class and slot of each token."""
+        at = self.begin.take((h >> self.shift).astype(np.int32)).astype(np.int64)
+        found = self.sorted.take(at)
+        below = np.flatnonzero(found < h)
+        while len(below):
+            at[below] += 1
+            found[below] = self.sorted.take(at[below])
+            below = below[found[below] < h[below]]
+        hit = (found == h) & (at < len(self.sorted) - 1)
+        return np.where(hit, at, -1), np.where(hit, self.klass.take(at), HEAD + tail), np.where(hit, self.slot.take(at), 0).astype(np.int64)
+
+
 def look_up(v: Vocabulary, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place in the known words (-1 if rarer), class and slot of each token."""
-    if not len(v.known):
-        return np.full(len(h), -1), HEAD + tail, np.zeros(len(h), dtype=np.int64)
-    at = np.minimum(np.searchsorted(v.known, h), len(v.known) - 1)
-    hit = v.known[at] == h
-    return np.where(hit, at, -1), np.where(hit, v.known_class[at], HEAD + tail), np.where(hit, v.known_slot[at], 0)
+    """``Known.look_up`` for a few tokens."""
+    return Known(v).look_up(h, tail)
 
 
 def features(h: np.ndarray, klass: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class weights [tokens, FEATURES] and of the word weights [tokens, 2]."""
+    """Rows of the class weights [tokens, FEATURES] and of the word weights [tokens, 2]; those of a feature lie together."""
 
     def back(values: np.ndarray, steps: int, fill) -> np.ndarray:
         out = np.full(len(values), fill, dtype=values.dtype)
@@ -184,24 +210,78 @@ def features(h: np.ndarray, klass: np.ndarray, row: np.ndarray) -> tuple[np.ndar
     near = [back(klass, k, CLASSES) for k in (1, 2, 3)]
     shape = ((near[0] * 97 + near[1]) * 97 + near[2]).astype(np.uint64)
     seen = [tx.mix(one), tx.mix(one * tx.M1 + two), tx.mix(two + tx.M2), tx.mix(shape * tx.M1)]
-    rows = np.stack([(s % np.uint64(ROWS)).astype(np.int64) + k * ROWS for k, s in enumerate(seen)], axis=1)
+    # Both sizes are powers of two.
+    rows = np.stack([(s & np.uint64(ROWS - 1)).astype(np.int64) + k * ROWS for k, s in enumerate(seen)]).T
     mine = klass.astype(np.uint64) * tx.M2
-    words = np.stack([(tx.mix(s + mine) % np.uint64(WORD_ROWS)).astype(np.int64) for s in (seen[0], seen[3])], axis=1)
+    words = np.stack([(tx.mix(s + mine) & np.uint64(WORD_ROWS - 1)).astype(np.int64) for s in (seen[0], seen[3])]).T
     return rows, words
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
+def raised(z: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sums over rows of the exponentials of ``z``, which go to ``out``; ``z`` loses the largest of each row if that is needed."""
+    if z.max() < STEEP:
+        total = np.einsum("ij->i", np.exp(z, out=out))
+        if total.min() > FAINT:
+            return total
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return np.einsum("ij->i", np.exp(z, out=out))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    out = np.empty_like(z)
+    total = raised(z, out)
+    out /= total[:, None]
+    return out
+
+
+class Softmax:
+    """Softmax over the summed weights of each token's features, in arrays that are used again."""
+
+    def __init__(self, width: int):
+        self.z, self.work = np.empty((2, BATCH, width), np.float32)
+
+    def of(self, table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, their exponentials, and the sums of these, by token; kept until the next call."""
+        z, e = self.z[: len(rows)], self.work[: len(rows)]
+        table.take(rows[:, 0], axis=0, out=z, mode="clip")
+        for r in rows.T[1:]:
+            z += table.take(r, axis=0, out=e, mode="clip")
+        z += prior
+        return z, e, raised(z, e)
+
+    def errors(self, table: np.ndarray, rows: np.ndarray, prior: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Probabilities, less 1 at the right place."""
+        _, p, total = self.of(table, rows, prior)
+        p *= (1 / total)[:, None]
+        p[np.arange(len(right)), right] -= 1
+        return p
+
+    def logs(self, table: np.ndarray, rows: np.ndarray, prior: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """log10 of the right place's probability, from 1e-30 up."""
+        z, _, total = self.of(table, rows, prior)
+        log = (z[np.arange(len(right)), right].astype(np.float64) - np.log(total.astype(np.float64))) / np.log(10)
+        return np.maximum(log, -30.0)
+
+
+def added_up(values: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of ``values[order]`` from ``first``, whose sizes fall."""
+    out = values.take(order.take(first), axis=0)
+    for k in range(1, REPEATS):
+        n = len(size) - np.searchsorted(size[::-1], k, side="right")
+        if not n:
+            return out
+        out[:n] += values.take(order.take(first[:n] + k), axis=0)
+    for i in range(len(size) - np.searchsorted(size[::-1], REPEATS, side="right")):
+        out[i] += values.take(order[first[i] + REPEATS : first[i] + size[i]], axis=0).sum(axis=0)
+    return out
 
 
 class Trainer:
     """Adagrad by row over the batches of a task; counts how often it saw each row."""
 
     def __init__(self, v: Vocabulary, w: Weights):
-        self.v = v
+        self.v, self.known = v, Known(v)
+        self.class_softmax, self.word_softmax = Softmax(CLASSES), Softmax(SLOTS)
         self.start = w
         self.w = Weights(w.classes.copy(), w.words.copy())
         self.power = [np.full(len(x), 1.0, np.float32) for x in (w.classes, w.words)]
@@ -210,25 +290,28 @@ class Trainer:
     def update(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         table = (self.w.classes, self.w.words)[which]
         order = np.argsort(rows.astype(np.uint16), kind="stable")
-        ordered = rows[order]
+        ordered = rows.take(order)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total, at = np.add.reduceat(gradient[order], first, axis=0), ordered[first]
-        self.power[which][at] += (total * total).mean(axis=1)
-        table[at] -= RATE * total / np.sqrt(self.power[which][at])[:, None]
-        self.seen[which][at] += np.diff(np.append(first, len(rows)))
+        size = np.diff(np.append(first, len(rows)))
+        falling = np.argsort(-size, kind="stable")
+        first, size = first[falling], size[falling]
+        total, at = added_up(gradient, order, first, size), ordered.take(first)
+        power = self.power[which][at] + np.einsum("ij,ij->i", total, total) / table.shape[1]
+        self.power[which][at] = power
+        total *= (RATE / np.sqrt(power))[:, None]
+        table[at] -= total
+        self.seen[which][at] += size
 
     def learn(self, rows: np.ndarray, words: np.ndarray, klass: np.ndarray, slot: np.ndarray) -> None:
         for a in range(0, len(klass), BATCH):
             r, k = rows[a : a + BATCH], klass[a : a + BATCH]
-            p = softmax(self.w.classes[r[:, 0]] + self.w.classes[r[:, 1]] + self.w.classes[r[:, 2]] + self.w.classes[r[:, 3]] + self.v.class_log)
-            p[np.arange(len(k)), k] -= 1
+            p = self.class_softmax.errors(self.w.classes, r, self.v.class_log, k)
             for f in range(FEATURES):
                 self.update(0, r[:, f], p)
             inner = np.flatnonzero(k < HEAD)
             if len(inner):
-                x, s = words[a : a + BATCH][inner], slot[a : a + BATCH][inner]
-                p = softmax(self.w.words[x[:, 0]] + self.w.words[x[:, 1]] + self.v.slot_log[k[inner]])
-                p[np.arange(len(s)), s] -= 1
+                x, s = words[a : a + BATCH].T.take(inner, axis=1).T, slot[a : a + BATCH][inner]
+                p = self.word_softmax.errors(self.w.words, x, self.v.slot_log.take(k[inner], axis=0), s)
                 for f in (0, 1):
                     self.update(1, x[:, f], p)
 
@@ -252,7 +335,7 @@ def train_round(docs: DataFrame, v: Vocabulary, w: Weights) -> Weights:
         for batch in batches:
             for part in tx.slices(batch):
                 h, tail, row, _ = tokens(tx.column(part, "text"))
-                _, klass, slot = look_up(trainer.v, h, tail)
+                _, klass, slot = trainer.known.look_up(h, tail)
                 trainer.learn(*features(h, klass, row), klass, slot)
         for block, values in trainer.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([values], pa.binary())], ["block", "values"])
@@ -300,26 +383,37 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> Model:
     return Model(v, w, counts)
 
 
+class Scorer:
+    """Probabilities of tokens under a fitted model."""
+
+    def __init__(self, v: Vocabulary, w: Weights):
+        self.v, self.w, self.known = v, w, Known(v)
+        self.class_softmax, self.word_softmax = Softmax(CLASSES), Softmax(SLOTS)
+
+    def log_probabilities(self, h: np.ndarray, tail: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of each token but for the log10(c + 1) of words not known; place in the known words."""
+        v, w = self.v, self.w
+        at, klass, slot = self.known.look_up(h, tail)
+        rows, words = features(h, klass, row)
+        out = np.empty(len(h))
+        for a in range(0, len(h), BATCH):
+            r, k = rows[a : a + BATCH], klass[a : a + BATCH]
+            got = self.class_softmax.logs(w.classes, r, v.class_log, k)
+            inner = np.flatnonzero(k < HEAD)
+            if len(inner):
+                x = words[a : a + BATCH].T.take(inner, axis=1).T
+                got[inner] += self.word_softmax.logs(w.words, x, v.slot_log.take(k[inner], axis=0), slot[a : a + BATCH][inner])
+            outer = np.flatnonzero(k >= HEAD)
+            place = at[a : a + BATCH][outer]
+            own = np.where(place >= 0, v.known_log[place] if len(v.known) else 0.0, 0.0)
+            got[outer] += own - np.log10(v.tail_size[k[outer] - HEAD])
+            out[a : a + BATCH] = got
+        return out, at
+
+
 def log_probabilities(v: Vocabulary, w: Weights, h: np.ndarray, tail: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P of each token but for the log10(c + 1) of words not known; place in the known words."""
-    at, klass, slot = look_up(v, h, tail)
-    rows, words = features(h, klass, row)
-    out = np.empty(len(h))
-    for a in range(0, len(h), BATCH):
-        r, k = rows[a : a + BATCH], klass[a : a + BATCH]
-        p = softmax(w.classes[r[:, 0]] + w.classes[r[:, 1]] + w.classes[r[:, 2]] + w.classes[r[:, 3]] + v.class_log)
-        got = np.log10(np.maximum(p[np.arange(len(k)), k], 1e-30).astype(np.float64))
-        inner = np.flatnonzero(k < HEAD)
-        if len(inner):
-            x = words[a : a + BATCH][inner]
-            p = softmax(w.words[x[:, 0]] + w.words[x[:, 1]] + v.slot_log[k[inner]])
-            got[inner] += np.log10(np.maximum(p[np.arange(len(inner)), slot[a : a + BATCH][inner]], 1e-30).astype(np.float64))
-        outer = np.flatnonzero(k >= HEAD)
-        place = at[a : a + BATCH][outer]
-        own = np.where(place >= 0, v.known_log[place] if len(v.known) else 0.0, 0.0)
-        got[outer] += own - np.log10(v.tail_size[k[outer] - HEAD])
-        out[a : a + BATCH] = got
-    return out, at
+    """``Scorer.log_probabilities`` for a few tokens."""
+    return Scorer(v, w).log_probabilities(h, tail, row)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -330,12 +424,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     level = float(np.log10(v.total + v.types + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = Vocabulary(**sent.value[0]), Weights(**sent.value[1])
+        scorer = Scorer(Vocabulary(**sent.value[0]), Weights(**sent.value[1]))
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in tx.slices(batch):
                 h, tail, row, n = tokens(tx.column(part, "text"))
-                logs, at = log_probabilities(v, w, h, tail, row)
+                logs, at = scorer.log_probabilities(h, tail, row)
                 rare = at < 0
                 own = np.where(rare, 0.0, v.known_log[at] if len(v.known) else 0.0)
                 sums = lambda x: np.bincount(row, weights=x, minlength=len(n))

@@ -514,3 +514,41 @@ def test_mix_of_a_source_without_words(spark):
         got = {r.doc_id: (r.mix_size, r.mix_taken, r.mix_target) for r in mixing.assign(df).collect()}
         assert got[1] == got[2] == (0, 0, 0.0)
         assert mixing.mixed(df).filter("source = 'b'").count() == 0
+
+
+def test_model_arrays_against_plain_ones():
+    rng = np.random.default_rng(8)
+    rows, table = rng.zipf(1.3, 3000) % 50, np.zeros((50, 4), np.float32)
+    values = rng.normal(size=(3000, 4)).astype(np.float32)
+    order = np.argsort(rows, kind="stable")
+    names, first, size = np.unique(rows[order], return_index=True, return_counts=True)
+    falling = np.argsort(-size, kind="stable")
+    assert size.max() > maxent.REPEATS
+    table[names[falling]] = maxent.added_up(values, order, first[falling], size[falling])
+    plain = np.zeros((50, 4))
+    np.add.at(plain, rows, values)
+    assert np.allclose(table, plain, atol=1e-3)
+    # Logits too large, or too small, to be raised as they are.
+    for shift in (0.0, 500.0, -500.0):
+        z = rng.normal(size=(7, 5)).astype(np.float32) * 20
+        want = np.exp(z - z.max(axis=1, keepdims=True))
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(maxent.softmax(z + np.float32(shift)), want, atol=1e-4)
+        z += np.float32(shift)
+        z[3] -= 300
+        wide = maxent.Softmax(5)
+        got = wide.logs(z, np.arange(7)[:, None], np.zeros(5, np.float32), z.argmax(axis=1))
+        assert np.allclose(got, np.log10(want.max(axis=1)), atol=1e-3)
+
+
+def test_known_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(9)
+    for known in (np.zeros(0, np.uint64), np.uint64([0, 1, 2, 3, (1 << 64) - 2]), np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))):
+        n = len(known)
+        v = maxent.Vocabulary(0, 0, known, np.zeros(n), np.arange(n) % 64, np.arange(n) % 32, np.zeros(64), np.zeros((32, 32)), np.ones(32))
+        h = np.concatenate([known, known + np.uint64(1), np.uint64([0, (1 << 64) - 1])])
+        at, klass, slot = maxent.look_up(v, h, np.arange(len(h)) % 32)
+        place = {x: i for i, x in enumerate(known.tolist())}
+        assert at.tolist() == [place.get(x, -1) for x in h.tolist()]
+        assert klass.tolist() == [p % 64 if p >= 0 else 32 + i % 32 for i, p in enumerate(at.tolist())]
+        assert slot.tolist() == [max(p, 0) % 32 if p >= 0 else 0 for p in at.tolist()]
