@@ -16,6 +16,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Params = dict[str, np.ndarray]
 
+#: Sequences whose states are brought together at once, few enough to stay in the processor's cache.
+TOGETHER = 32
+
 
 def initial(symbols: int, tags: int, embed: int = 12, hidden: int = 8, seed: int = 11) -> Params:
     rng = np.random.default_rng(seed)
@@ -62,11 +65,11 @@ def _run(p: Params, ids: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray,
 
 
 def _states(p: Params, columns: np.ndarray, active: np.ndarray, side: str) -> np.ndarray:
-    """Hidden states [length, batch, hidden] of one direction, as ``_run`` computes them.
+    """Hidden states [length, batch, hidden] of one direction, in text order, as ``_run`` computes them.
 
-    ``columns`` has the symbols by step, ``active`` how many of the rows, the longest
-    first, reach each step. The gates lie one behind the other, so a step is a few passes
-    over small arrays.
+    ``columns`` has the symbols by place, ``active`` how many of the rows, the longest
+    first, have each place. The gates lie one behind the other, so a step is a few passes
+    over small arrays. States beyond a row's end are left as they are.
     """
     length, batch = columns.shape
     hidden = p[f"Wh{side}"].shape[0]
@@ -76,44 +79,54 @@ def _states(p: Params, columns: np.ndarray, active: np.ndarray, side: str) -> np
     table, step = by_gate(p["E"] @ p[f"Wx{side}"] + p[f"b{side}"]), by_gate(p[f"Wh{side}"])
     table[:3] += np.array(0.5, kind)
     out = np.empty((length, batch, hidden), kind)
-    c, work = np.zeros((batch, hidden), kind), np.empty((2, 4 * batch * hidden), kind)
-    h = np.zeros((batch, hidden), kind)
-    for t, k in enumerate(active):
-        z, more = (x[: 4 * k * hidden].reshape(4, k, hidden) for x in work)
+    cells, work = np.zeros((batch, hidden), kind), np.empty((2, 4 * batch * hidden), kind)
+    none, one, zero = np.zeros((batch, hidden), kind), kind.type(1), kind.type(0)
+    k, h = -1, none[:0]
+    for t in range(length) if side == "f" else range(length - 1, -1, -1):
+        if active[t] != k:
+            before, k = max(k, 0), int(active[t])
+            z, more = (x[: 4 * k * hidden].reshape(4, k, hidden) for x in work)
+            i, f, o, g = z
+            gates, size, c = z[:3], more[0], cells[:k]
+            # Rows that begin here, at their last place if read backwards, have no state yet.
+            h = h[:k] if k <= len(h) else np.concatenate([h, none[before:k]])
         table.take(columns[t, :k], axis=1, out=z, mode="clip")
-        z += np.matmul(h[:k], step, out=more)
-        i, f, o, g = z
-        np.maximum(z[:3], 0, out=z[:3])
-        np.minimum(z[:3], 1, out=z[:3])
-        size, now = more[0], c[:k]
+        z += np.matmul(h, step, out=more)
+        np.clip(gates, zero, one, out=gates)
         np.abs(g, out=size)
-        size += 1
+        size += one
         g /= size
-        now *= f
+        c *= f
         i *= g
-        now += i
-        np.abs(now, out=size)
-        size += 1
-        o *= now
+        c += i
+        np.abs(c, out=size)
+        size += one
+        o *= c
         h = np.divide(o, size, out=out[t, :k])
     return out
 
 
 def emissions_of(p: Params, texts: list[np.ndarray]) -> list[np.ndarray]:
-    """Emissions [length, tags] of each sequence of symbols."""
+    """Emissions [length, tags] of each sequence of symbols; those of a tag lie together."""
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     hidden = p["Whf"].shape[0]
-    out: list[np.ndarray] = [np.empty(0)] * len(texts)
     active = len(texts) - np.searchsorted(np.sort(lengths), np.arange(lengths.max(initial=0)), side="right")
-    for side, turn in (("f", 1), ("b", -1)):
-        columns = np.zeros((len(active), len(texts)), dtype=np.intp)
-        for row, i in enumerate(order):
-            columns[: lengths[i], row] = texts[i][::turn]
-        states = _states(p, columns, active, side)
-        for row, i in enumerate(order):
-            part = states[: lengths[i], row] @ (p["Wo"][:hidden] if side == "f" else p["Wo"][hidden:])
-            out[i] = part + p["bo"] if side == "f" else out[i] + part[::-1]
+    rows = np.zeros((len(texts), len(active)), dtype=np.intp)
+    for row, i in enumerate(order):
+        rows[row, : lengths[i]] = texts[i]
+    columns = np.ascontiguousarray(rows.T)
+    ahead, back = (_states(p, columns, active, side) for side in "fb")
+    out: list[np.ndarray] = [np.empty(0)] * len(texts)
+    left, right, bias = p["Wo"][:hidden].T, p["Wo"][hidden:].T, p["bo"][:, None]
+    for first in range(0, len(texts), TOGETHER):
+        group = order[first : first + TOGETHER]
+        near, far = (np.ascontiguousarray(x[: lengths[group[0]], first : first + TOGETHER]) for x in (ahead, back))
+        for row, i in enumerate(group):
+            e = left @ near[: lengths[i], row].T
+            e += bias
+            e += right @ far[: lengths[i], row].T
+            out[i] = e.T
     return out
 
 
@@ -158,10 +171,15 @@ def decode(p: Params, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode_emissions(p: Params, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best tags, and the marginal probability of each in sequences that are not all O; 1 in those that are."""
     tags = viterbi(p, e)
-    alpha, beta, z = forward_backward(p, e)
-    chosen = np.take_along_axis(alpha + beta, tags[:, :, None], 2)[:, :, 0]
-    return tags, np.exp(chosen - z[:, None])
+    sure = np.ones(tags.shape)
+    some = np.flatnonzero(tags.any(axis=1))
+    if len(some):
+        alpha, beta, z = forward_backward(p, e[some])
+        chosen = np.take_along_axis(alpha + beta, tags[some][:, :, None], 2)[:, :, 0]
+        sure[some] = np.exp(chosen - z[:, None])
+    return tags, sure
 
 
 def loss_and_gradient(p: Params, ids: np.ndarray, gold: np.ndarray) -> tuple[float, Params]:

@@ -59,6 +59,8 @@ CONTEXT = 48
 STEP = 64
 #: Stretches decoded at once.
 BATCH = 1024
+#: Characters whose emissions a task holds until their stretches are decoded; those of others are computed once more.
+KEPT = 1 << 20
 SYMBOLS = 130
 
 # The patterns of the contract. A look-behind spares starts inside a run
@@ -217,14 +219,18 @@ def tagged_stretches(texts: list[str], model: bilstm.Params) -> Iterator[tuple[i
     into, within = (x - step[0, 0] for x in (step[0], step[1:].max(axis=0)))
     leave = max(0.0, float((step[1:, 0] - step[0, 0]).max()))
     gains, entry = ([np.empty(len(c), dtype=np.float32) for c in codes] for _ in range(2))
+    kept, held = 0, {}
     for i, start, e in stretch_emissions(model, codes, [(i, a) for i, c in enumerate(codes) for a in range(0, len(c), CHUNK)]):
         over = e[:, 1:] - e[:, :1]
         gains[i][start : start + len(e)] = (over + within[1:]).max(axis=1)
         entry[i][start : start + len(e)] = (over + into[1:]).max(axis=1)
+        if kept < KEPT:
+            kept, held[i, start] = kept + len(e), e
     todo = [(i, a, b) for i, (g, n) in enumerate(zip(gains, entry)) for a, b in open_stretches(g, leave, n)]
-    # States are computed once more where the CRF needs them, so that those of a whole text are never held.
-    wanted = sorted({(i, start) for i, a, b in todo for start in range(a // CHUNK * CHUNK, b, CHUNK)})
-    held = {(i, start): e for i, start, e in stretch_emissions(model, codes, wanted)}
+    # Beyond the bound states are computed once more where the CRF needs them, so that those of a long text are never held.
+    wanted = {(i, start) for i, a, b in todo for start in range(a // CHUNK * CHUNK, b, CHUNK)}
+    held = {x: held[x] for x in wanted if x in held}
+    held |= {(i, start): e for i, start, e in stretch_emissions(model, codes, sorted(wanted - held.keys()))}
     by_size: dict[int, list[tuple[int, int, int]]] = {}
     for i, a, b in todo:
         by_size.setdefault(rounded_up(b - a + 2), []).append((i, a, b))

@@ -552,3 +552,47 @@ def test_known_words_are_found_by_their_first_bits():
         assert at.tolist() == [place.get(x, -1) for x in h.tolist()]
         assert klass.tolist() == [p % 64 if p >= 0 else 32 + i % 32 for i, p in enumerate(at.tolist())]
         assert slot.tolist() == [max(p, 0) % 32 if p >= 0 else 0 for p in at.tolist()]
+
+
+def test_emissions_of_sequences_of_unlike_lengths():
+    rng = np.random.default_rng(4)
+    p = bilstm.initial(9, 5, 3, 4)
+    texts = [rng.integers(0, 9, n) for n in (3, 0, 70, 1, 70, 12, *range(2, 40))]
+    for ids, e in zip(texts, bilstm.emissions_of(p, texts)):
+        assert e.shape == (len(ids), 5)
+        if len(ids):
+            both = np.concatenate([bilstm._run(p, ids[None], side, False)[0][0] for side in "fb"], axis=1)
+            assert np.allclose(e, both @ p["Wo"] + p["bo"])
+
+
+def test_marginals_of_sequences_with_tags():
+    rng = np.random.default_rng(6)
+    p = {"A": rng.normal(size=(3, 3)), "a0": np.zeros(3)}
+    e = rng.normal(size=(6, 8, 3))
+    e[::2, :, 0] += 30.0
+    tags, sure = bilstm.decode_emissions(p, e)
+    alpha, beta, z = bilstm.forward_backward(p, e)
+    all_of_them = np.exp(np.take_along_axis(alpha + beta, tags[:, :, None], 2)[:, :, 0] - z[:, None])
+    assert not tags[::2].any() and tags[1::2].any(axis=1).all()
+    assert np.allclose(sure[1::2], all_of_them[1::2]) and (sure[::2] == 1).all()
+
+
+def test_states_are_computed_once_where_they_fit(monkeypatch):
+    read = []
+
+    def counted(p, texts):
+        read.extend(len(x) for x in texts)
+        return lettered(p, texts)
+
+    monkeypatch.setattr(bilstm, "emissions_of", counted)
+    model = bilstm.initial(pii.SYMBOLS, len(pii.TAGS))
+    model["A"][:, 2::2] = -50.0
+    model["A"][1, 2] = model["A"][2, 2] = 0.0
+    model["A"][1:, 1::2] = -50.0
+    texts = ["a" * 900 + "q" * 30 + "a" * 1500, "q" * 20 + "a" * 10]
+    found = pii.find(texts, model)
+    once = sum(read)
+    assert once <= sum(map(len, texts)) + 4 * pii.MARGIN
+    monkeypatch.setattr(pii, "KEPT", 0)
+    assert pii.find(texts, model) == found and found[0][1] == [("email", 900, 930)] and found[1][1] == [("email", 0, 20)]
+    assert sum(read) > 2 * once
