@@ -247,10 +247,11 @@ def open_groups(lists: DataFrame, joined: DataFrame, threshold: float) -> DataFr
     # Sets that can be alike lie in the same step of sizes or in neighbouring ones, so a member
     # matters where two neighbouring steps of its list hold several components.
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)
-    placed = placed.withColumn("steps", F.array(step - 1, step))
-    of_steps = placed.select("v", F.explode("steps").alias("s"), "c").groupBy("v", "s").agg(F.min("c").alias("first"), F.max("c").alias("last"))
-    mixed = of_steps.filter("first < last").select("v", "s")
-    members = placed.select("v", "middle", "cid", "n", "c", F.explode("steps").alias("s")).join(mixed, ["v", "s"])
+    placed = placed.withColumn("step", step.cast("int"))
+    of_steps = placed.select("v", F.explode(F.array(F.col("step") - 1, "step")).alias("s"), "c").groupBy("v", "s").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    mixed = of_steps.filter("first < last").select(F.col("v").alias("of"), "s")
+    # A row of a list is a member once at most.
+    members = placed.join(mixed, (F.col("v") == F.col("of")) & F.col("s").between(F.col("step") - 1, F.col("step")), "left_semi")
     return members.select(F.col("middle").alias("g"), "cid", "n", "c").distinct()
 
 
@@ -262,17 +263,31 @@ def blocks(members: DataFrame) -> DataFrame:
     return other.select(*members.columns, "own", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"))
 
 
-def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFrame:
-    """Links (a, b) between members of a block pair in different components.
+def shared_lowest(mark: np.ndarray, which: np.ndarray, place: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Of each sketch, how many values it has in common with the marked one among the k lowest of their union.
 
-    ``members`` has g, cid, n (the size of the set), c and ``values``. Sizes alone rule most pairs out. Rule "sets" compares full sets and returns the
-    links; rule "sketches" returns (cid, cid) of members that share enough retained
-    values with some other, since pairs of those are still to be confirmed.
+    ``mark`` has the place, from 1, that a value has in the marked sketch, else 0; ``place``, from 0, that of
+    each of ``which`` in its own. A common value's place in the union follows from both, and from the
+    common ones before it.
     """
-    bound = round(threshold * 100)
-    need = [least_common_of(m, k, threshold) for m in range(k + 1)]
+    other = mark[which]
+    common = other > 0
+    before = np.cumsum(common) - common
+    before -= np.repeat(before[starts[:-1]], np.diff(starts))
+    return np.add.reduceat((common & (other - 1 + place - before < k)).astype(np.int64), starts[:-1])
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+
+def matches(members: DataFrame, values: DataFrame, rule: str, k: int, threshold: float) -> DataFrame:
+    """What members of a block pair in different components have in common.
+
+    ``members`` has g, cid, n (the size of the set) and c, ``values`` cid and ``values``. Sizes alone rule most pairs out. Rule "sets" compares full
+    sets and returns the links (a, b); rule "sketches" returns (g, cid) as (a, b), of members whose sketch lets a pair with some other
+    of their group pass as ``likely`` does, since such pairs are still to be confirmed. Members are dealt to blocks before values are joined, so these are moved once.
+    """
+    bound, full = round(threshold * 100), surely_common(k, threshold)
+    wanted = np.array([least_common_of(m, k, threshold) for m in range(k + 1)])
+
+    def compare(g: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         cid, c, own, n = (np.array([r[x] for r in rows]) for x in (0, 1, 2, 4))
         size = np.array([len(r[3]) for r in rows])
         names, biggest = np.unique(c, return_counts=True)
@@ -280,13 +295,13 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
             return
         which = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)[1]
         starts = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(starts[-1]) - np.repeat(starts[:-1], size)
         mark = np.zeros(which.max() + 1, dtype=np.int64)
         two = len(np.unique(own)) > 1
         for u in np.flatnonzero(c != names[biggest.argmax()]):
             at = which[starts[u] : starts[u + 1]]
-            mark[at] = 1
-            inter = np.add.reduceat(mark[which], starts[:-1])
-            mark[at] = 0
+            mark[at] = np.arange(1, len(at) + 1)
+            inter = np.add.reduceat((mark[which] > 0).astype(np.int64), starts[:-1])
             if rule == "sets":
                 good = 100 * inter >= bound * (size + size[u] - inter)
             else:
@@ -294,27 +309,29 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
             good &= (c != c[u]) & (100 * np.minimum(n, n[u]) >= bound * np.maximum(n, n[u]))
             if two:
                 good &= own != own[u]
+            if rule == "sketches" and good.any():
+                lowest = np.minimum(size + size[u] - inter, k)
+                good &= shared_lowest(mark, which, place, starts, k) >= np.where(lowest >= k, full, lowest * threshold - 1e-9)
+            mark[at] = 0
             found = np.flatnonzero(good)
             if rule == "sets":
                 yield from ((min(cid[u], cid[x]), max(cid[u], cid[x])) for x in found)
             elif len(found):
-                yield cid[u], cid[u]
-                yield from ((cid[x], cid[x]) for x in found)
-
-    wanted = np.array(need)
+                yield g, cid[u]
+                yield from ((g, cid[x]) for x in found)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def finished() -> pa.RecordBatch:
-            out = sorted(set(compare(rows))) if len(rows) > 1 else []
+            out = sorted(set(compare(key[0], rows))) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([int(p[x]) for p in out], pa.int64()) for x in (0, 1)], ["a", "b"])
 
         for batch in batches:
             keys = list(zip(*(tx.column(batch, x).to_pylist() for x in ("g", "i", "j"))))
             cid, c, own, n = (tx.column(batch, x).to_pylist() for x in ("cid", "c", "own", "n"))
-            values = tx.column(batch, "values")
-            flat, offsets = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+            lists = tx.column(batch, "values")
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for r, now in enumerate(keys):
                 if now != key:
                     if rows:
@@ -324,7 +341,7 @@ def matches(members: DataFrame, rule: str, k: int, threshold: float) -> DataFram
         if rows:
             yield finished()
 
-    placed = blocks(members).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cid")
+    placed = blocks(members).join(values, "cid").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cid")
     return placed.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -355,10 +372,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
     first = written(confirmed(near, sets, threshold), "links")
 
     groups = written(open_groups(lists, components(first, "a", "b"), threshold), "open")
-    sketched = groups.join(classes.select("cid", F.col("sketch").alias("values")), "cid")
-    able = written(matches(sketched, "sketches", k, threshold).select(F.col("a").alias("cid")).distinct(), "able")
-    full = full_sets(among(docs, able), size).withColumnRenamed("set", "values")
-    second = written(matches(groups.join(full, "cid"), "sets", k, threshold), "links")
+    # Half of each value's bits will do: equal ones only let more pairs pass to be confirmed.
+    halves = F.transform("sketch", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    able = written(matches(groups, classes.select("cid", halves.alias("values")), "sketches", k, threshold).select(F.col("a").alias("g"), F.col("b").alias("cid")), "able")
+    full = full_sets(among(docs, able.select("cid").distinct()), size).withColumnRenamed("set", "values")
+    second = written(matches(groups.join(able, ["g", "cid"], "left_semi"), full, "sets", k, threshold), "links")
 
     # A doc_id with several texts joins the classes of all of them.
     of_class = known.select("doc_id", *key).join(classes.select(*key, "cid"), key)

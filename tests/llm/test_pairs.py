@@ -199,3 +199,34 @@ def test_components_of_long_chains_and_hubs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     expected = {i: 1 for i in range(1, 51)} | {i: 100 for i in range(100, 160)} | {200: 200, 300: 200}
     assert got == expected
+
+
+def test_values_in_common_among_the_lowest_of_the_union():
+    rng = np.random.default_rng(2)
+    k = 8
+    sets = [np.sort(rng.choice(20, rng.integers(1, k + 1), replace=False)) for _ in range(60)]
+    size = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    which, place = np.concatenate(sets), np.arange(starts[-1]) - np.repeat(starts[:-1], size)
+    for one in sets:
+        mark = np.zeros(20, dtype=np.int64)
+        mark[one] = np.arange(1, len(one) + 1)
+        plain = [len(set(one) & set(x) & set(sorted(set(one) | set(x))[:k])) for x in sets]
+        assert sketch.shared_lowest(mark, which, place, starts, k).tolist() == plain
+
+
+def test_a_member_of_a_list_passes_once_and_values_are_moved_once(spark):
+    rows = [(1, cid, n, 1, 100, 2, 100) for cid, n in ((1, 100), (2, 100), *((c, 60 + c) for c in range(3, 40)))]
+    lists = spark.createDataFrame(rows, "v long, cid long, n long, low long, low_n long, middle long, middle_n long")
+    none = spark.createDataFrame([], "node long, component long")
+    groups = sketch.open_groups(lists, none, 0.8)
+    assert sorted((r.g, r.cid, r.c) for r in groups.collect()) == [(2, c, c) for c in range(3, 40)]
+    # Members that no other step of the list meets stay out.
+    assert sketch.open_groups(lists.filter("cid < 4"), none, 0.8).count() == 0
+    alike = [(c, list(range(c // 2 * 100, c // 2 * 100 + 30)) + [-c - 1]) for c in range(3, 40)]
+    values = spark.createDataFrame(alike, "cid long, values array<int>")
+    passed = sketch.matches(groups, values, "sketches", sketch.K, 0.8)
+    assert sorted((r.a, r.b) for r in passed.collect()) == [(2, c) for c in range(4, 40)]
+    assert [(r.a, r.b) for r in sketch.matches(groups, values, "sets", sketch.K, 0.8).sort("a").collect()] == [(c, c + 1) for c in range(4, 40, 2)]
+    plan = passed._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Repartition" in line for line in plan.split("\n")) == 1 and plan.index("Repartition") < plan.index("Join")
