@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipewatch.operators.boosting import BoostedTrees, GBTClassifier, boosted_scores
 from pipewatch.operators.forest import RandomForest, fit_forest, forest_scores
 
 # Columns that identify rows, and the target columns.
@@ -106,10 +107,10 @@ def fit_boosted_trees(train: DataFrame, features: list[str], label: str, rounds:
                       depth: int = 4, rate: float = 0.05, sample: float = 0.9, seed: int = 42):
     """Gradient-boosted trees over samples of rows and columns."""
     model = GBTClassifier(
-        featuresCol="features_vector", labelCol=label, maxIter=rounds, maxDepth=depth,
+        featuresCol=features, labelCol=label, maxIter=rounds, maxDepth=depth,
         stepSize=rate, subsamplingRate=sample, featureSubsetStrategy=str(sample), seed=seed,
     )
-    return model.fit(assembled(train, features))
+    return model.fit(train)
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, iterations: int = 2000):
@@ -123,8 +124,9 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, iterations:
 
 def score_with(model, df: DataFrame, features: list[str]) -> DataFrame:
     """df plus ``score``, the probability of a leak."""
-    if isinstance(model, RandomForest):
-        return forest_scores(df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}), model)
+    if isinstance(model, RandomForest | BoostedTrees):
+        scores = forest_scores if isinstance(model, RandomForest) else boosted_scores
+        return scores(df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}), model)
     scored = model.transform(assembled(df, features))
     return scored.withColumn("score", vector_to_array("probability")[1]).drop(
         "features_vector", "rawPrediction", "probability", "prediction"

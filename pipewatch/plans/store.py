@@ -1,7 +1,7 @@
 """Trained models and suites as tables, so that training, stress test, choice and scoring are jobs of their own.
 
-A model is a folder: its card, and its trees (isolation forest: one row per node; random forest: one row per tree,
-and its cuts; other classifiers: MLlib's own tables). A suite is a folder of tables with its models below it. The card is written
+A model is a folder: its card, and its trees (isolation forest: one row per node; random forest and boosted trees: one row
+per tree, and its cuts; other classifiers: MLlib's own tables). A suite is a folder of tables with its models below it. The card is written
 last, so a folder that has one is whole.
 """
 
@@ -12,12 +12,15 @@ from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipewatch.operators.boosting import BoostedTrees
 from pipewatch.operators.forest import RandomForest
 from pipewatch.operators.isolation import IsolationForest
 from pipewatch.plans import training as tr
 
 CLASSIFIERS = {c.__name__: c for c in (GBTClassificationModel, LogisticRegressionModel)}
-FOREST, RANDOM_FOREST = IsolationForest.__name__, RandomForest.__name__
+FOREST = IsolationForest.__name__
+#: Kinds of binned trees, each with what its leaves are called.
+BINNED = {RandomForest.__name__: (RandomForest, "scores"), BoostedTrees.__name__: (BoostedTrees, "steps")}
 CARD = "name string, kind string, features array<string>, reason string, sample long"
 SUITE_CARD = "run_id string, policy string, models array<string>"
 #: The parts of a tree that are indexed by node.
@@ -48,19 +51,21 @@ def load_forest(spark: SparkSession, path: str, sample: int, features: list[str]
     return IsolationForest(trees, sample, features)
 
 
-def save_random_forest(spark: SparkSession, forest: RandomForest, path: str) -> None:
-    """One row per tree and one per feature, whatever the forest was grown on."""
-    trees = [(i, forest.splits[i].tolist(), forest.scores[i].tolist()) for i in range(len(forest.splits))]
-    cuts = [(i, c.tolist()) for i, c in enumerate(forest.cuts)]
-    spark.createDataFrame(trees, "tree long, splits array<int>, scores array<double>").write.mode("overwrite").parquet(f"{path}/trees")
+def save_binned(spark: SparkSession, model: RandomForest | BoostedTrees, path: str) -> None:
+    """One row per tree and one per feature, whatever the trees were grown on."""
+    leaves = BINNED[type(model).__name__][1]
+    trees = [(i, splits.tolist(), values.tolist()) for i, (splits, values) in enumerate(zip(model.splits, getattr(model, leaves)))]
+    cuts = [(i, c.tolist()) for i, c in enumerate(model.cuts)]
+    spark.createDataFrame(trees, f"tree long, splits array<int>, {leaves} array<double>").write.mode("overwrite").parquet(f"{path}/trees")
     spark.createDataFrame(cuts, "feature long, cuts array<double>").write.mode("overwrite").parquet(f"{path}/cuts")
 
 
-def load_random_forest(spark: SparkSession, path: str, features: list[str]) -> RandomForest:
+def load_binned(spark: SparkSession, kind: str, path: str, features: list[str]) -> RandomForest | BoostedTrees:
+    model, leaves = BINNED[kind]
     trees = spark.read.parquet(f"{path}/trees").orderBy("tree").collect()
     cuts = spark.read.parquet(f"{path}/cuts").orderBy("feature").collect()
-    return RandomForest(
-        np.array([t["splits"] for t in trees], dtype=np.int32), np.array([t["scores"] for t in trees]),
+    return model(
+        np.array([t["splits"] for t in trees], dtype=np.int32), np.array([t[leaves] for t in trees]),
         [np.array(c["cuts"], dtype=float) for c in cuts], features,
     )
 
@@ -72,8 +77,8 @@ def save_model(fitted: tr.Fitted, path: str) -> None:
         save_forest(spark, model, f"{path}/trees")
         lines = [(f, float(mean), float(scale)) for f, (mean, scale) in fitted.scaler.items()]
         spark.createDataFrame(lines, "feature string, mean double, scale double").write.mode("overwrite").parquet(f"{path}/scaler")
-    elif isinstance(model, RandomForest):
-        save_random_forest(spark, model, path)
+    elif isinstance(model, RandomForest | BoostedTrees):
+        save_binned(spark, model, path)
     elif model is not None:
         model.write().overwrite().save(f"{path}/classifier")
     kind = type(model).__name__ if model is not None else None
@@ -90,8 +95,8 @@ def load_model(spark: SparkSession, path: str) -> tr.Fitted:
         forest = load_forest(spark, f"{path}/trees", card["sample"], features)
         lines = spark.read.parquet(f"{path}/scaler").collect()
         return tr.anomaly_model(forest, {r["feature"]: (r["mean"], r["scale"]) for r in lines})
-    if card["kind"] == RANDOM_FOREST:
-        return tr.probability_model(card["name"], features, load_random_forest(spark, path, features))
+    if card["kind"] in BINNED:
+        return tr.probability_model(card["name"], features, load_binned(spark, card["kind"], path, features))
     return tr.probability_model(card["name"], features, CLASSIFIERS[card["kind"]].load(f"{path}/classifier"))
 
 
