@@ -136,11 +136,11 @@ def c7_evidence(spark, sf):
     decisions = decided(spark, sf)
     context = d.incident_context(view(spark, sf, "incident_telemetry")).select("incident_id", "asset_ids")
     found = operations.incident_evidence(decisions.join(context, "incident_id", "left"), corpus(spark, sf), index=index(spark, sf))
-    evidence = found.select(
-        "incident_id", "fallback", "n_docs", "context", "rationale", "suggested_response",
-        F.array_join("sources", "|").alias("sources"), F.array_join("citations", "|").alias("citations"),
-    )
-    return decisions.select("incident_id", "risk_tier").join(evidence, "incident_id", "left")
+    # Requests are grouped by incident, so a decision's row holds its own evidence and its texts need no second join.
+    evidence = {c: F.col(c) for c in ("fallback", "n_docs", "context", "rationale", "suggested_response")}
+    evidence |= {c: F.array_join(c, "|") for c in ("sources", "citations")}
+    known = F.col("incident_id").isNotNull()
+    return found.select("incident_id", "risk_tier", *(F.when(known, value).alias(c) for c, value in evidence.items()))
 
 
 @query(

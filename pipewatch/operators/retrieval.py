@@ -9,6 +9,9 @@ many queries meet fewer shards than there are cores: then their terms' lists are
 A search scores the most promising blocks of a shard first. Blocks whose bounds add up to less
 than the k-th best score so far can't hold a better document and are left unread. A
 shard hands on k documents per query at most.
+
+Words that no document holds change no score, so a query is reduced to an ask: the words of it that the
+index knows, with their counts. Queries of the same ask are answered once.
 """
 
 from __future__ import annotations
@@ -301,27 +304,41 @@ def scoring(shared, mean_length: float):
     return work
 
 
-def _answers(index: SearchIndex, queries: DataFrame, qid: str, qtext: str, pass_terms: int, work: Callable) -> DataFrame:
-    """(query, doc, score) rows that ``work(shared, mean_length)`` makes of every shard and pass.
+def _asked(index: SearchIndex, queries: DataFrame, qid: str, qtext: str, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(query, ask) of every query with a word in the index, and the asks as queries (query, term, weight); rows that share a query are one."""
+    spark = index.spark
+    paths = {name: scratch_path(spark, name) for name in ("term-counts", "query-asks", "ask-terms")}
+    listed = index.rows.filter("term IS NOT NULL").select("term", F.size("docs").alias("df"))
+    # Written, so that its size is known where it is joined.
+    listed.groupBy("term").agg(F.sum("df").alias("df")).write.parquet(paths["term-counts"])
+    df = spark.read.parquet(paths["term-counts"])
+    words = queries.select(F.col(qid).alias("query"), F.explode(tokens(F.col(qtext))).alias("term"))
+    counted = words.join(df.select("term"), "term", "left_semi").groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    bags = counted.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("bag"))
+    # Terms are letters and digits, so two bags never make one text; asks are told apart by its 128 bits.
+    text = F.array_join(F.transform("bag", lambda b: F.concat_ws(" ", b["term"], b["qtf"])), " ")
+    bags.select("query", F.md5(text).alias("ask"), "bag").write.parquet(paths["query-asks"])
+    asked = spark.read.parquet(paths["query-asks"])
+    weight = F.col("qtf") * F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = asked.select("ask", "bag").distinct().select("ask", F.inline("bag")).join(df, "term")
+    terms.select(F.col("ask").alias("query"), "term", weight.alias("weight")).write.parquet(paths["ask-terms"])
+    return asked.select("query", "ask"), spark.read.parquet(paths["ask-terms"])
+
 
-    Queries are answered in passes over the index; what a pass sends to the tasks is bounded by ``pass_terms``,
-    whatever the number of queries.
+def _answers(index: SearchIndex, queries: DataFrame, qid: str, qtext: str, pass_terms: int, work: Callable) -> tuple[DataFrame, DataFrame]:
+    """(query, ask) rows, and the (ask, doc, score) rows that ``work(shared, mean_length)`` makes of every shard and pass.
+
+    Asks are answered in passes over the index; what a pass sends to the tasks is bounded by ``pass_terms``,
+    whatever their number.
     """
     spark = index.spark
     n_docs, mean_length = index.documents()
-    wanted = queries.select(qid, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    spread = index.rows.select("term", F.size("docs").alias("df")).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = spread.groupBy("term").agg(F.sum("df").alias("df"))
-    weight = F.col("qtf") * F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    path = scratch_path(spark, "query-terms")
-    wanted.join(df, "term").select(F.col(qid).alias("query"), "term", weight.alias("weight")).write.parquet(path)
-    weighted = spark.read.parquet(path)
+    asked, weighted = _asked(index, queries, qid, qtext, n_docs)
     n_terms = weighted.count()
     passes = max(1, -(-n_terms // pass_terms))
-    kinds = {c: queries.schema[qid].dataType.simpleString() if c == "query" else index.rows.schema["docs"].dataType.elementType.simpleString() for c in ("query", "doc")}
-    schema = f"query {kinds['query']}, doc {kinds['doc']}, score double"
+    schema = f"query string, doc {index.rows.schema['docs'].dataType.elementType.simpleString()}, score double"
     found = scratch_path(spark, "query-hits")
-    # Few shards leave cores idle, so a pass's queries are cut into slices, each answered from every shard.
+    # Few shards leave cores idle, so a pass's asks are cut into slices, each answered from every shard.
     shards = index.rows.filter("term IS NULL").count()
     wide = -(-2 * spark.sparkContext.defaultParallelism // max(shards, 1))
     slices = max(1, min(wide, -(-min(n_terms, pass_terms) // SLICE_TERMS)))
@@ -338,23 +355,32 @@ def _answers(index: SearchIndex, queries: DataFrame, qid: str, qtext: str, pass_
         dealt = dealt.repartition(shards * slices, "shard", "slice") if slices > 1 else dealt
         dealt.groupBy("shard", "slice").applyInArrow(work(shared, mean_length), schema).write.mode("append").parquet(found)
         shared.unpersist()
-    return spark.read.schema(schema).parquet(found)
+    return asked, spark.read.schema(schema).parquet(found).withColumnRenamed("query", "ask")
+
+
+def answers(index: SearchIndex, queries: DataFrame, k: int = 5, qid: str = "query_id", qtext: str = "query",
+            pass_terms: int = PASS_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(query, ask), and (ask, document, score, place): the k best documents of each ask, ties to the smaller id."""
+    asked, hits = _answers(index, queries, qid, qtext, pass_terms, lambda shared, mean_length: answering(shared, mean_length, k))
+    hits = hits.withColumn("score", F.round("score", DIGITS))
+    best = Window.partitionBy("ask").orderBy(F.col("score").desc(), F.col("doc").asc())
+    ranked = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    return (
+        asked.select(F.col("query").alias(qid), F.col("ask").alias("_ask")),
+        ranked.select(F.col("ask").alias("_ask"), F.col("doc").alias(index.doc), "score", "place"),
+    )
 
 
 def search(index: SearchIndex, queries: DataFrame, k: int = 5, qid: str = "query_id", qtext: str = "query",
            pass_terms: int = PASS_TERMS) -> DataFrame:
     """(query, document, score, place): the k best documents of each query, ties to the smaller id."""
-    doc = index.doc
-    hits = _answers(index, queries, qid, qtext, pass_terms, lambda shared, mean_length: answering(shared, mean_length, k))
-    hits = hits.withColumn("score", F.round("score", DIGITS))
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc").asc())
-    ranked = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    return ranked.select(F.col("query").alias(qid), F.col("doc").alias(doc), "score", "place")
+    asked, ranked = answers(index, queries, k, qid, qtext, pass_terms)
+    return asked.join(ranked, "_ask").drop("_ask")
 
 
 def scores(index: SearchIndex, queries: DataFrame, qid: str = "query_id", qtext: str = "query",
            pass_terms: int = PASS_TERMS) -> DataFrame:
     """(query, document, score) of every document that shares a term with a query; rows that share an id are added up."""
-    pairs = _answers(index, queries, qid, qtext, pass_terms, scoring)
-    summed = pairs.groupBy("query", "doc").agg(F.round(F.sum("score"), DIGITS).alias("score"))
-    return summed.select(F.col("query").alias(qid), F.col("doc").alias(index.doc), "score")
+    asked, pairs = _answers(index, queries, qid, qtext, pass_terms, scoring)
+    summed = pairs.groupBy("ask", "doc").agg(F.round(F.sum("score"), DIGITS).alias("score"))
+    return asked.join(summed, "ask").select(F.col("query").alias(qid), F.col("doc").alias(index.doc), "score")

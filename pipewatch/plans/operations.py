@@ -97,11 +97,16 @@ def incident_evidence(decisions: DataFrame, corpus: DataFrame, generated: DataFr
     """
     text = ev.incident_query(F.col("incident_id"), F.col("recommended_action"), F.col("asset_ids"))
     queries = decisions.select("incident_id", text.alias("query"))
-    top = retrieval.search(index or retrieval.write_index(corpus), queries, k, qid="incident_id")
-    context = ev.assemble_context(top.join(corpus, "id"), qid="incident_id")
-    found = decisions.join(
-        context.select("incident_id", "context", "sources", "citations", "n_docs"), "incident_id", "left"
-    ).withColumn("context", F.coalesce("context", F.lit(ev.NO_CONTEXT)))
+    asked, top = retrieval.answers(index or retrieval.write_index(corpus), queries, k, qid="incident_id")
+    # Incidents of the same ask share a context, which is put together once; texts travel no longer than they are shown.
+    shown = corpus.withColumn("content", F.left("content", F.lit(ev.SNIPPET_CHARS)))
+    context = ev.assemble_context(top.join(shown, "id"), qid="_ask")
+    found = (
+        decisions.join(asked, "incident_id", "left")
+        .join(context.select("_ask", "context", "sources", "citations", "n_docs"), "_ask", "left")
+        .drop("_ask")
+        .withColumn("context", F.coalesce("context", F.lit(ev.NO_CONTEXT)))
+    )
     if generated is None:
         nothing = F.lit(None).cast("string")
         found = found.withColumns({"rationale": nothing, "suggested_response": nothing})

@@ -140,3 +140,19 @@ def test_many_queries_of_few_shards(spark, monkeypatch):
     lists = index.rows.filter("term in ('w0', 'w1')").toArrow()
     answer = rt.answering(type("Sent", (), {"value": table}), 10.0, 5)
     assert answer((pa.scalar(0), pa.scalar(0)), lists).num_rows == 49 * 5 and len(calls) == 1
+
+
+def test_queries_of_the_same_known_words_are_answered_once(spark):
+    """Words that no document holds make no other question of a query; counts do."""
+    rows = corpus_rows()
+    index = rt.write_index(spark.createDataFrame(rows, "id long, content string"), shard_docs=100)
+    asked = [(n, f"w0 id{n} w3 other{n}") for n in range(60)] + [(100, "W3 w0"), (101, "w3 w0 w0"), (102, "none"), (None, "w9")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    of, best = rt.answers(index, queries)
+    asks = {r.query_id: r._ask for r in of.collect()}
+    assert set(asks) == {*range(60), 100, 101, None} and len(set(asks.values())) == 3
+    assert len({asks[n] for n in [*range(60), 100]}) == 1
+    assert best.count() == 3 * 5
+    want = plain(rows, [(-1 if q is None else q, text) for q, text in asked], 5)
+    got = sorted((-1 if r.query_id is None else r.query_id, r.id, r.place) for r in rt.search(index, queries).collect())
+    assert got == [(q, i, p) for q, i, _, p in want]
