@@ -11,7 +11,8 @@ than the k-th best score so far can't hold a better document and are left unread
 shard hands on k documents per query at most.
 
 Words that no document holds change no score, so a query is reduced to an ask: the words of it that the
-index knows, with their counts. Queries of the same ask are answered once.
+index knows, with their counts. Queries of the same ask are answered once, and asks that differ in short
+lists only share the search of their long ones.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ MOST_BUCKETS = 4096
 PASS_TERMS = 1 << 18
 #: Terms of queries that a task answers from one shard, about, while there are cores for more tasks.
 SLICE_TERMS = 1 << 12
+#: Lists up to this long are read whole; longer ones are searched block by block, once for all asks that weigh the same long lists.
+SHORT_LIST = 16
+#: Counts looked up for an ask at most, so that its short lists are read; beyond that all of its lists are searched by blocks.
+LOOKUPS = 1 << 12
+#: Counts looked up at once, about.
+LOOKED_UP = 1 << 20
 #: Scores are compared at this many digits.
 DIGITS = 6
 #: Scored pairs that a task hands on at once, about.
@@ -193,6 +200,19 @@ class Shard:
         self.cell_start = flat("starts") + (np.cumsum(n_postings) - n_postings)[of_term]
         self.cell_length = np.diff(np.append(self.cell_start, len(self.doc)))
         self.n_blocks = int(self.block.max()) + 1 if len(self.block) else 0
+        self.first_posting, self.n_postings = np.cumsum(n_postings) - n_postings, n_postings
+        # Lists are in order of documents, so these ascend: (term, place of the document in that order).
+        rank = np.empty(len(self.ids), dtype=np.int64)
+        rank[pc.sort_indices(self.ids, null_placement="at_end").to_numpy()] = np.arange(len(self.ids))
+        self.rank, self.found_at = rank, np.repeat(np.arange(len(n_postings)) * len(rank), n_postings) + rank[self.doc]
+        self.repeats = np.zeros(len(n_postings), dtype=bool)
+        self.repeats[self.found_at[1:][np.diff(self.found_at) == 0] // max(len(rank), 1)] = True
+
+    def summed(self, postings: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of postings, and what each gains."""
+        sums = np.bincount(self.doc[postings], weights=gains, minlength=len(self.ids))
+        docs = np.flatnonzero(np.bincount(self.doc[postings], minlength=len(self.ids)))
+        return docs, sums[docs]
 
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The k best documents (by place in ``ids``) with their scores, and how many postings were read."""
@@ -212,8 +232,7 @@ class Shard:
             at, lengths = cells[mine], self.cell_length[cells[mine]]
             postings = ragged(self.cell_start[at], lengths)
             read += len(postings)
-            docs, back = np.unique(self.doc[postings], return_inverse=True)
-            sums = np.bincount(back, weights=self.gain[postings] * np.repeat(weight[mine], lengths), minlength=len(docs))
+            docs, sums = self.summed(postings, self.gain[postings] * np.repeat(weight[mine], lengths))
             found, scores = np.concatenate([found, docs]), np.concatenate([scores, sums])
             keep = np.lexsort((self.order[found], -np.round(scores, DIGITS)))[:k]
             found, scores = found[keep], scores[keep]
@@ -221,31 +240,83 @@ class Shard:
                 waiting &= bounds >= scores[-1] - slack
         return found, scores, read
 
+    def answer(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score): the k best documents of many queries, given as (query, term, weight) in order of queries.
+
+        A document in none of a query's short lists has the score that its long lists give it. So the k best are
+        among those in the short lists and the k best by the long ones, which are searched once for all queries alike.
+        """
+        opens = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+        n_terms = np.diff(np.append(opens, len(of)))
+        row = np.repeat(np.arange(len(opens)), n_terms)
+        short = self.n_postings[terms] <= SHORT_LIST
+        cost = (np.bincount(row, weights=short * self.n_postings[terms], minlength=len(opens)) + k) * n_terms
+        # Rows that share an id make one document of a block, which only a search by blocks brings together.
+        repeated = np.bincount(row, weights=self.repeats[terms], minlength=len(opens)) > 0
+        short &= ((cost <= LOOKUPS) & ~repeated)[row]
+        n_long = np.bincount(row, weights=~short, minlength=len(opens)).astype(np.int64)
+        ends = np.cumsum(n_long)
+        long_terms, long_weights = terms[~short], weights[~short]
+        known: dict[tuple[bytes, bytes], int] = {}
+        which, answers = np.zeros(len(opens), dtype=np.int64), [(np.zeros(0, np.int64), np.zeros(0))]
+        for i, (a, b) in enumerate(zip((ends - n_long).tolist(), ends.tolist())):
+            if a < b:
+                same = long_terms[a:b].tobytes(), long_weights[a:b].tobytes()
+                if same not in known:
+                    known[same] = len(answers)
+                    answers.append(self.best(long_terms[a:b], long_weights[a:b], k)[:2])
+                which[i] = known[same]
+        sizes = np.array([len(d) for d, _ in answers])
+        docs, scores = (np.concatenate([a[c] for a in answers]) for c in (0, 1))
+        first = np.cumsum(sizes) - sizes
+
+        def by_long(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The rows' best documents by their long lists: (row, place in ``docs``)."""
+            return np.repeat(rows, sizes[which[rows]]), ragged(first[which[rows]], sizes[which[rows]])
+
+        whole = n_long == n_terms
+        rows, at = by_long(np.flatnonzero(whole))
+        out = [(of[opens[rows]], docs[at], scores[at])]
+        mixed = np.flatnonzero(~whole)
+        batch = np.cumsum(cost[mixed]) // LOOKED_UP
+        for rows in np.split(mixed, np.flatnonzero(np.diff(batch)) + 1) if len(mixed) else []:
+            lists = ragged(opens[rows], n_terms[rows])
+            lists = lists[short[lists]]
+            lengths = self.n_postings[terms[lists]]
+            mine, at = by_long(rows)
+            n = len(self.ids)
+            pairs = np.concatenate([
+                np.repeat(row[lists], lengths) * n + self.doc[ragged(self.first_posting[terms[lists]], lengths)], mine * n + docs[at]
+            ])
+            asker, doc = np.divmod(np.unique(pairs), n)
+            pair, term = np.repeat(np.arange(len(asker)), n_terms[asker]), ragged(opens[asker], n_terms[asker])
+            wanted = terms[term] * n + self.rank[doc][pair]
+            at = np.minimum(np.searchsorted(self.found_at, wanted), len(self.found_at) - 1)
+            held = self.found_at[at] == wanted
+            score = np.bincount(pair[held], weights=self.gain[at[held]] * weights[term[held]], minlength=len(asker))
+            ranked = np.lexsort((self.order[doc], -np.round(score, DIGITS), asker))
+            opened = np.flatnonzero(np.append(True, asker[1:] != asker[:-1])[: len(asker)])
+            place = np.arange(len(asker)) - np.repeat(opened, np.diff(np.append(opened, len(asker))))
+            ranked = ranked[place < k]
+            out.append((of[opens[asker[ranked]]], doc[ranked], score[ranked]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def every(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All documents (by place in ``ids``) that hold one of the terms, with their scores."""
         cells = ragged(self.first_cell[terms], self.n_cells[terms])
         lengths = self.cell_length[cells]
         postings = ragged(self.cell_start[cells], lengths)
-        docs, back = np.unique(self.doc[postings], return_inverse=True)
         weight = np.repeat(np.repeat(weights, self.n_cells[terms]), lengths)
-        return docs, np.bincount(back, weights=self.gain[postings] * weight, minlength=len(docs))
+        return self.summed(postings, self.gain[postings] * weight)
 
 
-def asked_of(shard: Shard, asked: pa.Table) -> tuple[pa.Array, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
-    """The queries' keys, and of every query with a term in the shard its key's place, terms and weights."""
+def asked_of(shard: Shard, asked: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The queries' keys, and of every query's terms in the shard: its key's place, term and weight."""
     place = np.array([shard.terms.get(t, -1) for t in asked.column("term").to_pylist()], dtype=np.int64)
-    weights = asked.column("weight").to_numpy()
     coded = asked.column("query").combine_chunks().dictionary_encode(null_encoding="encode")
-    of = coded.indices.to_numpy(zero_copy_only=False)
-    opens = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
-
-    def each() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for a, b in zip(opens, [*opens[1:], len(of)]):
-            here = place[a:b] >= 0
-            if here.any():
-                yield of[a], place[a:b][here], weights[a:b][here]
-
-    return coded.dictionary, each()
+    here = place >= 0
+    of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary, of[here], place[here], asked.column("weight").to_numpy()[here]
 
 
 def slice_of(asked: pa.Table, number: int) -> pa.Table:
@@ -258,21 +329,9 @@ def answering(shared, mean_length: float, k: int):
 
     def work(key: tuple, group: pa.Table) -> pa.Table:
         shard = Shard(group, mean_length)
-        keys, asked = asked_of(shard, slice_of(shared.value, key[1].as_py()))
-        queries, docs, scores = [], [], []
-        # Queries that weigh the same terms have the same answer in a shard.
-        known: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
-        for of, terms, weights in asked:
-            same = terms.tobytes(), weights.tobytes()
-            if same not in known:
-                known[same] = shard.best(terms, weights, k)[:2]
-            best, score = known[same]
-            queries.append(np.full(len(best), of))
-            docs.append(best)
-            scores.append(score)
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in (queries, docs, scores)]
-        taken = keys.take(pa.array(flat[0].astype(np.int64))), shard.ids.take(pa.array(flat[1].astype(np.int64)))
-        return pa.table([*taken, pa.array(flat[2], pa.float64())], names=["query", "doc", "score"])
+        keys, of, terms, weights = asked_of(shard, slice_of(shared.value, key[1].as_py()))
+        queries, docs, scores = shard.answer(of, terms, weights, k)
+        return pa.table([keys.take(pa.array(queries)), shard.ids.take(pa.array(docs)), pa.array(scores)], names=["query", "doc", "score"])
 
     return work
 
@@ -282,16 +341,17 @@ def scoring(shared, mean_length: float):
 
     def work(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(pa.Table.from_batches(list(group)), mean_length)
-        keys, asked = asked_of(shard, slice_of(shared.value, key[1].as_py()))
+        keys, of, terms, weights = asked_of(shard, slice_of(shared.value, key[1].as_py()))
+        opens = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]).tolist()
         queries, docs, scores, waiting = [], [], [], 0
 
         def pairs() -> pa.RecordBatch:
             taken = keys.take(pa.array(np.concatenate(queries))), shard.ids.take(pa.array(np.concatenate(docs)))
             return pa.RecordBatch.from_arrays([*taken, pa.array(np.concatenate(scores))], names=["query", "doc", "score"])
 
-        for of, terms, weights in asked:
-            found, score = shard.every(terms, weights)
-            queries.append(np.full(len(found), of, dtype=np.int64))
+        for a, b in zip(opens, [*opens[1:], len(of)]):
+            found, score = shard.every(terms[a:b], weights[a:b])
+            queries.append(np.full(len(found), of[a]))
             docs.append(found)
             scores.append(score)
             waiting += len(found)

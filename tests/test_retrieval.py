@@ -156,3 +156,37 @@ def test_queries_of_the_same_known_words_are_answered_once(spark):
     want = plain(rows, [(-1 if q is None else q, text) for q, text in asked], 5)
     got = sorted((-1 if r.query_id is None else r.query_id, r.id, r.place) for r in rt.search(index, queries).collect())
     assert got == [(q, i, p) for q, i, _, p in want]
+
+
+@pytest.mark.parametrize("repeated", [0, 20])
+def test_rare_words_do_not_search_the_common_ones_again(monkeypatch, repeated):
+    """Queries that differ in rare words only search their long lists once, with the answers of a search for each; whatever the bounds."""
+    rng = random.Random(11)
+    texts = [" ".join([*rng.choices([f"c{i}" for i in range(6)], k=rng.randint(2, 9)), *(f"t{rng.randrange(250)}" for _ in range(2))]) for _ in range(600)]
+    ids = [i // 2 for i in range(repeated)] + list(range(100, 699 - repeated)) + [None]
+    texts = [texts[i // 2 * 2] if i < repeated else text for i, text in enumerate(texts)]
+    group = pa.table({"shard": pa.array([0] * 600), "doc": pa.array(ids, pa.int64()), "words": pa.array([t.split() for t in texts])})
+    names = [c.strip().split(" ")[0] for c in rt._schema("bigint").split(",")]
+    shard = rt.Shard(pa.table(rt.invert(group, 64), names=names).slice(1), 8.0)
+    common = [["c0", "c1"], ["c1"], ["c2", "c3", "c4"], []]
+    assert any(shard.repeats) == bool(repeated) and not all(shard.repeats)
+    asked = []
+    for q in range(300):
+        words = {*common[q % 4], *(f"t{rng.randrange(250)}" for _ in range(rng.randint(0 if q % 4 < 3 else 1, 4)))}
+        asked += [(q, shard.terms[w], 1.0 + len(w) / 7 + shard.terms[w] / 1000) for w in sorted(words) if w in shard.terms]
+    of, terms, weights = (np.array(c) for c in zip(*asked))
+    want = []
+    for q in sorted(set(of.tolist())):
+        docs, scores, _ = shard.best(terms[of == q], weights[of == q], 5)
+        want += [(q, int(d), float(s)) for d, s in zip(docs, scores)]
+    calls = []
+    best = rt.Shard.best
+    monkeypatch.setattr(rt.Shard, "best", lambda self, *a: calls.append(1) or best(self, *a))
+    for lookups, at_once, searches in ((rt.LOOKUPS, rt.LOOKED_UP, 3), (rt.LOOKUPS, 100, 3), (40, rt.LOOKED_UP, None), (0, 1, None)):
+        monkeypatch.setattr(rt, "LOOKUPS", lookups)
+        monkeypatch.setattr(rt, "LOOKED_UP", at_once)
+        calls.clear()
+        got = sorted((int(q), int(d), float(s)) for q, d, s in zip(*shard.answer(of, terms, weights, 5)))
+        assert got == sorted(want)
+        assert len(calls) == searches if searches and not repeated else len(calls) > 3
+    assert all(len(c) == 0 for c in shard.answer(of[:0], terms[:0], weights[:0], 5))
